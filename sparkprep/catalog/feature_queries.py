@@ -1 +1,329 @@
+"""Feature cleaning, scores and filters."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import features, impute, outliers
+from ..plans.ledger import Ledger
+from .registry import cte, load, q, query, r, rounded, source, table
+
+_FEATURES = ["quantity", "price", "discount", "revenue"]
+_WITH_TARGET = [*_FEATURES, "target"]
+
+
+def _binned(c: str, origin: str, n: int = 5) -> str:
+    """(feature, bin, target) in (a, b] quantile bins with equal edges merged."""
+    probs = ", ".join(str(i / n) for i in range(n + 1))
+    return f"""SELECT '{c}' AS feature, CAST(len(list_filter(g[2:len(g) - 1], lambda e: {c} > e)) AS INTEGER) AS bin, target
+    FROM {origin}, (SELECT list_sort(list_distinct(quantile_cont({c}, [{probs}]))) AS g FROM {origin}) f
+    WHERE {c} IS NOT NULL"""
+
+
+def _woe(cols: list[str], origin: str, n: int = 5) -> str:
+    return f"""SELECT *, CASE WHEN share0 > 0 AND share1 > 0 THEN ln(share1 / share0) END AS woe,
+    CASE WHEN share0 > 0 AND share1 > 0 THEN (share1 - share0) * ln(share1 / share0) END AS contribution FROM
+    (SELECT feature, bin, n0, n1, n0 * 1.0 / sum(n0) OVER (PARTITION BY feature) AS share0,
+     n1 * 1.0 / sum(n1) OVER (PARTITION BY feature) AS share1 FROM
+     (SELECT feature, bin, count(CASE WHEN target = 0 THEN 1 END) AS n0, count(CASE WHEN target = 1 THEN 1 END) AS n1
+      FROM ({" UNION ALL ".join(_binned(c, origin, n) for c in cols)}) GROUP BY feature, bin))"""
+
+
+def _iv(cols: list[str], origin: str) -> str:
+    return f"SELECT feature, abs(sum(contribution)) AS iv FROM ({_woe(cols, origin)}) GROUP BY feature"
+
+
+def _prepared(c: str) -> str:
+    """Clipped to the 1st and 99th percentile, then filled with the median of what is left."""
+    clip = f"CASE WHEN {c} IS NOT NULL THEN least(greatest({c}, {q(c, 0.01)}), {q(c, 0.99)}) END"
+    return f"coalesce({clip}, (SELECT quantile_cont({clip}, 0.5) FROM t)) AS {c}"
+
+
+@query(
+    "information_value",
+    f"""{cte("items", _WITH_TARGET)}, u AS (SELECT {", ".join(_prepared(c) for c in _FEATURES)}, target FROM t)
+    SELECT feature, {r("iv", "iv", 8)} FROM ({_iv(_FEATURES, "u")})""",
+)
+def information_value(spark, folder):
+    df = load(spark, folder, "items", _WITH_TARGET)
+    ready = impute.median(outliers.winsorize(df, _FEATURES), _FEATURES)
+    return rounded(features.iv(ready, "target", _FEATURES), 8)
+
+
+@query(
+    "woe_table",
+    f"""{cte("items", _WITH_TARGET)} SELECT feature, bin, n0, n1, {r("share0", "share0")}, {r("share1", "share1")}, {r("woe", "woe")},
+    {r("contribution", "contribution", 8)} FROM ({_woe(_FEATURES, "t")})""",
+)
+def woe_table(spark, folder):
+    out = features.woe(load(spark, folder, "items", _WITH_TARGET), "target", _FEATURES)
+    return rounded(rounded(out, only=["share0", "share1", "woe"]), 8, ["contribution"])
+
+
+_LABELLED = """SELECT value, value * value AS squared, user_id, CASE WHEN value > 20 THEN 1 ELSE 0 END AS target FROM events"""
+
+
+def _labelled(spark, folder):
+    return table(spark, folder, "events").selectExpr(
+        "value", "value * value AS squared", "user_id", "CASE WHEN value > 20 THEN 1 ELSE 0 END AS target"
+    )
+
+
+@query("iv_filter", f"SELECT value, squared, target FROM ({_LABELLED})")
+def iv_filter(spark, folder):
+    """The value separates the classes, the user number does not."""
+    return features.filter_iv(_labelled(spark, folder), "target", 0.02)
+
+
+@query("drop_constant_columns", "SELECT l_orderkey, l_discount, target FROM (SELECT *, 1 AS target FROM lineitem)")
+def drop_constant_columns(spark, folder):
+    df = table(spark, folder, "lineitem").selectExpr(
+        "l_orderkey", "l_discount", "7 AS same", "CAST(NULL AS STRING) AS empty", "1 AS target"
+    )
+    return features.drop_constant(df, "target")
+
+
+_TEXTS = {
+    "plain": "CAST(l_quantity AS {s})",
+    "comma": "CAST(l_orderkey % 90 + 1 AS {s}) || ',' || lpad(CAST(l_partkey % 1000 AS {s}), 3, '0')",
+    "mostly": "CASE WHEN l_orderkey % 10 = 0 THEN 'n/a' ELSE CAST(l_linenumber AS {s}) END",
+    "words": "CASE WHEN l_orderkey % 3 = 0 THEN 'n/a' ELSE CAST(l_linenumber AS {s}) END",
+}
+
+
+@query(
+    "coerce_numeric_strings",
+    """SELECT l_orderkey, l_quantity AS plain, CAST((l_orderkey % 90 + 1) * 1000 + l_partkey % 1000 AS DOUBLE) AS comma,
+    CASE WHEN l_orderkey % 10 <> 0 THEN CAST(l_linenumber AS DOUBLE) END AS mostly,
+    CASE WHEN l_orderkey % 3 = 0 THEN 'n/a' ELSE CAST(l_linenumber AS VARCHAR) END AS words FROM lineitem""",
+)
+def coerce_numeric_strings(spark, folder):
+    exprs = [f"{e.format(s='STRING')} AS {n}" for n, e in _TEXTS.items()]
+    return features.coerce_numeric(table(spark, folder, "lineitem").selectExpr("l_orderkey", *exprs))
+
+
+@query("drop_non_numeric", source("items", ["l_orderkey", "quantity", "target"]))
+def drop_non_numeric(spark, folder):
+    return features.numeric_only(load(spark, folder, "items", ["l_orderkey", "quantity", "flag", "status", "target"]), "target")
+
+
+# ---- correlation ------------------------------------------------------------------------------------
+
+
+def _pairs(cols: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, abs(corr({a}, {b})) AS r FROM t" for i, a in enumerate(cols) for b in cols[i + 1 :]
+    )
+
+
+@query("correlation_matrix", f"{cte('items', _FEATURES)} SELECT a, b, {r('r', 'r')} FROM ({_pairs(_FEATURES)})")
+def correlation_matrix(spark, folder):
+    return rounded(features.corr_matrix(load(spark, folder, "items", _FEATURES), _FEATURES))
+
+
+@query(
+    "correlation_matrix_wide",
+    f"""WITH t AS (SELECT * FROM ({source("items", _FEATURES)}) WHERE quantity IS NOT NULL AND price IS NOT NULL)
+    SELECT a, b, {r("r", "r")} FROM ({_pairs(_FEATURES)})""",
+)
+def correlation_matrix_wide(spark, folder):
+    """Complete rows only, one pass over vectors."""
+    return rounded(features.corr_matrix(load(spark, folder, "items", _FEATURES), _FEATURES, complete=True))
+
+
+@query("correlation_prune", source("items", ["quantity", "price", "discount", "target"]))
+def correlation_prune(spark, folder):
+    """The revenue follows the price, which comes first."""
+    return features.filter_corr(load(spark, folder, "items", _WITH_TARGET), "target", 0.8)
+
+
+@query(
+    "top_correlated_pairs",
+    f"{cte('items', _FEATURES)} SELECT a, b, {r('r', 'r')} FROM ({_pairs(_FEATURES)}) ORDER BY r DESC, a, b LIMIT 3",
+)
+def top_correlated_pairs(spark, folder):
+    return rounded(features.top_pairs(load(spark, folder, "items", _FEATURES), _FEATURES, 3))
+
+
+@query(
+    "target_ranking",
+    f"{cte('items', _WITH_TARGET)} SELECT feature, {r('r', 'r')} FROM ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS feature, abs(coalesce(corr({c}, target), 0)) AS r FROM t" for c in _FEATURES)
+    + ") ORDER BY r DESC, feature LIMIT 3",
+)
+def target_ranking(spark, folder):
+    return rounded(features.rank_by_target(load(spark, folder, "items", _WITH_TARGET), "target", 3))
+
+
+# ---- variance inflation -----------------------------------------------------------------------------
+
+_THREE = ["quantity", "price", "revenue"]
+
+
+def _vif(cols: list[str]) -> str:
+    """Diagonal of the inverse of a 3 x 3 correlation matrix."""
+    return f"""SELECT 'quantity' AS feature, {r("(1 - c * c) / d", "vif", 5)} FROM k UNION ALL
+    SELECT 'price', {r("(1 - b * b) / d", "vif", 5)} FROM k UNION ALL SELECT 'revenue', {r("(1 - a * a) / d", "vif", 5)} FROM k"""
+
+
+_FILLED = f"""{cte("items", _THREE)}, u AS (SELECT {", ".join(f"coalesce({c}, (SELECT avg({c}) FROM t)) AS {c}" for c in _THREE)} FROM t),
+    k AS (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS d FROM
+    (SELECT corr(quantity, price) AS a, corr(quantity, revenue) AS b, corr(price, revenue) AS c FROM u))"""
+
+
+@query("vif", f"{_FILLED} {_vif(_THREE)}")
+def vif(spark, folder):
+    return rounded(features.vif(load(spark, folder, "items", _THREE), _THREE), 5)
+
+
+@query(
+    "vif_raw",
+    f"""{cte("items", ["quantity", "price"])}, k AS (SELECT sum(x * x) AS a, sum(x * y) AS b, sum(y * y) AS c FROM
+    (SELECT coalesce(quantity, 0) AS x, coalesce(price, 0) AS y FROM t))
+    SELECT 'quantity' AS feature, {r("a * c / (a * c - b * b)", "vif")} FROM k
+    UNION ALL SELECT 'price', {r("a * c / (a * c - b * b)", "vif")} FROM k""",
+)
+def vif_raw(spark, folder):
+    return rounded(features.vif(load(spark, folder, "items", ["quantity", "price"]), ["quantity", "price"], center=False))
+
+
+@query("vif_filter", source("items", ["quantity", "discount", "target"]))
+def vif_filter(spark, folder):
+    """Price and revenue explain each other, so both go."""
+    return features.filter_vif(load(spark, folder, "items", _WITH_TARGET), "target", 5.0)
+
+
+# ---- stability --------------------------------------------------------------------------------------
+
+_OOT = "2000M06"
+_ORDERS = f"""SELECT orderdate, total, o_custkey, total + CASE WHEN orderdate >= '2000-06-01' THEN 100000 ELSE 0 END AS shifted
+    FROM ({source("sales", ["orderdate", "total", "o_custkey"])})"""
+
+
+def _orders(spark, folder):
+    return load(spark, folder, "sales", ["orderdate", "total", "o_custkey"]).selectExpr(
+        "orderdate", "total", "o_custkey", "total + CASE WHEN orderdate >= '2000-06-01' THEN 100000 ELSE 0 END AS shifted"
+    )
+
+
+def _csi_bins(cols: list[str], clamp: bool = False) -> str:
+    """Counts and shares in [a, b) bins of the development deciles, the last closed."""
+    probs = ", ".join(str(i / 10) for i in range(11))
+    inside = "" if clamp else "AND {c} BETWEEN g[1] AND g[len(g)]"
+    cells = " UNION ALL ".join(
+        f"""SELECT '{c}' AS feature, CAST(len(list_filter(g[2:len(g) - 1], lambda e: {c} >= e)) AS INTEGER) AS bin, late FROM t,
+        (SELECT list_sort(list_distinct(quantile_cont({c}, [{probs}]))) AS g FROM t WHERE NOT late) f
+        WHERE {c} IS NOT NULL {inside.format(c=c)}"""
+        for c in cols
+    )
+    return f"""WITH t AS (SELECT *, orderdate >= '2000-06-01' AS late FROM ({_ORDERS})), b AS (SELECT *,
+    dev * 1.0 / sum(dev) OVER (PARTITION BY feature) AS dev_share, oot * 1.0 / sum(oot) OVER (PARTITION BY feature) AS oot_share FROM
+    (SELECT feature, bin, count(CASE WHEN NOT late THEN 1 END) AS dev, count(CASE WHEN late THEN 1 END) AS oot FROM ({cells})
+     GROUP BY feature, bin)), s AS (SELECT *, CASE WHEN dev_share > 0 AND oot_share > 0
+     THEN (oot_share - dev_share) * ln(oot_share / dev_share) ELSE 0 END AS contribution FROM b) """
+
+
+_DRIFTING = ["total", "o_custkey", "shifted"]
+
+
+@query("csi", _csi_bins(_DRIFTING) + f"SELECT feature, {r('sum(contribution)', 'csi')} FROM s GROUP BY feature")
+def csi(spark, folder):
+    return rounded(features.csi(_orders(spark, folder), "orderdate", _OOT, _DRIFTING))
+
+
+_BIN_ROW = f"feature, bin, dev, oot, {r('dev_share', 'dev_share')}, {r('oot_share', 'oot_share')}, {r('contribution', 'contribution')}"
+
+
+@query("csi_bins", _csi_bins(_DRIFTING) + f"SELECT {_BIN_ROW} FROM s")
+def csi_bins(spark, folder):
+    return rounded(features.csi_bins(_orders(spark, folder), "orderdate", _OOT, _DRIFTING))
+
+
+@query("csi_bins_clamped", _csi_bins(_DRIFTING, clamp=True) + f"SELECT {_BIN_ROW} FROM s")
+def csi_bins_clamped(spark, folder):
+    return rounded(features.csi_bins(_orders(spark, folder), "orderdate", _OOT, _DRIFTING, out_of_range="clamp"))
+
+
+@query("csi_filter", f"SELECT orderdate, total, o_custkey FROM ({_ORDERS})")
+def csi_filter(spark, folder):
+    """The shifted column moved between the periods."""
+    return features.filter_csi(_orders(spark, folder), "orderdate", _OOT, 0.2, _DRIFTING)
+
+
+# ---- model-based scores -----------------------------------------------------------------------------
+
+
+@query("tree_importance")
+def tree_importance(spark, folder):
+    return features.importance(load(spark, folder, "items", _WITH_TARGET), "target", trees=20, depth=6)
+
+
+def _r_scores(spark, folder):
+    return features.rank_by_target(_labelled(spark, folder), "target", 10).withColumnRenamed("r", "score")
+
+
+@query("importance_filter", f"SELECT value, squared, target FROM ({_LABELLED})")
+def importance_filter(spark, folder):
+    """Any score table works: here the correlation with the target."""
+    return features.filter_scores(_labelled(spark, folder), "target", _r_scores(spark, folder), top_n=2)
+
+
+@query("importance_filter_min", f"SELECT value, squared, target FROM ({_LABELLED})")
+def importance_filter_min(spark, folder):
+    return features.filter_scores(_labelled(spark, folder), "target", _r_scores(spark, folder), min_score=0.1)
+
+
+@query("lasso_select")
+def lasso_select(spark, folder):
+    df = load(spark, folder, "items", ["quantity", "discount", "revenue", "price"])
+    return features.lasso(df, "price", ["quantity", "discount", "revenue"])
+
+
+@query("pca")
+def pca(spark, folder):
+    return features.pca(load(spark, folder, "items", _FEATURES), _FEATURES)
+
+
+@query("rfe")
+def rfe(spark, folder):
+    return features.rfe(load(spark, folder, "items", _WITH_TARGET), "target", n=2)
+
+
+# ---- questions and ledger ---------------------------------------------------------------------------
+
+_SCORES = f"SELECT feature, {r('r', 'score')} FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, abs(corr({c}, target)) AS r FROM ({_LABELLED})" for c in ("value", "squared", "user_id")
+) + ")"
+
+
+@query("query_scores_top", f"{_SCORES} ORDER BY score DESC, feature LIMIT 2")
+def query_scores_top(spark, folder):
+    return rounded(features.query(_r_scores(spark, folder), top=2))
+
+
+@query("query_scores_above", f"SELECT * FROM ({_SCORES}) WHERE score > 0.1")
+def query_scores_above(spark, folder):
+    return rounded(features.query(_r_scores(spark, folder), gt=0.1))
+
+
+@query("query_scores_count", f"SELECT count(CASE WHEN score > 0.1 THEN 1 END) AS above, count(*) AS total FROM ({_SCORES})")
+def query_scores_count(spark, folder):
+    return features.query_count(_r_scores(spark, folder), gt=0.1)
+
+
+@query(
+    "selection_ledger",
+    f"""{cte("items", _WITH_TARGET)} SELECT CAST(p AS INTEGER) AS position, step, CAST(b AS INTEGER) AS "before",
+    CAST(a AS INTEGER) AS "after", CAST(b - a AS INTEGER) AS removed, {r("(5 - a) * 100.0 / 5", "total_reduction_pct")}
+    FROM (VALUES (1, 'correlation', 5, 4), (3, 'vif', 4, 4)) v(p, step, b, a) WHERE (SELECT count(*) FROM t) > 0""",
+)
+def selection_ledger(spark, folder):
+    """A look at the scores with threshold 0 is not a step."""
+    df = load(spark, folder, "items", _WITH_TARGET)
+    ledger = Ledger(df.columns)
+    df = features.filter_corr(df, "target", 0.8)
+    ledger.add("correlation", {"threshold": 0.8}, df.columns)
+    ledger.add("iv", {"threshold": 0.0}, df.columns)
+    df = features.filter_vif(df, "target", 5.0)
+    ledger.add("vif", {"threshold": 5.0}, df.columns)
+    return rounded(ledger.to_df(spark).select("position", "step", "before", "after", "removed", F.col("total_reduction_pct")))

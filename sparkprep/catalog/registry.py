@@ -94,6 +94,27 @@ INPUTS: dict[str, tuple[str, dict[str, str]]] = {
             "p_retailprice": "p_retailprice",
         },
     ),
+    # one column per situation the rules tell apart
+    "traits": (
+        "events",
+        {
+            "event_id": "event_id",
+            "value": "value",
+            "squared": "value * value",
+            "sparse": "CASE WHEN event_id % 10 = 0 THEN value END",
+            "income": "CASE WHEN event_id % 29 = 0 THEN NULL ELSE value END",
+            "balance": "CASE WHEN event_id % 31 = 0 THEN NULL ELSE user_id END",
+            "zeroed": "CASE WHEN value < 60 THEN 0 ELSE value END",
+            "event_type": "CASE WHEN event_id % 13 = 0 THEN NULL ELSE event_type END",
+            "state": "event_type || '_' || CAST(user_id % 4 AS STRING)",
+            "tier": "CASE user_id % 4 WHEN 0 THEN 'small' WHEN 1 THEN 'medium' WHEN 2 THEN 'large' ELSE 'giant' END",
+            "pair": "CASE WHEN user_id < 50 THEN 'a' ELSE 'b' END",
+            "note": "CAST(event_id AS STRING)",
+            "created": "CAST(event_id % 50 AS STRING)",
+            "tag": "CASE WHEN event_id % 6 = 0 THEN NULL ELSE CAST(user_id AS STRING) END",
+            "target": "CASE WHEN value > 20 THEN 1 ELSE 0 END",
+        },
+    ),
     "scored": (
         "lineitem",
         {

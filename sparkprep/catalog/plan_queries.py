@@ -320,13 +320,15 @@ def plan_summary(spark, folder):
     return plan.summary(spark).withColumn("rows", F.lit(plan.transform(every).count()))
 
 
+_FAST = ["event_id", "value", "sparse", "balance", "event_type", "state", "tier", "tag", "target"]
+
+
 @query("fast_preparation")
 def fast_preparation(spark, folder):
     """Prepared table with the features that survive selection."""
-    df = load(spark, folder, "traits")
-    return prep.fast(df, "target").table
+    return prep.fast(load(spark, folder, "traits", _FAST), "target").table
 
 
 @query("fast_preparation_steps")
 def fast_preparation_steps(spark, folder):
-    return prep.fast(load(spark, folder, "traits"), "target").ledger.to_df(spark)
+    return prep.fast(load(spark, folder, "traits", _FAST), "target").ledger.to_df(spark)

@@ -468,12 +468,17 @@ NUMERIC_FIELDS = (
 
 
 def full(
-    df: DataFrame, target: str | None = None, cols: list[str] | None = None, approx: bool = False
+    df: DataFrame,
+    target: str | None = None,
+    cols: list[str] | None = None,
+    approx: bool = False,
+    unique_counts: bool = True,
 ) -> DataFrame:
     """Profile the rules read: one row per column with counts, distribution and outlier shares.
 
     Moments and quantiles give the fences, one more aggregate the shares beyond them. All of it is one row
-    per column, kept as local data so that the rules on top of it do not read the table again.
+    per column, kept as local data so that the rules on top of it do not read the table again. Distinct
+    counts shuffle the values; ``unique_counts=False`` leaves them (and ``is_ordinal``) null.
     """
     cols = df.columns if cols is None else cols
     mode = "approx" if approx else "exact"
@@ -500,7 +505,9 @@ def full(
             z = F.abs(num(c) - F.lit(got[c, "mean"]))
             far[c, name] = count_if(z > F.lit(k * spread)) if spread else count_if(F.lit(False))
     share = {k: 100.0 * v / (total - got[k[0], "missing"]) for k, v in (agg.fit(df, far) if far else {}).items()}
-    unique = {r["column"]: r["unique_count"] for r in distinct_counts(df, cols, approx).collect()}
+    unique = dict.fromkeys(cols)
+    if unique_counts and cols:
+        unique = {r["column"]: r["unique_count"] for r in distinct_counts(df, cols, approx).collect()}
     rows = []
     for c in cols:
         numbers = {**at.get(c, {}), **{n: got.get((c, n)) for n in moment}, **{n: v for (k, n), v in share.items() if k == c}}
@@ -514,9 +521,9 @@ def full(
                 got[c, "missing"],
                 100.0 * got[c, "missing"] / total if total else None,
                 unique[c],
-                unique[c] / total if total else None,
+                unique[c] / total if total and unique[c] is not None else None,
                 *[None if numbers.get(n) is None else float(numbers[n]) for n in NUMERIC_FIELDS],
-                unique[c] >= 3 and ordered,
+                None if unique[c] is None else unique[c] >= 3 and ordered,
                 c == target,
                 p,
                 p is not None and p > 0.05,

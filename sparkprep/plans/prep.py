@@ -6,6 +6,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+from ..functions import agg
+from ..functions.columns import categorical, numeric, ref
 from ..operators import features, profile, recommend
 from ..session import durable
 from .ledger import Ledger
@@ -31,16 +33,30 @@ class Prep:
         """{column: strategy} of one phase on the current table; the target is never treated."""
         if phase == "sentinels":
             return all_sentinels(df, self.target)
-        table = profile.full(df, self.target, approx=self.approx)
+        table = self.profile(df, phase)
         rules = recommend.RULES[phase](table)
         given = {c: s for c, s in self.overrides.get(phase, {}).items() if c in df.columns}
         user = None
         if given:
             user = df.sparkSession.createDataFrame(list(given.items()), "column string, strategy string")
+        if table.isEmpty():
+            return {c: s for c, s in given.items() if c != self.target}
         picked = recommend.resolve(rules, recommend.fallback(table, phase), user).collect()
         out = {r["column"]: r["strategy"] for r in picked if r["column"] != self.target}
         return {**out, **{c: s for c, s in given.items() if c != self.target}}
 
+    def profile(self, df: DataFrame, phase: str) -> DataFrame:
+        """Only the columns the rules of the phase look at, and distinct values only where they count."""
+        if phase in ("outliers", "transformations"):
+            cols = numeric(df, [self.target])
+        elif phase == "encoding":
+            cols = categorical(df, [self.target])
+        else:
+            nulls = agg.fit(df, {c: agg.count_if(ref(c).isNull()) for c in df.columns if c != self.target})
+            cols = [c for c, n in nulls.items() if n]
+        unique = phase in ("missing", "encoding")
+        return profile.full(df, self.target, cols, approx=self.approx, unique_counts=unique)
+
     def fit_transform(self, df: DataFrame) -> tuple[Plan, DataFrame]:
         plan = Plan(overrides=[(p, c) for p, m in self.overrides.items() for c in m])
         for phase in self.phases:

@@ -27,14 +27,18 @@ def baseline(df: DataFrame, cols: list[str], n: int = 10) -> Baseline:
 
 
 def window_counts(df: DataFrame, base: Baseline, ts: str, window: str = "1 day", late: str | None = None) -> DataFrame:
-    """(window_start, feature, bin, n); on a stream give ``late``, the time a window waits for its rows."""
+    """(window_start, feature, bin, n); on a stream give ``late``, the time a window waits for its rows.
+
+    Event time on a stream must be a point in time, so zoneless timestamps are read in the session time zone.
+    """
+    kind = df.schema[ts].dataType
     if late is not None:
-        df = df.withWatermark(ts, late)
+        df = df.withColumn(ts, ref(ts).cast("timestamp")).withWatermark(ts, late)
     cells = bins.melt(df, base.edges, {ts: ref(ts)}, closed="left")
     return (
         cells.groupBy(F.window(ref(ts), window).alias("_w"), "feature", "bin")
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.col("_w.start").alias("window_start"), "feature", "bin", "n")
+        .select(F.col("_w.start").cast(kind).alias("window_start"), "feature", "bin", "n")
     )
 
 

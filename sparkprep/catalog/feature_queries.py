@@ -72,7 +72,7 @@ def _labelled(spark, folder):
 @query("iv_filter", f"SELECT value, squared, target FROM ({_LABELLED})")
 def iv_filter(spark, folder):
     """The value separates the classes, the user number does not."""
-    return features.filter_iv(_labelled(spark, folder), "target", 0.02)
+    return features.filter_iv(_labelled(spark, folder), "target", 0.1)
 
 
 @query("drop_constant_columns", "SELECT l_orderkey, l_discount, target FROM (SELECT *, 1 AS target FROM lineitem)")
@@ -196,13 +196,13 @@ def vif_filter(spark, folder):
 # ---- stability --------------------------------------------------------------------------------------
 
 _OOT = "2000M06"
-_ORDERS = f"""SELECT orderdate, total, o_custkey, total + CASE WHEN orderdate >= '2000-06-01' THEN 100000 ELSE 0 END AS shifted
+_ORDERS = f"""SELECT orderdate, total, o_custkey, total * CASE WHEN orderdate >= '2000-06-01' THEN 0.4 ELSE 1 END AS shifted
     FROM ({source("sales", ["orderdate", "total", "o_custkey"])})"""
 
 
 def _orders(spark, folder):
     return load(spark, folder, "sales", ["orderdate", "total", "o_custkey"]).selectExpr(
-        "orderdate", "total", "o_custkey", "total + CASE WHEN orderdate >= '2000-06-01' THEN 100000 ELSE 0 END AS shifted"
+        "orderdate", "total", "o_custkey", "total * CASE WHEN orderdate >= '2000-06-01' THEN 0.4 ELSE 1 END AS shifted"
     )
 
 

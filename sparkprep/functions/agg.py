@@ -54,3 +54,13 @@ def count_if(cond: Column) -> Column:
 
 def pct(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double") * 100.0, whole.cast("double"))
+
+
+def corr(a: Column, b: Column) -> Column:
+    """Pearson correlation over rows with both values; null when a side is constant.
+
+    The built-in divides by the product of the deviations, which is an error in ANSI mode when one is zero.
+    """
+    share, together = F.regr_r2(a, b), F.covar_pop(a, b)
+    flat = share.isNull() | ((together == 0) & (share == 1))
+    return F.when(~flat, F.signum(together) * F.sqrt(share))

@@ -160,7 +160,7 @@ def corr_matrix(df: DataFrame, cols: list[str] | None = None, complete: bool = F
         m = _vector_corr(df.select(*[num(c).alias(f"_x{i}") for i, c in enumerate(cols)]).dropna(), len(cols))
         rows = [(cols[i], cols[j], None if math.isnan(m[i, j]) else abs(float(m[i, j]))) for i, j in pairs]
         return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
-    got = agg.long(df, {f"{i},{j}": {"r": F.corr(num(cols[i]), num(cols[j]))} for i, j in pairs}, "pair")
+    got = agg.long(df, {f"{i},{j}": {"r": agg.corr(num(cols[i]), num(cols[j]))} for i, j in pairs}, "pair")
     spot = F.split("pair", ",")
     names = F.array(*[F.lit(c) for c in cols])
     r = F.abs(F.nanvl(F.col("r"), F.lit(None)))
@@ -197,7 +197,7 @@ def top_pairs(df: DataFrame, cols: list[str] | None = None, n: int = 10) -> Data
 def rank_by_target(df: DataFrame, target: str, n: int = 10, cols: list[str] | None = None) -> DataFrame:
     """(feature, r): the n features with the highest absolute correlation with the target."""
     cols = numeric(df, exclude=[target]) if cols is None else cols
-    table = agg.long(df, {c: {"r": F.corr(num(c), num(target))} for c in cols}, "feature")
+    table = agg.long(df, {c: {"r": agg.corr(num(c), num(target))} for c in cols}, "feature")
     r = F.abs(F.coalesce(F.nanvl(F.col("r"), F.lit(None)), F.lit(0.0)))
     return table.select("feature", r.alias("r")).orderBy(F.desc("r"), "feature").limit(n)
 
@@ -242,7 +242,7 @@ def vif(df: DataFrame, cols: list[str] | None = None, center: bool = True) -> Da
     if center and k > WIDE:
         m = _vector_corr(x, k)
     else:
-        product = F.corr if center else (lambda a, b: F.sum(F.col(a) * F.col(b)))
+        product = (lambda a, b: agg.corr(F.col(a), F.col(b))) if center else (lambda a, b: F.sum(F.col(a) * F.col(b)))
         pairs = [(i, j) for i in range(k) for j in range(i, k) if not center or i != j]
         got = agg.fit(x, {p: product(names[p[0]], names[p[1]]) for p in pairs})
         for (i, j), v in got.items():

@@ -121,7 +121,7 @@ def predictors(df: DataFrame, col: str, min_corr: float = 0.3) -> list[str]:
     names = [f.name for f in df.schema.fields if kind(f.dataType) == "numeric" and f.name != col]
     if not names:
         return []
-    r = agg.fit(df, {c: F.corr(num(c), num(col)) for c in names})
+    r = agg.fit(df, {c: agg.corr(num(c), num(col)) for c in names})
     return [c for c in names if r[c] is not None and abs(r[c]) > min_corr]
 
 

@@ -394,7 +394,7 @@ def target_corr(df: DataFrame, target: str, cols: list[str] | None = None) -> Da
     """(column, r, strength): Pearson over rows with both values, 0 where it is undefined."""
     cols = numeric(df, exclude=[target]) if cols is None else cols
     t = num(target)
-    out = agg.long(df, {c: {"r": F.corr(num(c), t)} for c in cols})
+    out = agg.long(df, {c: {"r": agg.corr(num(c), t)} for c in cols})
     r = F.coalesce(F.nanvl(F.col("r"), F.lit(None)), F.lit(0.0))
     return out.select("column", r.alias("r")).withColumn("strength", strength(F.col("r")))
 

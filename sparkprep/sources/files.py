@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.columns import normalize_nan
+from ..functions.columns import categorical, normalize_nan, ref, replace
 
 FORMATS = ("csv", "tsv", "json", "parquet", "orc")
 # File name endings and the format they stand for.
@@ -13,6 +13,9 @@ ENDINGS = {
     "xlsx": "excel", "xls": "excel", "parquet": "parquet",
 }
 SNIFF_BYTES = 1000
+# Other names of the encodings Spark reads.
+ENCODINGS = {"latin-1": "iso-8859-1", "latin1": "iso-8859-1", "ascii": "us-ascii", "utf8": "utf-8"}
+_C1 = [i for i in range(0x80, 0xA0) if bytes([i]).decode("cp1252", "ignore")]  # where cp1252 leaves latin-1
 
 
 def read(
@@ -26,10 +29,19 @@ def read(
 ) -> DataFrame:
     """Read a table; NaN becomes null. Give ``schema`` for large inputs: inference reads the files once more.
 
+    ``encoding`` also takes cp1252, and ``auto``: one more pass looks for bytes that are not utf-8 and falls
+    back to latin-1.
+
     ``keep_bad_rows`` names a column for lines that do not parse (it must then be part of ``schema``).
     """
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}, expected one of {FORMATS}")
+    encoding = encoding.lower()
+    if encoding == "auto":
+        lines = spark.read.text(path).filter(~F.is_valid_utf8("value"))
+        encoding = "utf-8" if lines.isEmpty() else "iso-8859-1"
+    windows = encoding in ("cp1252", "windows-1252")
+    encoding = "iso-8859-1" if windows else ENCODINGS.get(encoding, encoding)
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
@@ -41,7 +53,11 @@ def read(
         reader = reader.option("multiLine", multiline).option("encoding", encoding)
     if fmt in ("csv", "tsv", "json") and keep_bad_rows:
         reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", keep_bad_rows)
-    return normalize_nan(reader.format("csv" if fmt == "tsv" else fmt).load(path))
+    df = reader.format("csv" if fmt == "tsv" else fmt).load(path)
+    if windows:
+        raw, meant = "".join(map(chr, _C1)), bytes(_C1).decode("cp1252")
+        df = replace(df, {c: F.translate(ref(c), raw, meant) for c in categorical(df)})
+    return normalize_nan(df)
 
 
 def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import math
+import os
 import sys
 import time
 
@@ -60,7 +61,7 @@ if __name__ == "__main__":
     import __spark_entry__ as e
     from sparkprep.session import get_session
 
-    folder = "/root/testdata/sf0.01"
+    folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     spark = get_session(
         master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
                               "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"},

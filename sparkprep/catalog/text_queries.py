@@ -41,8 +41,7 @@ def _labels(origin: str, key: str, extra: str = "") -> str:
     CASE WHEN {full} THEN 1.0 ELSE best * 1.0 / greatest(n, 1) - second * 1.0 / greatest(n, 1) END AS margin FROM
     (SELECT *, greatest({", ".join(f"h{i}" for i in range(n))}) AS best,
      list_sort([{", ".join(f"h{i}" for i in range(n))}], 'DESC')[2] AS second FROM
-     (SELECT *, {hits} FROM (SELECT *, lower(text) AS low, len(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'),
-      lambda x: x <> '')) AS n, list_transform(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: {_FOLD}) AS words
+     (SELECT *, {hits} FROM (SELECT *, lower(text) AS low, len(regexp_extract_all(lower(text), '[^\\s\\p{{Z}}]+')) AS n, list_transform(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: {_FOLD}) AS words
       FROM {origin})))"""
 
 

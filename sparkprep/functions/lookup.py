@@ -21,12 +21,28 @@ class Lookup:
     frame: DataFrame
     rows: int
     small: bool
+    total: int = 0  # rows of the table a large mapping was counted on
 
     @property
     def results(self) -> list[str]:
         return [c for c in self.frame.columns if c not in ("value", "n")]
 
 
+def settle(counted: DataFrame) -> DataFrame:
+    """Counted values evaluated once: local data when they are few, else files in the shared folder."""
+    rows = counted.limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) <= BROADCAST_ROWS:
+        return counted.sparkSession.createDataFrame(rows, counted.schema)
+    return durable(counted)
+
+
+def sizes(counted: DataFrame, cols: list[str]) -> dict[str, int]:
+    """Number of values per column."""
+    got = counted.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()
+    found = {r["column"]: r["k"] for r in got}
+    return {c: found.get(c, 0) for c in cols}
+
+
 def freeze(mapping: DataFrame, sizes: dict[str, int], stored: bool = False) -> dict[str, Lookup]:
     """Split (column, value, n, results) into one lookup per column.
 
@@ -51,8 +67,10 @@ def freeze(mapping: DataFrame, sizes: dict[str, int], stored: bool = False) -> d
     if large:
         kept = mapping.filter(F.col("column").isin(large))
         kept = kept if stored else durable(kept)
+        totals = {r["column"]: r["t"] for r in kept.groupBy("column").agg(F.sum("n").alias("t")).collect()}
         for c in large:
-            out[c] = Lookup(kept.filter(F.col("column") == F.lit(c)).drop("column"), sizes[c], False)
+            mine = kept.filter(F.col("column") == F.lit(c)).drop("column")
+            out[c] = Lookup(mine, sizes[c], False, totals.get(c) or 0)
     return out
 
 
@@ -72,8 +90,7 @@ def _join_large(df: DataFrame, key: Column, lookup: Lookup, prefix: str) -> Data
     spread by a hash of the whole row instead of piling up on one key.
     """
     frame = lookup.frame
-    total = frame.agg(F.sum("n")).first()[0] or 0
-    is_hot = F.col("n") * F.lit(HOT_SHARE) > F.lit(total)
+    is_hot = F.col("n") * F.lit(HOT_SHARE) > F.lit(lookup.total)
     k, hot_key, cold_key, salt = (prefix + s for s in ("key", "hot", "cold", "salt"))
     names = [prefix + r for r in lookup.results]
     hot = frame.filter(is_hot).select(

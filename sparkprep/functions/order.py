@@ -11,6 +11,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import durable
 from .columns import ref
 
 ROWS_PER_BUCKET = 2_000_000
@@ -18,8 +19,7 @@ MAX_BUCKETS = 4_096  # parallelism, not a row limit: ranges get longer beyond it
 _OVERSAMPLE = 32
 
 
-def _edges(df: DataFrame, keys: list[str]) -> list[tuple]:
-    n = df.count()
+def _edges(df: DataFrame, keys: list[str], n: int) -> list[tuple]:
     k = min(MAX_BUCKETS, math.ceil(n / ROWS_PER_BUCKET))
     if k <= 1:
         return []
@@ -30,9 +30,9 @@ def _edges(df: DataFrame, keys: list[str]) -> list[tuple]:
     return [tuple(sample[i]) for i in range(per, len(sample), per)]
 
 
-def bucket(df: DataFrame, keys: list[str]) -> Column | None:
-    """Range number of a row, or None when the rows fit one range."""
-    found = _edges(df, keys)
+def bucket(df: DataFrame, keys: list[str], n: int) -> Column | None:
+    """Range number of one of n rows, or None when they fit one range."""
+    found = _edges(df, keys, n)
     if not found:
         return None
     types = [df.schema[k].dataType for k in keys]
@@ -55,12 +55,15 @@ def running(
 ) -> DataFrame:
     """Adds inclusive running sums over the order of ``keys``, restarted for every value of ``by``.
 
-    ``by`` names few groups (columns, classes); together with ``keys`` it must identify a row.
+    ``by`` names few groups (columns, classes); together with ``keys`` it must identify a row. The frame is a
+    grouped result: when it is long it is written once, since edges, totals and sums all read it.
     """
     by = by or []
     order = by + keys
+    n = df.count()
+    df = durable(df) if n > ROWS_PER_BUCKET else df
     plain = df.select("*", *[e.alias(f"_v_{n}") for n, e in sums.items()])
-    spot = bucket(df, order)
+    spot = bucket(df, order, n)
     if spot is None:
         w = Window.partitionBy(*[ref(b) for b in by]) if by else Window.partitionBy(F.lit(0))
         w = w.orderBy(*[ref(k) for k in keys]).rowsBetween(Window.unboundedPreceding, 0)
@@ -97,7 +100,7 @@ def rank(df: DataFrame, keys: list[str], name: str, by: list[str] | None = None)
 def fill_forward(df: DataFrame, cols: list[str], order_by: list[str], partition_by: list[str]) -> DataFrame:
     """Null -> last earlier non-null value of the same partition, in ``order_by`` (which must be unique there)."""
     order = partition_by + order_by
-    spot = bucket(df, order)
+    spot = bucket(df, order, df.count())
     reach = (Window.unboundedPreceding, 0)
     if spot is None:
         w = Window.partitionBy(*[ref(p) for p in partition_by]) if partition_by else Window.partitionBy(F.lit(0))

@@ -39,9 +39,9 @@ def _text(name: str) -> Column:
 
 def _codes(counted: DataFrame, cols: list[str], keys: list[str]) -> dict[str, lookup.Lookup]:
     """Position of every value within its column in the order of ``keys``."""
-    sizes = {r["column"]: r["k"] for r in counted.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
+    counted = lookup.settle(counted)
     ranked = order.rank(counted, keys, "code", by=["column"])
-    return lookup.freeze(ranked.select("column", "value", "n", "code"), {c: sizes.get(c, 0) for c in cols})
+    return lookup.freeze(ranked.select("column", "value", "n", "code"), lookup.sizes(counted, cols))
 
 
 def fit_label(df: DataFrame, cols: list[str]) -> dict[str, lookup.Lookup]:
@@ -75,9 +75,9 @@ def fit_target(
         F.coalesce(F.col("total"), F.lit(0.0)) + F.lit(float(smoothing)) * F.lit(overall),
         F.col("seen") + F.lit(float(smoothing)),
     )
-    sizes = {r["column"]: r["k"] for r in counted.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
+    counted = lookup.settle(counted)
     mapping = counted.select("column", "value", "n", shrunk.alias("mean"))
-    return lookup.freeze(mapping, {c: sizes.get(c, 0) for c in cols}), overall
+    return lookup.freeze(mapping, lookup.sizes(counted, cols)), overall
 
 
 def fit_onehot(df: DataFrame, cols: list[str], top: int = ONEHOT_LIMIT) -> dict[str, tuple[list[str], bool]]:

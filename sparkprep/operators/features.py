@@ -14,7 +14,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions import agg, bins
+from ..functions import agg, bins, counts
 from ..functions.agg import count_if
 from ..functions.columns import categorical, kind, num, numeric, ref, replace
 
@@ -93,10 +93,13 @@ def numeric_only(df: DataFrame, target: str, coerce: bool = True) -> DataFrame:
 
 
 def _classes(df: DataFrame, target: str) -> list:
-    """The two smallest target values."""
+    """The two smallest target values, by two plain aggregates however many values there are."""
     t = ref(target)
-    found = df.filter(t.isNotNull()).select(t.alias("t")).distinct().orderBy("t").limit(2).collect()
-    return [r["t"] for r in found]
+    first = agg.fit(df, {"v": F.min(t)})["v"]
+    if first is None:
+        return []
+    second = agg.fit(df, {"v": F.min(F.when(t > F.lit(first).cast(df.schema[target].dataType), t))})["v"]
+    return [first] if second is None else [first, second]
 
 
 def woe(df: DataFrame, target: str, cols: list[str] | None = None, bins_n: int = 5, mode: str = "exact") -> DataFrame:
@@ -375,9 +378,8 @@ def _design(df: DataFrame, target: str, cols: list[str], classify: bool) -> Data
     means = agg.fit(df, {c: F.avg(num(c)) for c in cols})
     x = [F.coalesce(num(c), F.lit(means[c] or 0.0)).alias(f"_x{i}") for i, c in enumerate(cols)]
     y = ref(target)
-    common = df.filter(y.isNotNull()).groupBy(y.alias("v")).count().orderBy(F.desc("count"), "v").limit(1).collect()
-    if common:
-        y = F.coalesce(y, F.lit(common[0]["v"]).cast(df.schema[target].dataType))
+    if agg.fit(df, {"gaps": agg.count_if(y.isNull())})["gaps"]:
+        y = F.coalesce(y, F.lit(counts.modes(df, [target])[target]).cast(df.schema[target].dataType))
     y = y.cast("string") if classify else y.cast("double")
     out = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(cols))], outputCol="_f").transform(
         df.select(*x, y.alias("_t"))

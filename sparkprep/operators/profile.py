@@ -113,24 +113,18 @@ def distinct_counts(df: DataFrame, cols: list[str], approx: bool = False) -> Dat
     return agg.long(df, {c: {"unique_count": how(ref(c))} for c in cols}, chunk=3)
 
 
-def samples(df: DataFrame, cols: list[str], k: int = 5) -> DataFrame:
-    """(column, sample_values): the k smallest distinct values as text."""
-    parts = []
-    w = Window.partitionBy("column").orderBy("value")
-    for group in counts.by_family(df, cols).values():
-        values = counts.melt(df, group).filter(F.col("value").isNotNull()).distinct()
-        first = values.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        parts.append(first.select("column", "rank", F.col("value").cast("string").alias("value")))
-    joined = reduce(DataFrame.unionByName, parts)
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"])
-    return joined.groupBy("column").agg(ordered.alias("sample_values"))
-
+def basics(df: DataFrame, cols: list[str] | None = None, approx: bool = False, k: int = 5) -> DataFrame:
+    """(column, total, missing, missing_pct, unique_count, unique_ratio, sample_values: the k smallest as text).
 
-def basics(df: DataFrame, cols: list[str] | None = None, approx: bool = False) -> DataFrame:
-    """(column, total, missing, missing_pct, unique_count, unique_ratio, sample_values)."""
+    Exact: everything comes from one count of the values per type. ``approx`` estimates the distinct counts
+    in the scan and leaves the samples out.
+    """
     cols = df.columns if cols is None else cols
-    plain = agg.long(df, {c: {"total": _rows(), "missing": _nulls(c)} for c in cols})
-    out = plain.join(distinct_counts(df, cols, approx), "column").join(samples(df, cols), "column", "left")
+    if approx:
+        stats = {c: {"total": _rows(), "missing": _nulls(c), "unique_count": F.approx_count_distinct(ref(c))} for c in cols}
+        out = agg.long(df, stats).withColumn("sample_values", F.lit(None).cast("array<string>"))
+    else:
+        out = reduce(DataFrame.unionByName, [_counted_basics(df, g, k) for g in counts.by_family(df, cols).values()])
     return out.select(
         "column",
         "total",
@@ -142,6 +136,20 @@ def basics(df: DataFrame, cols: list[str] | None = None, approx: bool = False) -
     )
 
 
+def _counted_basics(df: DataFrame, cols: list[str], k: int) -> DataFrame:
+    counted = counts.value_counts(df, cols)
+    stats = counted.groupBy("column").agg(
+        F.sum("n").alias("total"),
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"),
+        F.count("value").alias("unique_count"),
+    )
+    w = Window.partitionBy("column").orderBy("value")
+    first = counted.filter(F.col("value").isNotNull()).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    pairs = F.collect_list(F.struct("rank", F.col("value").cast("string").alias("value")))  # k per column
+    few = first.groupBy("column").agg(F.transform(F.sort_array(pairs), lambda s: s["value"]).alias("sample_values"))
+    return stats.join(few, "column", "left")
+
+
 # ---- numeric columns --------------------------------------------------------------------------------
 
 

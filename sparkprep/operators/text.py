@@ -31,7 +31,8 @@ THRESHOLDS = {
 SIMILARITY_RANGE = (0.2, 0.7)
 MARGIN_RANGE = (0.03, 0.2)
 
-_WORD = r"[\p{L}\p{N}_]+"
+_NO_WORD = r"[^\p{L}\p{N}_]+"
+_TOKEN = r"[^\s\p{Z}]+"
 MAX_PROTOTYPES = 10_000
 
 
@@ -46,37 +47,34 @@ def fold_plural(word: str) -> str:
     return word
 
 
-def _fold(w: Column) -> Column:
-    size = F.length(w)
-    return (
-        F.when(w.endswith("ies") & (size > 4), F.concat(F.substr(w, F.lit(1), size - 3), F.lit("y")))
-        .when(w.endswith("es") & (size > 3), F.substr(w, F.lit(1), size - 2))
-        .when(w.endswith("s") & (size > 2), F.substr(w, F.lit(1), size - 1))
-        .otherwise(w)
-    )
+def _folded(lower: Column) -> Column:
+    """The words of a text in singular form, each between two blanks.
 
-
-def _n_words(lower: Column) -> Column:
-    return F.size(F.filter(F.split(lower, r"\s+"), lambda w: w != ""))
+    One rule per word: a mark behind a word that was changed keeps the next rules away from it.
+    """
+    out = F.concat(F.lit(" "), F.regexp_replace(lower, _NO_WORD, " "), F.lit(" "))
+    for ending, new in (("ies", "y"), ("es", ""), ("s", "")):
+        out = F.regexp_replace(out, f"(?<=[^ ]{{2}}){ending} ", f"{new}\u0001 ")
+    return F.translate(out, "\u0001", "")
 
 
 def _keyword_hits(keywords: list[str]) -> Column:
-    """Number of keywords found in ``_lower`` as a phrase, or with all their folded words in ``_words``."""
+    """Number of keywords found in ``_lower`` as a phrase, or with all their singular words in ``_words``."""
     table = F.array(
         *[
             F.struct(
                 F.lit(k.lower()).alias("phrase"),
-                F.array(*[F.lit(fold_plural(w)) for w in re.findall(r"\w+", k.lower())]).cast("array<string>").alias("words"),
+                F.array(*[F.lit(f" {fold_plural(w)} ") for w in re.findall(r"\w+", k.lower())])
+                .cast("array<string>")
+                .alias("words"),
             )
             for k in keywords
         ]
     )
-    return F.size(
-        F.filter(
-            table,
-            lambda k: F.col("_lower").contains(k["phrase"]) | (F.size(F.array_except(k["words"], F.col("_words"))) == 0),
-        )
+    found = lambda k: F.col("_lower").contains(k["phrase"]) | F.forall(
+        k["words"], lambda w: F.col("_words").contains(w)
     )
+    return F.size(F.filter(table, found))
 
 
 def keyword_label(
@@ -92,16 +90,16 @@ def keyword_label(
     """
     overrides = {FULL_RUN: FULL_RUN_PHRASES} if overrides is None else overrides
     lower = F.lower(ref(text))
-    staged = df.withColumn("_lower", lower).withColumn(
-        "_words", F.array_distinct(F.transform(F.regexp_extract_all(lower, F.lit(_WORD), 0), _fold))
-    )
+    staged = df.withColumn("_lower", lower).withColumn("_words", _folded(F.col("_lower")))
     ranked = F.array(
         *[
             F.struct(_keyword_hits(words).alias("hits"), F.lit(-i).alias("place"), F.lit(lab).alias("label"))
             for i, (lab, words) in enumerate(keywords.items())
         ]
     )
-    staged = staged.withColumn("_ranked", F.sort_array(ranked, asc=False)).withColumn("_n", _n_words(F.col("_lower")))
+    staged = staged.withColumn("_ranked", F.sort_array(ranked, asc=False)).withColumn(
+        "_n", F.regexp_count("_lower", F.lit(_TOKEN))
+    )
     best = F.get("_ranked", F.lit(0))
     second = F.coalesce(F.get("_ranked", F.lit(1))["hits"], F.lit(0))
     per = F.greatest(F.col("_n"), F.lit(1)).cast("double")

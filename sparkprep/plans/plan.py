@@ -15,7 +15,6 @@ _SCHEMA = (
     "position int, phase string, column string, strategy string, "
     "params map<string,double>, mapping map<string,string>"
 )
-_LOOKUP_FIELDS = ("value", "n", "code", "mean")
 
 
 def fit_phase(
@@ -114,8 +113,7 @@ class Plan:
                 "value string, n bigint, code bigint, mean double, position int"
             ).parquet(f"{path}/mappings")
             keyed = stored.withColumn("column", F.col("position").cast("string")).drop("position")
-            sizes = {r["column"]: r["k"] for r in keyed.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
-            found = lookup.freeze(keyed, {str(i): sizes.get(str(i), 0) for i in wanted}, stored=True)
+            found = lookup.freeze(keyed, lookup.sizes(keyed, [str(i) for i in wanted]), stored=True)
             for i in wanted:
                 steps[i].lookup = found[str(i)]
         return Plan(steps)

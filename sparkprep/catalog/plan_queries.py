@@ -309,15 +309,24 @@ def apply_plan(spark, folder):
 
 @query(
     "plan_summary",
-    f"""{_TRAIN}, n AS (SELECT count(*) AS n FROM s) SELECT CAST(step AS INTEGER) AS step, phase, strategy, CAST(k AS BIGINT) AS columns,
-    CAST(o AS BIGINT) AS overridden, n AS "rows" FROM n, (VALUES (2, 'outliers', 'winsorize', 1, 1), (3, 'missing', 'median', 1, 0),
+    f"""{_TRAIN} SELECT CAST(step AS INTEGER) AS step, phase, strategy, CAST(k AS BIGINT) AS columns,
+    CAST(o AS BIGINT) AS overridden FROM (VALUES (2, 'outliers', 'winsorize', 1, 1), (3, 'missing', 'median', 1, 0),
     (3, 'missing', 'mode', 1, 0), (4, 'encoding', 'label', 1, 0), (5, 'transformations', 'standardize', 1, 0))
-    a(step, phase, strategy, k, o)""",
+    a(step, phase, strategy, k, o) WHERE (SELECT count(*) FROM m) > 0""",
 )
 def plan_summary(spark, folder):
-    every, half = _even(spark, folder)
-    plan = _train_plan(half)
-    return plan.summary(spark).withColumn("rows", F.lit(plan.transform(every).count()))
+    return _train_plan(_even(spark, folder)[1]).summary(spark)
+
+
+@query(
+    "plan_shape",
+    f"""WITH t AS ({source("clicks", ["event_id", "value"])}) SELECT count(*) AS rows_before, CAST(2 AS BIGINT) AS columns_before,
+    count(CASE WHEN value BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a) THEN 1 END) AS rows_after,
+    CAST(2 AS BIGINT) AS columns_after FROM t, (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM t) f""",
+)
+def plan_shape(spark, folder):
+    df = load(spark, folder, "clicks", ["event_id", "value"])
+    return Plan(fit_phase(df, "outliers", {"value": "remove"})).shape(df)
 
 
 _FAST = ["event_id", "value", "sparse", "balance", "event_type", "state", "tier", "tag", "target"]

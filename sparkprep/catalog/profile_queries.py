@@ -265,6 +265,17 @@ def point_biserial(spark, folder):
     return rounded(profile.point_biserial(load(spark, folder, "clicks", ["is_big", "is_even", "value"]), "value"))
 
 
+@query(
+    "point_biserial_standard",
+    cte("clicks", ["is_big", "is_even", "value"])
+    + each(["is_big", "is_even"], f"""SELECT '{{c}}' AS "column", {r("corr(CAST({c} AS INTEGER), value)", "r")} FROM t"""),
+)
+def point_biserial_standard(spark, folder):
+    """The textbook form is the correlation with the 0/1 values."""
+    df = load(spark, folder, "clicks", ["is_big", "is_even", "value"])
+    return rounded(profile.point_biserial(df, "value", form="standard"))
+
+
 def _anova(c: str) -> str:
     return f"""SELECT '{c}' AS "column", {r("(sum(n * (m - g) * (m - g)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*)))", "f")}
     FROM (SELECT {c}, avg(total) AS m, count(total) AS n, var_pop(total) AS v FROM t

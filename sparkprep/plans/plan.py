@@ -118,6 +118,13 @@ class Plan:
                 steps[i].lookup = found[str(i)]
         return Plan(steps)
 
+    def shape(self, df: DataFrame) -> DataFrame:
+        """(rows_before, columns_before, rows_after, columns_after) of applying the plan."""
+        after = self.transform(df)
+        row = (df.count(), len(df.columns), after.count(), len(after.columns))
+        names = ("rows_before", "columns_before", "rows_after", "columns_after")
+        return df.sparkSession.createDataFrame([row], ", ".join(f"{n} bigint" for n in names))
+
     def summary(self, spark: SparkSession) -> DataFrame:
         """(phase, strategy, columns, overridden) in the order in which phases run."""
         marked = [(s.phase, s.strategy, int((s.phase, s.column) in self.overrides)) for s in self.steps]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.columns import categorical, normalize_nan, ref, replace
@@ -24,18 +28,20 @@ def read(
     fmt: str = "csv",
     schema: T.StructType | str | None = None,
     encoding: str = "utf-8",
-    multiline: bool = True,
+    multiline: bool | None = None,
     keep_bad_rows: str | None = None,
 ) -> DataFrame:
     """Read a table; NaN becomes null. Give ``schema`` for large inputs: inference reads the files once more.
 
-    ``encoding`` also takes cp1252, and ``auto``: one more pass looks for bytes that are not utf-8 and falls
+    ``multiline`` (default: JSON only) reads records that span lines, and then a file is one task: split large
+    JSON into lines. ``encoding`` also takes cp1252, and ``auto``: one more pass looks for bytes that are not utf-8 and falls
     back to latin-1.
 
     ``keep_bad_rows`` names a column for lines that do not parse (it must then be part of ``schema``).
     """
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}, expected one of {FORMATS}")
+    multiline = fmt == "json" if multiline is None else multiline
     encoding = encoding.lower()
     if encoding == "auto":
         lines = spark.read.text(path).filter(~F.is_valid_utf8("value"))
@@ -81,6 +87,20 @@ def _by_content(head: Column) -> Column:
     )
 
 
+def _open(path: str, size: int) -> bytes:
+    uri = "file://" + path[len("file:"):] if path.startswith("file:/") and not path.startswith("file://") else path
+    store, inner = fs.FileSystem.from_uri(uri)
+    with store.open_input_stream(inner) as f:
+        return f.read(size)
+
+
+def _heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """First bytes of the files whose ending says nothing; nothing else of any file is read."""
+    for b in batches:
+        b["head"] = [_open(p, SNIFF_BYTES) if f is None else None for p, f in zip(b["path"], b["known"])]
+        yield b
+
+
 def sniff(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, fmt, n_bytes) of every file under ``path``: by its ending, else by its first bytes."""
     files = (
@@ -88,8 +108,10 @@ def sniff(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true")
         .load(path)
+        .select("path", "length")
     )
     ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
     known = F.element_at(F.create_map(*[F.lit(x) for kv in ENDINGS.items() for x in kv]), ending)
-    head = F.decode(F.substring("content", 1, SNIFF_BYTES), "ISO-8859-1")
-    return files.select("path", F.coalesce(known, _by_content(head)).alias("fmt"), F.col("length").alias("n_bytes"))
+    read = files.withColumn("known", known).mapInPandas(_heads, "path string, length bigint, known string, head binary")
+    head = F.decode("head", F.lit("ISO-8859-1"))
+    return read.select("path", F.coalesce("known", _by_content(head)).alias("fmt"), F.col("length").alias("n_bytes"))

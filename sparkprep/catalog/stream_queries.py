@@ -11,7 +11,7 @@ _COLS = ["event_id", "event_type", "value", "is_even"]
 
 
 def _stream(spark, folder):
-    return apply.read_files(spark, folder, table(spark, folder, "events").schema, "events.parquet")
+    return apply.read_files(spark, f"{folder}/events.parquet", table(spark, folder, "events").schema)
 
 
 @query("stream_apply_plan")

@@ -12,11 +12,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import durable
+from . import bins
 from .columns import ref
 
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 4_096  # parallelism, not a row limit: ranges get longer beyond it and sort with spill
 _OVERSAMPLE = 32
+_TREE = 200  # up to this many edges the range is found by compiled branches, beyond by looking into two arrays
 
 
 def _edges(df: DataFrame, keys: list[str], n: int) -> list[tuple]:
@@ -32,36 +34,52 @@ def _edges(df: DataFrame, keys: list[str], n: int) -> list[tuple]:
 
 def bucket(df: DataFrame, keys: list[str], n: int) -> Column | None:
     """Range number of one of n rows, or None when they fit one range."""
-    found = _edges(df, keys, n)
+    types = [df.schema[k].dataType for k in keys]
+    found = [e for e in _edges(df, keys, n) if all(v is not None for v in e)]
     if not found:
         return None
-    types = [df.schema[k].dataType for k in keys]
-    key = F.struct(*[ref(k).alias(f"k{i}") for i, k in enumerate(keys)])
-
-    def literal(e: tuple) -> Column:
-        return F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(e, types))])
-
-    width = max(1, math.isqrt(len(found)))
-    blocks = [found[i : i + width] for i in range(0, len(found), width)]
-    first = F.array(*[literal(b[0]) for b in blocks])
-    whole = F.array(*[F.array(*[literal(e) for e in b]) for b in blocks])
+    cols = [ref(k) for k in keys]
+    literals = [[F.lit(v).cast(t) for v, t in zip(e, types)] for e in found]
+    if len(found) <= _TREE:
+        return bins.pick([_reached(cols, e) for e in literals], [F.lit(i) for i in range(len(found) + 1)])
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(cols)])
+    structs = [F.struct(*[v.alias(f"k{i}") for i, v in enumerate(e)]) for e in literals]
+    width = math.isqrt(len(found))
+    blocks = [structs[i : i + width] for i in range(0, len(structs), width)]
+    first, whole = F.array(*[b[0] for b in blocks]), F.array(*[F.array(*b) for b in blocks])
     block = F.size(F.filter(first, lambda e: e <= key))
     within = F.size(F.filter(F.element_at(whole, F.greatest(block, F.lit(1))), lambda e: e <= key))
     return F.when(block == 0, F.lit(0)).otherwise((block - 1) * width + within).cast("int")
 
 
+def _reached(cols: list[Column], edge: list[Column]) -> Column:
+    """The key is at or behind the edge, compared column by column."""
+    out = cols[-1] >= edge[-1]
+    for c, e in zip(reversed(cols[:-1]), reversed(edge[:-1])):
+        out = (c > e) | ((c == e) & out)
+    return out
+
+
 def running(
-    df: DataFrame, keys: list[str], sums: dict[str, Column], by: list[str] | None = None
+    df: DataFrame,
+    keys: list[str],
+    sums: dict[str, Column],
+    by: list[str] | None = None,
+    at_most: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Adds inclusive running sums over the order of ``keys``, restarted for every value of ``by``.
 
     ``by`` names few groups (columns, classes); together with ``keys`` it must identify a row. The frame is a
-    grouped result: when it is long it is written once, since edges, totals and sums all read it.
+    grouped result: unless it is known to have ``at_most`` the rows of one range, or is ``stored`` already, it
+    is written once, since edges, totals and sums all read it.
     """
     by = by or []
     order = by + keys
-    n = df.count()
-    df = durable(df) if n > ROWS_PER_BUCKET else df
+    n = at_most
+    if n is None or n > ROWS_PER_BUCKET:
+        df = df if stored else durable(df)
+        n = df.count()
     plain = df.select("*", *[e.alias(f"_v_{n}") for n, e in sums.items()])
     spot = bucket(df, order, n)
     if spot is None:
@@ -90,9 +108,9 @@ def running(
     )
 
 
-def rank(df: DataFrame, keys: list[str], name: str, by: list[str] | None = None) -> DataFrame:
+def rank(df: DataFrame, keys: list[str], name: str, by: list[str] | None = None, stored: bool = False) -> DataFrame:
     """Adds the position from 0 in the order of ``keys`` (within ``by``)."""
-    return running(df, keys, {"_n": F.lit(1).cast("long")}, by).select(
+    return running(df, keys, {"_n": F.lit(1).cast("long")}, by, stored=stored).select(
         *df.columns, (F.col("_n") - 1).alias(name)
     )
 

@@ -40,7 +40,7 @@ def _text(name: str) -> Column:
 def _codes(counted: DataFrame, cols: list[str], keys: list[str]) -> dict[str, lookup.Lookup]:
     """Position of every value within its column in the order of ``keys``."""
     counted = lookup.settle(counted)
-    ranked = order.rank(counted, keys, "code", by=["column"])
+    ranked = order.rank(counted, keys, "code", by=["column"], stored=True)
     return lookup.freeze(ranked.select("column", "value", "n", "code"), lookup.sizes(counted, cols))
 
 

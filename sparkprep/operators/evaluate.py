@@ -106,7 +106,8 @@ def _by_score(df: DataFrame, y: str, score: str, positive: object, by: list[str]
         .groupBy(*[ref(b) for b in by], num(score).alias("score"))
         .agg(count_if(hit).alias("pos"), count_if(~hit).alias("neg"))
     )
-    return order.running(grouped, ["score"], {"pos_upto": F.col("pos"), "neg_upto": F.col("neg")}, by)
+    sums = {"pos_upto": F.col("pos"), "neg_upto": F.col("neg")}
+    return order.running(grouped, ["score"], sums, by, at_most=df.count())
 
 
 def _auc() -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import agg, power, quantiles
+from ..functions import agg, bins, power, quantiles
 from ..functions.columns import kind, num, ref, replace
 from ..plans.step import Step
 
@@ -89,19 +89,17 @@ def _scaled(x: Column, center: float, width: float) -> Column:
 def _position(x: Column, p: dict[str, float]) -> Column:
     """Place of x on the fitted grid in [0, 1]; the middle of a flat stretch, linear between points."""
     q = [p[f"q{i}"] for i in range(len(p))]
-    last = len(q) - 1
-    arr = F.array(*[F.lit(v) for v in q])
-    upto = F.size(F.filter(arr, lambda e: e <= x))
-    under = F.size(F.filter(arr, lambda e: e < x))
-    left = F.element_at(arr, F.greatest(upto, F.lit(1)))
-    right = F.element_at(arr, F.least(upto + 1, F.lit(last + 1)))
-    between = (upto - 1 + F.try_divide(x - left, right - left)) / F.lit(float(last))
-    return (
-        F.when(x <= q[0], F.lit(0.0))
-        .when(x >= q[-1], F.lit(1.0))
-        .when(upto > under, (upto - 1 + under) / F.lit(2.0 * last))
-        .when(x.isNotNull(), between)
-    )
+    last = float(len(q) - 1)
+    points = sorted(set(q))
+    start = {v: q.index(v) for v in points}
+    end = {v: start[v] + q.count(v) - 1 for v in points}
+    leaves = [F.lit(0.0)]
+    for a, b in zip(points, points[1:]):
+        slope = (start[b] - end[a]) / (b - a) / last
+        between = F.lit(end[a] / last) + (x - F.lit(a)) * F.lit(slope)
+        leaves.append(F.when(x == F.lit(a), F.lit((start[a] + end[a]) / 2 / last)).otherwise(between))
+    found = bins.pick([x >= F.lit(v) for v in points[:-1]], leaves)
+    return F.when(x <= F.lit(points[0]), F.lit(0.0)).when(x >= F.lit(points[-1]), F.lit(1.0)).when(x.isNotNull(), found)
 
 
 def expr(step: Step) -> Column:

@@ -113,5 +113,5 @@ def sniff(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
     known = F.element_at(F.create_map(*[F.lit(x) for kv in ENDINGS.items() for x in kv]), ending)
     read = files.withColumn("known", known).mapInPandas(_heads, "path string, length bigint, known string, head binary")
-    head = F.decode("head", F.lit("ISO-8859-1"))
+    head = F.decode(F.col("head"), "ISO-8859-1")
     return read.select("path", F.coalesce("known", _by_content(head)).alias("fmt"), F.col("length").alias("n_bytes"))

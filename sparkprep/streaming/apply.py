@@ -9,10 +9,15 @@ from pyspark.sql.types import StructType
 from ..plans.plan import Plan
 
 
-def read_files(spark: SparkSession, folder: str, schema: StructType, pattern: str, files_per_batch: int = 100) -> DataFrame:
-    """Stream of the parquet files of a folder whose names match the pattern."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-    return reader.option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+def read_files(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 100) -> DataFrame:
+    """Stream of the parquet files under a path: a folder, or one file.
+
+    A file is accepted as the match of a pattern only, so the last character is made a class of one.
+    """
+    path = path.rstrip("/")
+    if not any(c in path for c in "*?[{"):
+        path = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def run_plan(stream: DataFrame, plan: Plan, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

@@ -87,8 +87,9 @@ def test_clamped_bins(spark):
     assert sorted(r["b"] for r in df.collect()) == [0, 0, 1]
 
 
-@pytest.mark.parametrize("per", [10**9, 40, 7])
-def test_running_sum(spark, monkeypatch, per):
+@pytest.mark.parametrize("per, tree", [(10**9, 200), (40, 200), (7, 200), (7, 3)])
+def test_running_sum(spark, monkeypatch, per, tree):
+    monkeypatch.setattr(order, "_TREE", tree)
     monkeypatch.setattr(order, "ROWS_PER_BUCKET", per)
     rng = random.Random(3)
     rows = [(rng.choice("abc"), i, rng.randint(0, 9)) for i in range(500)]

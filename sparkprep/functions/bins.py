@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import quantiles
 from .columns import num, ref
+from .tree import choose
 
 
 def merge_edges(edges: list[float | None]) -> list[float]:
@@ -23,27 +24,12 @@ def edges(df: DataFrame, cols: list[str], n: int, mode: str = "exact") -> dict[s
     return {c: merge_edges(e) for c, e in quantiles.fit(df, cols, probs, mode).items()}
 
 
-def pick(conds: list[Column], leaves: list[Column]) -> Column:
-    """Leaf i, where i is the number of conditions that hold; they must hold in order, the first ones first.
-
-    A decision tree: a row meets about log2 of the conditions, and it compiles to plain branches.
-    """
-
-    def grow(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return leaves[lo]
-        mid = (lo + hi) // 2
-        return F.when(conds[mid], grow(mid + 1, hi)).otherwise(grow(lo, mid))
-
-    return grow(0, len(conds))
-
-
 def index(x: Column, edge: list[float], closed: str = "right", outside: str = "drop") -> Column:
     """Bin number from 0, null for null values and for values outside the edges (unless clamped)."""
     if len(edge) < 2:
         return F.lit(None).cast("int")
     inner = [F.lit(e) for e in edge[1:-1]]
-    number = pick([x > e if closed == "right" else x >= e for e in inner], [F.lit(i) for i in range(len(inner) + 1)])
+    number = choose([x > e if closed == "right" else x >= e for e in inner], [F.lit(i) for i in range(len(inner) + 1)])
     keep = x.isNotNull()
     if outside == "drop":
         keep = keep & (x >= F.lit(edge[0])) & (x <= F.lit(edge[-1]))

@@ -12,8 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import durable
-from . import bins
 from .columns import ref
+from .tree import choose
 
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 4_096  # parallelism, not a row limit: ranges get longer beyond it and sort with spill
@@ -41,7 +41,7 @@ def bucket(df: DataFrame, keys: list[str], n: int) -> Column | None:
     cols = [ref(k) for k in keys]
     literals = [[F.lit(v).cast(t) for v, t in zip(e, types)] for e in found]
     if len(found) <= _TREE:
-        return bins.pick([_reached(cols, e) for e in literals], [F.lit(i) for i in range(len(found) + 1)])
+        return choose([_reached(cols, e) for e in literals], [F.lit(i) for i in range(len(found) + 1)])
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(cols)])
     structs = [F.struct(*[v.alias(f"k{i}") for i, v in enumerate(e)]) for e in literals]
     width = math.isqrt(len(found))

@@ -16,10 +16,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import agg
 from .columns import num, ref
+from .tree import choose
 
 EXACT_ROWS = 200_000
 SAMPLE_ROWS = 100_000  # rows a narrowing round samples per rank
 GATHER_ROWS = 20_000  # rank intervals of at most this many rows are read out directly
+CUTS_PER_JOB = 200
 ACCURACY = 10_000
 
 
@@ -132,19 +134,16 @@ def _propose(df: DataFrame, todo: list[_Rank]) -> dict[int, tuple[float, float]]
 
 def _count(df: DataFrame, todo: list[_Rank], cuts: dict[int, tuple[float, float]]) -> None:
     """Exact rows under and up to every cut, then move each interval to the side that holds the rank."""
-    exprs = {}
+    points: dict[str, set[float]] = {}
     for i, ab in cuts.items():
-        c = ref(todo[i].column)
-        for v in set(ab):
-            exprs[todo[i].column, v, "lt"] = agg.count_if(c < F.lit(v))
-            exprs[todo[i].column, v, "le"] = agg.count_if(c <= F.lit(v))
-    got = agg.fit(df, exprs)
+        points.setdefault(todo[i].column, set()).update(ab)
+    got = _under(df, {c: sorted(v) for c, v in points.items()})
     for i, ab in cuts.items():
         t = todo[i]
         for v in sorted(set(ab)):
             if t.value is not None:
                 break
-            lt, le = got[t.column, v, "lt"], got[t.column, v, "le"]
+            lt, le = got[t.column, v]
             end = t.below + t.inside
             if lt <= t.rank < le:
                 t.value = v
@@ -154,6 +153,34 @@ def _count(df: DataFrame, todo: list[_Rank], cuts: dict[int, tuple[float, float]
                 t.high, t.inside = v, lt - t.below
 
 
+def _under(df: DataFrame, points: dict[str, list[float]]) -> dict[tuple[str, float], tuple[int, int]]:
+    """(rows under, rows up to) every point: rows are counted per gap and per point, then summed up."""
+    out = {}
+    cols = list(points)
+    while cols:
+        part = [cols.pop(0)]
+        while cols and sum(len(points[c]) for c in [*part, cols[0]]) <= CUTS_PER_JOB:
+            part.append(cols.pop(0))
+        cells = [F.struct(F.lit(k).alias("c"), _region(ref(c), points[c]).alias("r")) for k, c in enumerate(part)]
+        regions = df.select(F.inline(F.array(*cells))).filter(F.col("r").isNotNull())
+        seen = {(x["c"], x["r"]): x["count"] for x in regions.groupBy("c", "r").count().collect()}
+        for k, c in enumerate(part):
+            total = 0
+            for i, v in enumerate(points[c]):
+                under = total + seen.get((k, 2 * i), 0)
+                total = under + seen.get((k, 2 * i + 1), 0)
+                out[c, v] = (under, total)
+    return out
+
+
+def _region(x: Column, points: list[float]) -> Column:
+    """2i + 1 at point i, 2i below it (and above the point before)."""
+    leaves = [F.lit(0)]
+    for i, v in enumerate(points):
+        leaves.append(F.when(x == F.lit(v), F.lit(2 * i + 1)).otherwise(F.lit(2 * i + 2)))
+    return F.when(x.isNotNull(), choose([x >= F.lit(v) for v in points], leaves))
+
+
 def _gather(df: DataFrame, todo: list[_Rank]) -> None:
     """Read out intervals already known to hold at most GATHER_ROWS rows; equal intervals once."""
     shared: dict[tuple, list[_Rank]] = {}

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import agg, bins, power, quantiles
+from ..functions import agg, power, quantiles
 from ..functions.columns import kind, num, ref, replace
+from ..functions.tree import choose
 from ..plans.step import Step
 
 GRID = 101
@@ -98,7 +99,7 @@ def _position(x: Column, p: dict[str, float]) -> Column:
         slope = (start[b] - end[a]) / (b - a) / last
         between = F.lit(end[a] / last) + (x - F.lit(a)) * F.lit(slope)
         leaves.append(F.when(x == F.lit(a), F.lit((start[a] + end[a]) / 2 / last)).otherwise(between))
-    found = bins.pick([x >= F.lit(v) for v in points[:-1]], leaves)
+    found = choose([x >= F.lit(v) for v in points[:-1]], leaves)
     return F.when(x <= F.lit(points[0]), F.lit(0.0)).when(x >= F.lit(points[-1]), F.lit(1.0)).when(x.isNotNull(), found)
 
 

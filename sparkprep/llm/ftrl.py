@@ -1,18 +1,21 @@
 """Logistic regression trained by follow-the-regularised-leader with per-coordinate rates, in parallel shards.
 
-A shard is a bounded group of sample rows. In every epoch each shard continues from the same state (z, n), walks its
-rows in a fixed order, and returns its state in chunks of coordinates; Spark averages the chunks over the shards. The
-state has a fixed size (classes x dimensions), so what the driver holds and broadcasts does not grow with the data.
+A shard is a bounded group of sample rows, written once. In every epoch each shard continues from the same state (z, n),
+walks its rows in a fixed order, and returns its state in chunks of coordinates; Spark averages the chunks over the
+shards. The state has a fixed size (classes x dimensions), so what is sent does not grow with the data.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import stored
+
 CHUNK = 1 << 14
 
 
@@ -55,51 +58,51 @@ def walk(z: np.ndarray, n: np.ndarray, rows, r: Rates) -> None:
         n[:, idx] = ni + g * g
 
 
+def sharded(rows: DataFrame, key: str, shards: int) -> DataFrame:
+    """The rows in the shared folder, one file per shard, in the order of a hash of the key column."""
+    keyed = rows.withColumn("order", F.xxhash64(key)).withColumn("shard", F.pmod(F.col("order"), F.lit(shards)).cast("int"))
+    return stored(keyed.repartition(shards, "shard").sortWithinPartitions("shard", "order"), "shards")
+
+
 def fit(rows: DataFrame, classes: int, dims: int, r: Rates, epochs: int) -> np.ndarray:
-    """Weights (lines of classes, or one for two classes) from rows (shard, key, y, idx, val).
+    """Weights (lines of classes, or one for two classes) from sharded rows with the columns shard, y, idx, val.
 
     idx holds little-endian 32-bit coordinates, each at most once; val 32-bit floats, or null where all are 1.
     """
     lines = 1 if classes == 2 else classes
     spark = rows.sparkSession
     size = lines * dims
-    state = (np.zeros(size), np.zeros(size))
+    state = (np.zeros(size, np.float32), np.zeros(size, np.float32))
+    schema = "chunk int, z binary, n binary"
+    names = pa.schema([("chunk", pa.int32()), ("z", pa.binary()), ("n", pa.binary())])
     for _ in range(epochs):
         sent = spark.sparkContext.broadcast(state)
 
-        def shard(pdf: pd.DataFrame) -> pd.DataFrame:
-            z, n = (a.reshape(lines, dims).copy() for a in sent.value)
-            pdf = pdf.sort_values("key", kind="stable")
-            walk(
-                z,
-                n,
-                (
-                    (np.frombuffer(i, "<u4").astype(np.int64), None if v is None else np.frombuffer(v, "<f4").astype(float), int(y))
-                    for i, v, y in zip(pdf["idx"], pdf["val"], pdf["y"])
-                ),
-                r,
-            )
-            z, n = z.ravel(), n.ravel()
-            at = range(0, size, CHUNK)
-            return pd.DataFrame(
-                {"chunk": [a // CHUNK for a in at], "z": [z[a : a + CHUNK].tobytes() for a in at], "n": [n[a : a + CHUNK].tobytes() for a in at]}
-            )
-
-        def mean(pdf: pd.DataFrame) -> pd.DataFrame:
-            z, n = (np.mean([np.frombuffer(b) for b in pdf[c]], axis=0).tobytes() for c in ("z", "n"))
-            return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "z": [z], "n": [n]})
-
-        schema = "chunk int, z binary, n binary"
-        got = rows.groupBy("shard").applyInPandas(shard, schema).groupBy("chunk").applyInPandas(mean, schema).collect()
+        def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # a task reads one shard, or a few small ones
+            for b in batches:
+                for k, i, v, y in zip(*(b.column(c).to_pylist() for c in ("shard", "idx", "val", "y"))):
+                    if k not in own:
+                        own[k] = tuple(a.reshape(lines, dims).astype(float) for a in sent.value)
+                    idx = np.frombuffer(i, "<u4").astype(np.int64)
+                    walk(*own[k], [(idx, None if v is None else np.frombuffer(v, "<f4").astype(float), y)], r)
+            for z, n in own.values():
+                z, n = z.ravel().astype(np.float32), n.ravel().astype(np.float32)
+                at = range(0, size, CHUNK)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([a // CHUNK for a in at], pa.int32()), *(pa.array([x[a : a + CHUNK].tobytes() for a in at], pa.binary()) for x in (z, n))],
+                    schema=names,
+                )
+
+        def mean(t: pa.Table) -> pa.Table:
+            z, n = (np.mean([np.frombuffer(b, np.float32) for b in t.column(c).to_pylist()], axis=0).astype(np.float32).tobytes() for c in ("z", "n"))
+            return pa.table([t.column("chunk")[:1], pa.array([z], pa.binary()), pa.array([n], pa.binary())], schema=names)
+
+        got = rows.select("shard", "y", "idx", "val").mapInArrow(shard, schema).groupBy("chunk").applyInArrow(mean, schema).collect()
         sent.unpersist()
-        z, n = np.zeros(size), np.zeros(size)
+        z, n = np.zeros(size, np.float32), np.zeros(size, np.float32)
         for row in got:
             a = row["chunk"] * CHUNK
-            z[a : a + CHUNK], n[a : a + CHUNK] = np.frombuffer(row["z"]), np.frombuffer(row["n"])
+            z[a : a + CHUNK], n[a : a + CHUNK] = np.frombuffer(row["z"], np.float32), np.frombuffer(row["n"], np.float32)
         state = (z, n)
-    return weights(*(a.reshape(lines, dims) for a in state), r)
-
-
-def with_shards(df: DataFrame, key: str, shards: int) -> DataFrame:
-    """Adds the columns shard and key that fit() asks for; the key is a hash of the column."""
-    return df.withColumn("key", F.xxhash64(key)).withColumn("shard", F.pmod(F.col("key"), F.lit(shards)).cast("int"))
+    return weights(*(a.astype(float).reshape(lines, dims) for a in state), r)

@@ -14,8 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .ftrl import Rates, fit as fit_ftrl, with_shards
-from .shared import fold, python_columns, stored, unit_hash
+from .ftrl import Rates, fit as fit_ftrl, sharded
+from .shared import fold, python_columns, unit_hash
 
 FOLD, HELD_OUT = 4, 2
 UNKNOWN = "und"
@@ -96,7 +96,7 @@ def train(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    per_lang: int = 2_000,
+    per_lang: int = 1_000,
     max_langs: int = 500,
     bits: int = 16,
     epochs: int = 3,
@@ -144,8 +144,8 @@ def train(
 
         return batch
 
-    made = with_shards(python_columns(sample, rows, ["row", "y"], "idx binary, val binary"), "row", shards)
-    made = stored(made.withColumn("part", F.pmod(F.shiftright("key", 20), F.lit(5))), "sample")
+    made = python_columns(sample, rows, ["row", "y"], "idx binary, val binary")
+    made = sharded(made.withColumn("part", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(5))), "row", shards)
     classes = max(2, len(langs))
     w = fit_ftrl(made.where("part <> 0"), classes, dims + 1, rates, epochs)
     if len(w) == 1:

@@ -13,8 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .ftrl import Rates, fit as fit_ftrl, with_shards
-from .shared import WORD, HashCache, fold, labelled_sample, mixed, python_columns, stored, word_hashes
+from .ftrl import Rates, fit as fit_ftrl, sharded
+from .shared import WORD, HashCache, fold, labelled_sample, mixed, python_columns, word_hashes
 
 FOLD, HELD_OUT = 5, 0
 
@@ -45,7 +45,7 @@ def train(
     text_col: str = "text",
     label_col: str = "toxic",
     per_class: int = 5_000,
-    bits: int = 20,
+    bits: int = 18,
     epochs: int = 4,
     shards: int = 4,
     min_rows: int = 3,
@@ -67,7 +67,7 @@ def train(
 
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
     sample = python_columns(sample, features, ["id", "y"], "hashes binary")
-    sample = stored(with_shards(sample.groupBy("id", "y").agg(F.min("hashes").alias("hashes")), "id", shards), "sample")
+    sample = sharded(sample.groupBy("id", "y").agg(F.min("hashes").alias("hashes")), "id", shards)
     dims = 1 << bits
 
     def folded():
@@ -76,7 +76,7 @@ def train(
 
         return lambda b: {"idx": [one(h) for h in b.column("hashes").to_pylist()], "val": [None] * len(b)}
 
-    rows = python_columns(sample, folded, ["shard", "key", "y"], "idx binary, val binary")
+    rows = python_columns(sample, folded, ["shard", "y"], "idx binary, val binary")
     w = fit_ftrl(rows, 2, dims + 1, rates, epochs)[0]  # the last coordinate is the bias
     live = np.flatnonzero(w[:-1]).astype(np.uint32)
 

@@ -142,13 +142,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     A row is known by its id and a hash of all its columns; rows that are equal in every column are interchangeable.
     """
-    row, count = free(docs, "row_hash"), free(docs, "mix_copies")
+    row, uid, times, rows = (free(docs, n) for n in ("mix_row", "mix_id", "mix_copies", "mix_rows"))
     kept = docs.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
     units = kept.select(F.col(id_col).alias("id"), F.col(row).alias("row"), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
-    taken = copies(units, ["id", "row"], **settings).groupBy("id", "row").agg(F.sum("copies").alias("copies"), F.max("rows").alias("rows"))
-    taken = stored(taken, "copies").where("copies > 0")
-    both = kept.join(taken, kept[id_col].eqNullSafe(taken["id"]) & (kept[row] == taken["row"]))
-    times = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias(count)
-    once = both.where(F.col("rows") == 1).select(*docs.columns, times)
-    many = both.where(F.col("rows") > 1).dropDuplicates(["id", "row"]).select(*docs.columns, times)
-    return once.unionByName(many).drop(count)
+    taken = copies(units, ["id", "row"], **settings).groupBy("id", "row").agg(F.sum("copies").cast("int").alias("copies"), F.max("rows").alias("rows"))
+    same = free(docs, "mix_same")
+    taken = stored(taken, "copies").where("copies > 0").toDF(uid, same, times, rows)
+    both = kept.join(taken, kept[id_col].eqNullSafe(taken[uid]) & (kept[row] == taken[same]))
+    out = [f"`{c}`" for c in docs.columns]
+    once = both.where(F.col(rows) == 1).select(*out, times)
+    many = both.where(F.col(rows) > 1).dropDuplicates([uid, row]).select(*out, times)
+    return once.unionByName(many).withColumn(times, F.explode(F.array_repeat(F.lit(1), F.col(times)))).drop(times)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import python_columns, stored
+from .shared import free, python_columns, stored
 
 BLANK = re.compile(r"[ \t\n\r]+")
 # the tokenizer's own word rule, spelled for lower-cased Latin-1 text
@@ -147,16 +147,17 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 
 def pack(cut: DataFrame, length_col: str = "length", capacity: int = 4096, group_rows: int = 32_768) -> DataFrame:
-    """Adds sequence_id and offset to rows with a length between 1 and the capacity; other columns stay as they are.
+    """Adds (or replaces) sequence_id and offset for rows with a length between 1 and the capacity; other columns stay.
 
     Groups have about group_rows rows, dealt by a hash of the row's place in the stored table, so that rows that repeat
     are dealt apart. Rows with null or out-of-range lengths are an error.
     """
-    kept = stored(cut, "pieces")
+    kept = stored(cut.drop("sequence_id", "offset"), "pieces")
+    row, group = free(kept, "pack_row"), free(kept, "pack_group")
     n = kept.count()
     groups = max(1, round(n / group_rows))
-    rows = kept.withColumn("pack_row", F.monotonically_increasing_id())
-    rows = rows.withColumn("pack_group", F.pmod(F.xxhash64("pack_row"), F.lit(groups)).cast("long"))
+    rows = kept.withColumn(row, F.monotonically_increasing_id())
+    rows = rows.withColumn(group, F.pmod(F.xxhash64(row), F.lit(groups)).cast("long"))
 
     columns = kept.columns
 
@@ -164,11 +165,11 @@ def pack(cut: DataFrame, length_col: str = "length", capacity: int = 4096, group
         size = t.column(length_col).to_numpy()
         if t.column(length_col).null_count or size.min() < 1 or size.max() > capacity:
             raise ValueError(f"{length_col} must lie between 1 and {capacity}")
-        order = np.lexsort((t.column("pack_row").to_numpy(), -size))
+        order = np.lexsort((t.column(row).to_numpy(), -size))
         bins, offsets = best_fit(size[order].astype(np.int64), capacity)
-        group = t.column("pack_group")[0].as_py()
+        here = t.column(group)[0].as_py()
         t = t.take(pa.array(order)).select(columns)
-        return t.append_column("sequence_id", pa.array(bins + (group << 32))).append_column("offset", pa.array(offsets))
+        return t.append_column("sequence_id", pa.array(bins + (here << 32))).append_column("offset", pa.array(offsets))
 
     out = kept.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
-    return rows.groupBy("pack_group").applyInArrow(fill, out)
+    return rows.groupBy(group).applyInArrow(fill, out)

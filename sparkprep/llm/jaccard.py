@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .graph import components
-from .shared import HashCache, mixed, python_columns, stored, word_hashes
+from .shared import HashCache, free, mixed, python_columns, stored, word_hashes
 
 SHORT = 8  # runs up to so many rows are compared at once
 TAGS = 64  # one byte of each of so many min-hashes, to compare signatures within a bucket
@@ -149,7 +149,7 @@ def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, width:
     return out
 
 
-def join(
+def marked(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -161,7 +161,7 @@ def join(
     block: int = 512,
     seed: int = 6,
 ) -> DataFrame:
-    """(id, class_id, group_id, links) for every row.
+    """(id, text_hash, class_id, group_id, links) for every row; text_hash is Spark's xxhash64 of the text, 0 for null.
 
     class_id is the smallest id of the rows with the same shingles, group_id the smallest id of all rows that are connected
     by links (a similarity of at least the threshold), links the number of other rows that are linked with the row itself.
@@ -317,6 +317,38 @@ def join(
     named = named.join(heads, "label").select(
         "name_a", "name_b", F.col("first_id").alias("class_id"), "group_id", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("links")
     )
-    out = signs.select("id", "name_a", "name_b", some.alias("some")).join(named, ["name_a", "name_b"], "left")
+    out = signs.select("id", "text_hash", "name_a", "name_b", some.alias("some")).join(named, ["name_a", "name_b"], "left")
     one = lambda c: F.when(F.col("some"), F.col(c)).otherwise(F.col("id")).alias(c)
-    return out.select(F.col("id").alias(id_col), one("class_id"), one("group_id"), F.when(F.col("some"), F.col("links")).otherwise(F.lit(0)).alias("links"))
+    return out.select("id", "text_hash", one("class_id"), one("group_id"), F.when(F.col("some"), F.col("links")).otherwise(F.lit(0)).alias("links"), "some")
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """(id, class_id, group_id, links) for every row; see marked()."""
+    return marked(docs, id_col, text_col, **settings).select(F.col("id").alias(id_col), "class_id", "group_id", "links")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The documents with one row of each group left, that with the smallest id, with all columns.
+
+    Rows without any word are in no group and stay. Of rows with equal id and text in a group one is left.
+    """
+    rows = stored(marked(docs, id_col, text_col, **settings).where("some").select("id", "text_hash", "group_id"), "groups")
+    spot = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")
+    heads = rows.groupBy("group_id").agg(F.min(spot).alias("head"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    own = rows.groupBy("group_id", "id", "text_hash").agg(F.count(F.lit(1)).alias("rows")).alias("o")
+    both = own.join(heads.alias("h"), F.col("o.group_id").eqNullSafe(F.col("h.group_id")))
+    first = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("text_hash") == F.col("head.text_hash"))
+    both = stored(both.select("id", "text_hash", "rows", first.alias("first")).where("not first or rows > 1"), "spare")
+    key, uid, mark = (free(docs, n) for n in ("near_hash", "near_id", "near_text"))
+    hashed = docs.withColumn(key, F.coalesce(F.xxhash64(F.col(f"`{text_col}`")), F.lit(0)))
+
+    def same(t: DataFrame):
+        return hashed[id_col].eqNullSafe(t[uid]) & (hashed[key] == t[mark])
+
+    spare = both.where("not first").select(F.col("id").alias(uid), F.col("text_hash").alias(mark))
+    left = hashed.join(spare, same(spare), "left_anti")
+    repeated = both.where("first").select(F.col("id").alias(uid), F.col("text_hash").alias(mark))
+    if not repeated.isEmpty():
+        one = hashed.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, key])
+        left = left.join(repeated, left[id_col].eqNullSafe(repeated[uid]) & (left[key] == repeated[mark]), "left_anti").unionByName(one)
+    return left.drop(key)

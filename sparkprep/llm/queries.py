@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_search, jaccard, language, mixing, neighbours, packing, quality, toxicity, warc
+from . import exact_search, jaccard, language, mixing, neighbours, packing, pii, quality, toxicity, warc
 from .shared import folder, table
 
 QUERIES: dict = {}
@@ -85,3 +85,8 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = jaccard.join(table(spark, sf_dir, "documents"))
     # class_id names the near-duplicate class; text_class_id the rows with the very same shingles
     return got.select("doc_id", got["group_id"].alias("class_id"), got["class_id"].alias("text_class_id"), got["links"].alias("n_links"))
+
+
+@query
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))

@@ -15,6 +15,12 @@ _KEYWORDS = {
     "spanish": ["los", "para", "como una", "pero"],
     "other": ["zzzz", "full stop"],
 }
+# The singular of every keyword word, spelled out.
+_SINGULAR = {
+    "the": "the", "and": "and", "with": "with", "them": "them", "words": "word", "dans": "dan", "avec": "avec", "qui": "qui",
+    "les": "le", "une": "une", "und": "und", "nicht": "nicht", "auf": "auf", "den": "den", "eine": "eine", "los": "lo",
+    "para": "para", "como": "como", "una": "una", "pero": "pero", "zzzz": "zzzz", "full": "full", "stop": "stop",
+}
 _FOLD = r"""CASE WHEN w LIKE '%ies' AND length(w) > 4 THEN substr(w, 1, length(w) - 3) || 'y'
     WHEN w LIKE '%es' AND length(w) > 3 THEN substr(w, 1, length(w) - 2)
     WHEN w LIKE '%s' AND length(w) > 2 THEN substr(w, 1, length(w) - 1) ELSE w END"""
@@ -24,7 +30,7 @@ def _hits(words: list[str]) -> str:
     """Keywords found as a phrase, or with all their singular forms among those of the text."""
     parts = []
     for k in words:
-        folded = [text.fold_plural(w) for w in k.split()]
+        folded = [_SINGULAR[w] for w in k.split()]
         all_in = " AND ".join(f"list_contains(words, '{w}')" for w in folded)
         parts.append(f"CASE WHEN contains(low, '{k}') OR ({all_in}) THEN 1 ELSE 0 END")
     return " + ".join(parts)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from ..operators import impute, outliers
+from ..plans.plan import Plan, fit_phase
 from .registry import cte, load, q, query, r, rounded, source, table
+from .source_queries import scratch
 
 _KEY = ["l_orderkey", "quantity", "price", "discount"]
 
@@ -172,6 +174,35 @@ def impute_constant(spark, folder):
     return impute.constant(load(spark, folder, "items", _GAPS), {"quantity": None, "price": 0.5, "flag": None})
 
 
+_BIG = "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey + 9007199254740992 END"  # beyond what a double can hold
+
+
+def _big(spark, folder):
+    return table(spark, folder, "orders").selectExpr("o_orderkey", f"{_BIG} AS big")
+
+
+def _big_filled(fill: str) -> str:
+    return f"WITH t AS (SELECT o_orderkey, {_BIG} AS big FROM orders) SELECT o_orderkey, coalesce(big, {fill}) AS big FROM t"
+
+
+@query("impute_mode_bigint", _big_filled(_mode("big")))
+def impute_mode_bigint(spark, folder):
+    return impute.mode(_big(spark, folder), ["big"])
+
+
+@query("impute_constant_bigint", _big_filled("9007199254740993"))
+def impute_constant_bigint(spark, folder):
+    return impute.constant(_big(spark, folder), {"big": 9007199254740993})
+
+
+@query("impute_bigint_read_back", _big_filled(_mode("big")))
+def impute_bigint_read_back(spark, folder):
+    """The fill of a plan that was saved and read again."""
+    df, path = _big(spark, folder), scratch(spark, "plan")
+    Plan(fit_phase(df, "missing", {"big": "mode"})).save(spark, path)
+    return Plan.read(spark, path).transform(df)
+
+
 @query(
     "impute_model_fallback",
     f"""{cte("items", ["l_orderkey", "price", "discount"])} SELECT l_orderkey, {r(f"coalesce(price, {q('price', 0.5)})", "price")},

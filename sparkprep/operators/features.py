@@ -180,7 +180,7 @@ def _vector_corr(df: DataFrame, k: int) -> np.ndarray:
 def correlated(df: DataFrame, target: str, threshold: float = 0.8, cols: list[str] | None = None) -> list[str]:
     """Columns that correlate with an earlier column at the threshold or above."""
     if not 0 < threshold < 1:
-        threshold = 0.8
+        raise ValueError("the threshold must lie between 0 and 1")
     cols = numeric(df, exclude=[target]) if cols is None else cols
     if len(cols) < 2:
         return []
@@ -373,8 +373,8 @@ def is_classification(df: DataFrame, target: str, max_classes: int = 10) -> bool
     return df.select(ref(target)).distinct().limit(max_classes + 1).count() <= max_classes
 
 
-def _design(df: DataFrame, target: str, cols: list[str], classify: bool) -> DataFrame:
-    """(_f vector, _y label): features filled with their mean, target with its mode."""
+def _design(df: DataFrame, target: str, cols: list[str], classify: bool, keep: list[str] | None = None) -> DataFrame:
+    """(_f vector, _y label, kept columns): features filled with their mean, target with its mode."""
     means = agg.fit(df, {c: F.avg(num(c)) for c in cols})
     x = [F.coalesce(num(c), F.lit(means[c] or 0.0)).alias(f"_x{i}") for i, c in enumerate(cols)]
     y = ref(target)
@@ -382,24 +382,37 @@ def _design(df: DataFrame, target: str, cols: list[str], classify: bool) -> Data
         y = F.coalesce(y, F.lit(counts.modes(df, [target])[target]).cast(df.schema[target].dataType))
     y = y.cast("string") if classify else y.cast("double")
     out = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(cols))], outputCol="_f").transform(
-        df.select(*x, y.alias("_t"))
+        df.select(*x, y.alias("_t"), *(keep or []))
     )
     if classify:
         indexer = StringIndexer(inputCol="_t", outputCol="_y", stringOrderType="alphabetAsc")
-        return indexer.fit(out).transform(out).select("_f", "_y")
-    return out.select("_f", F.col("_t").alias("_y"))
+        return indexer.fit(out).transform(out).select("_f", "_y", *(keep or []))
+    return out.select("_f", F.col("_t").alias("_y"), *(keep or []))
 
 
-def importance(df: DataFrame, target: str, cols: list[str] | None = None, trees: int = 100, depth: int = 10) -> DataFrame:
-    """(feature, score): impurity importances of a random forest trained on 70 % of the rows."""
+def importance(
+    df: DataFrame,
+    target: str,
+    cols: list[str] | None = None,
+    trees: int = 100,
+    depth: int = 10,
+    train_share: float = 0.7,
+    key: list[str] | None = None,
+) -> DataFrame:
+    """(feature, score): impurity importances of a random forest trained on a share of the rows.
+
+    Gaps are filled from all rows. The rows are chosen by a hash of the key columns (default: all columns), so the same
+    rows are chosen however the table is stored; rows that are equal in the key are chosen together.
+    """
     cols = numeric(df, exclude=[target]) if cols is None else cols
     if len(cols) < 2:
         raise ValueError("importances need at least two features")
     classify = is_classification(df, target)
     make = RandomForestClassifier if classify else RandomForestRegressor
-    seen = df.filter(F.pmod(F.xxhash64(*[ref(c) for c in cols]), F.lit(10)) < 7)
+    spot = F.pmod(F.xxhash64(*[ref(c) for c in key or df.columns]), F.lit(10_000))
+    learn = _design(df.withColumn("_learn", spot < round(train_share * 10_000)), target, cols, classify, ["_learn"])
     forest = make(featuresCol="_f", labelCol="_y", numTrees=trees, maxDepth=depth, seed=42)
-    scores = forest.fit(_design(seen, target, cols, classify)).featureImportances.toArray()
+    scores = forest.fit(learn.filter("_learn")).featureImportances.toArray()
     return _scores(df, [(c, float(v)) for c, v in zip(cols, scores)], "score")
 
 

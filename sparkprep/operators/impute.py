@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import agg, counts, order, quantiles
-from ..functions.columns import kind, num, ref, replace
+from ..functions.columns import INTEGRAL, kind, num, ref, replace
 from ..plans.step import Step
 
 # Fill values of the constant strategy.
@@ -50,25 +52,30 @@ def fit(df: DataFrame, strategies: dict[str, str], constants: dict | None = None
             value = 0.0 if is_num else ""
         step = Step("missing", c, s)
         if value is not None:
-            if is_num:
-                step.params["fill"] = float(value)
+            whole = isinstance(df.schema[c].dataType, INTEGRAL) and _whole(value)
+            if whole or not is_num:
+                step.mapping["fill"] = str(int(value)) if whole else str(value)
             else:
-                step.mapping["fill"] = str(value)
+                step.params["fill"] = float(value)
         steps.append(step)
     return steps
 
 
+def _whole(value: object) -> bool:
+    """Whether a fill value is a whole number; such a value of a whole-number column is kept as text, so no digit is lost."""
+    return int(value) == value if isinstance(value, (int, float)) and math.isfinite(value) else str(value).lstrip("-").isdigit()
+
+
 def expr(step: Step, dtype: T.DataType) -> Column:
-    """Filled column. Whole-number columns stay whole when the fill value is whole."""
+    """Filled column. A whole-number column keeps its type and digits; only a fractional fill value turns it to double."""
     c = ref(step.column)
     if "fill" in step.mapping:
         return F.coalesce(c, F.lit(step.mapping["fill"]).cast(dtype))
     if "fill" not in step.params:
         return c
-    fill = step.params["fill"]
-    if fill.is_integer() and abs(fill) < 2**31:
-        return F.coalesce(c, F.lit(int(fill)).cast(dtype))
-    return F.coalesce(num(step.column), F.lit(fill))
+    if isinstance(dtype, T.FractionalType) and not isinstance(dtype, T.DoubleType) and float(step.params["fill"]).is_integer():
+        return F.coalesce(c, F.lit(step.params["fill"]).cast(dtype))
+    return F.coalesce(num(step.column), F.lit(step.params["fill"]))
 
 
 def _fill(df: DataFrame, steps: list[Step]) -> DataFrame:

@@ -11,10 +11,11 @@ from pyspark.ml.classification import (
     LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
+    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import Imputer, IndexToString, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, IndexToString, SQLTransformer, StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
@@ -31,6 +32,8 @@ from . import evaluate
 
 TEST_SHARE = 0.2
 SEED = 42
+MAX_CLASSES = 1_000  # classes are held on the driver
+_TWO_CLASSES = ("gbt", "svm")  # estimators that know two classes only
 
 _CLASSIFIERS = {
     "rf": lambda **o: RandomForestClassifier(seed=SEED, **{"numTrees": 100, "maxDepth": 10, **o}),
@@ -73,9 +76,14 @@ def build(
     name: str,
     task: str = "classification",
     features: list[str] | None = None,
+    labels: list[str] | None = None,
     **options,
 ) -> Pipeline:
-    """Unfitted stages: cast, fill with the mean, assemble, scale where needed, estimate."""
+    """Unfitted stages: cast, fill with the mean, assemble, scale where needed, estimate.
+
+    ``labels`` are the classes in order, read from the target where they are not given. Models for two classes are
+    trained once per class, against the rest, where there are more.
+    """
     cols = features_of(df, target, features)
     table = _CLASSIFIERS if task == "classification" else _REGRESSORS
     if name not in table:
@@ -93,14 +101,13 @@ def build(
         stages.append(StandardScaler(inputCol="_features", outputCol="_scaled", withMean=True, withStd=True))
         vector = "_scaled"
     if task == "classification":
-        indexer = StringIndexer(
-            inputCol=target, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="skip"
-        ).fit(df.select(ref(target)))
-        labels = indexer.labelsArray[0]
+        labels = classes(df, target) if labels is None else labels
         if name == "mlp" and "layers" not in options:
             options["layers"] = [len(cols), max(8, 2 * len(cols)), len(labels)]
         estimator = table[name](**options)
         estimator.setFeaturesCol(vector).setLabelCol("_label").setPredictionCol("_predicted")
+        if name in _TWO_CLASSES and len(labels) > 2:
+            estimator = OneVsRest(classifier=estimator, featuresCol=vector, labelCol="_label", predictionCol="_predicted")
         stages += [estimator, IndexToString(inputCol="_predicted", outputCol="predictions", labels=list(labels))]
     else:
         estimator = table[name](**options)
@@ -109,13 +116,22 @@ def build(
     return Pipeline(stages=stages)
 
 
-def labelled(df: DataFrame, target: str, task: str) -> DataFrame:
+def classes(df: DataFrame, target: str) -> list[str]:
+    """The classes of a target in alphabetical order; more than MAX_CLASSES are an error."""
+    seen = df.select(ref(target).cast("string").alias("c")).filter("c is not null").distinct().limit(MAX_CLASSES + 1)
+    found = sorted(r["c"] for r in seen.collect())
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
+    return found
+
+
+def labelled(df: DataFrame, target: str, task: str, labels: list[str] | None = None) -> DataFrame:
     """Rows with a target, and the label column training needs. Scoring needs neither."""
     known = df.filter(ref(target).isNotNull())
     if task != "classification":
         return known.withColumn("_label", num(target))
-    indexer = StringIndexer(inputCol=target, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="skip")
-    return indexer.fit(known.select(ref(target))).transform(known)
+    labels = classes(df, target) if labels is None else labels
+    return StringIndexerModel.from_labels(labels, inputCol=target, outputCol="_label").transform(known)
 
 
 def train(
@@ -128,15 +144,17 @@ def train(
 ) -> PipelineModel:
     """Fitted model with all its preparation stages."""
     cols = features_of(df, target, features)
-    data = labelled(df.select(*[ref(c) for c in cols], ref(target)), target, task)
-    return build(df, target, name, task, cols, **options).fit(data)
+    labels = classes(df, target) if task == "classification" else None
+    data = labelled(df.select(*[ref(c) for c in cols], ref(target)), target, task, labels)
+    return build(df, target, name, task, cols, labels, **options).fit(data)
 
 
 def score(fitted: PipelineModel, df: DataFrame) -> DataFrame:
     """Adds ``predictions`` and ``predictions_probability``.
 
     The probability is that of the second class for two classes and of the predicted class otherwise. A
-    margin classifier gives its margin instead, which ranks rows as well; regressions give null.
+    margin classifier, and models of one class against the rest, give their margin (for more classes that of the
+    predicted one) instead, which ranks rows as well; regressions give null.
     """
     out = fitted.transform(df)
     made = out.columns
@@ -144,7 +162,8 @@ def score(fitted: PipelineModel, df: DataFrame) -> DataFrame:
         p = vector_to_array("probability")
         value = F.when(F.size(p) == 2, F.get(p, F.lit(1))).otherwise(F.get(p, F.col("_predicted").cast("int")))
     elif "rawPrediction" in made:
-        value = F.get(vector_to_array("rawPrediction"), F.lit(1))
+        raw = vector_to_array("rawPrediction")
+        value = F.when(F.size(raw) == 2, F.get(raw, F.lit(1))).otherwise(F.get(raw, F.col("_predicted").cast("int")))
     else:
         value = F.lit(None).cast("double")
     return out.select(*[ref(c) for c in df.columns], "predictions", value.alias("predictions_probability"))
@@ -262,9 +281,10 @@ def tune(
 ) -> tuple[PipelineModel, DataFrame]:
     """Best model over a parameter grid by cross validation, and (params, score) of every point tried."""
     cols = features_of(df, target, features)
-    data = labelled(df.select(*[ref(c) for c in cols], ref(target)), target, task).persist()
+    labels = classes(df, target) if task == "classification" else None
+    data = labelled(df.select(*[ref(c) for c in cols], ref(target)), target, task, labels).persist()
     try:
-        flow = build(df, target, name, task, cols)
+        flow = build(df, target, name, task, cols, labels)
         estimator = next(s for s in flow.getStages() if s.hasParam("labelCol"))
         points = ParamGridBuilder()
         for p, values in grid.items():

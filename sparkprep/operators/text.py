@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -36,45 +37,37 @@ _TOKEN = r"[^\s\p{Z}]+"
 MAX_PROTOTYPES = 10_000
 
 
-def fold_plural(word: str) -> str:
-    """Singular form by ending: ies -> y, es and s dropped, short words kept."""
-    if word.endswith("ies") and len(word) > 4:
-        return word[:-3] + "y"
-    if word.endswith("es") and len(word) > 3:
-        return word[:-2]
-    if word.endswith("s") and len(word) > 2:
-        return word[:-1]
-    return word
+# Plural endings, what stands for them in the singular, and the shortest word they are cut from. The first
+# ending that fits counts.
+PLURALS = (("ies", "y", 5), ("es", "", 4), ("s", "", 3))
 
 
-def _folded(lower: Column) -> Column:
-    """The words of a text in singular form, each between two blanks.
+def singular(word: str) -> str:
+    """The word with its plural ending replaced."""
+    return next((word[: -len(end)] + new for end, new, least in PLURALS if word.endswith(end) and len(word) >= least), word)
 
-    One rule per word: a mark behind a word that was changed keeps the next rules away from it.
-    """
-    out = F.concat(F.lit(" "), F.regexp_replace(lower, _NO_WORD, " "), F.lit(" "))
-    for ending, new in (("ies", "y"), ("es", ""), ("s", "")):
-        out = F.regexp_replace(out, f"(?<=[^ ]{{2}}){ending} ", f"{new}\u0001 ")
-    return F.translate(out, "\u0001", "")
+
+def same_singular(word: str) -> list[str]:
+    """All words with the same singular as the word: at most one per ending and the singular itself."""
+    base = singular(word)
+    forms = {base} | {base[: len(base) - len(new)] + end for end, new, _ in PLURALS if base.endswith(new)}
+    return sorted(f for f in forms if singular(f) == base)
 
 
 def _keyword_hits(keywords: list[str]) -> Column:
-    """Number of keywords found in ``_lower`` as a phrase, or with all their singular words in ``_words``."""
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(k.lower()).alias("phrase"),
-                F.array(*[F.lit(f" {fold_plural(w)} ") for w in re.findall(r"\w+", k.lower())])
-                .cast("array<string>")
-                .alias("words"),
-            )
-            for k in keywords
-        ]
-    )
-    found = lambda k: F.col("_lower").contains(k["phrase"]) | F.forall(
-        k["words"], lambda w: F.col("_words").contains(w)
-    )
-    return F.size(F.filter(table, found))
+    """Number of keywords found in ``_lower`` as a phrase, or with a form of each of their words in ``_words``.
+
+    The forms of the few keywords are listed here, so the words of the texts are compared as they are.
+    """
+    hits = F.lit(0)
+    for k in keywords:
+        found = F.col("_lower").contains(k.lower())
+        words = re.findall(r"\w+", k.lower())
+        every = [F.arrays_overlap("_words", F.array(*[F.lit(f) for f in same_singular(w)])) for w in words]
+        if every:
+            found = found | reduce(lambda x, y: x & y, every)
+        hits = hits + found.cast("int")
+    return hits
 
 
 def keyword_label(
@@ -90,7 +83,7 @@ def keyword_label(
     """
     overrides = {FULL_RUN: FULL_RUN_PHRASES} if overrides is None else overrides
     lower = F.lower(ref(text))
-    staged = df.withColumn("_lower", lower).withColumn("_words", _folded(F.col("_lower")))
+    staged = df.withColumn("_lower", lower).withColumn("_words", F.array_distinct(F.split("_lower", _NO_WORD)))
     ranked = F.array(
         *[
             F.struct(_keyword_hits(words).alias("hits"), F.lit(-i).alias("place"), F.lit(lab).alias("label"))

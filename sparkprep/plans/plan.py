@@ -97,6 +97,8 @@ class Plan:
     def save(self, spark: SparkSession, path: str) -> None:
         self.to_df(spark).write.mode("overwrite").parquet(f"{path}/steps")
         self.lookups(spark).write.mode("overwrite").partitionBy("position").parquet(f"{path}/mappings")
+        decided = spark.createDataFrame(self.overrides, "phase string, column string")
+        decided.write.mode("overwrite").parquet(f"{path}/overrides")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Plan:
@@ -116,7 +118,8 @@ class Plan:
             found = lookup.freeze(keyed, lookup.sizes(keyed, [str(i) for i in wanted]), stored=True)
             for i in wanted:
                 steps[i].lookup = found[str(i)]
-        return Plan(steps)
+        decided = spark.read.schema("phase string, column string").parquet(f"{path}/overrides").collect()
+        return Plan(steps, [(r["phase"], r["column"]) for r in decided])
 
     def shape(self, df: DataFrame) -> DataFrame:
         """(rows_before, columns_before, rows_after, columns_after) of applying the plan."""

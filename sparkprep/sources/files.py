@@ -28,20 +28,18 @@ def read(
     fmt: str = "csv",
     schema: T.StructType | str | None = None,
     encoding: str = "utf-8",
-    multiline: bool | None = None,
+    multiline: bool = False,
     keep_bad_rows: str | None = None,
 ) -> DataFrame:
     """Read a table; NaN becomes null. Give ``schema`` for large inputs: inference reads the files once more.
 
-    ``multiline`` (default: JSON only) reads records that span lines, and then a file is one task: split large
-    JSON into lines. ``encoding`` also takes cp1252, and ``auto``: one more pass looks for bytes that are not utf-8 and falls
+    ``multiline`` reads records that span lines, and then a file is one task; JSON is read as lines unless asked. ``encoding`` also takes cp1252, and ``auto``: one more pass looks for bytes that are not utf-8 and falls
     back to latin-1.
 
     ``keep_bad_rows`` names a column for lines that do not parse (it must then be part of ``schema``).
     """
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}, expected one of {FORMATS}")
-    multiline = fmt == "json" if multiline is None else multiline
     encoding = encoding.lower()
     if encoding == "auto":
         lines = spark.read.text(path).filter(~F.is_valid_utf8("value"))
@@ -94,15 +92,19 @@ def _open(path: str, size: int) -> bytes:
         return f.read(size)
 
 
-def _heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _heads(size: int):
     """First bytes of the files whose ending says nothing; nothing else of any file is read."""
-    for b in batches:
-        b["head"] = [_open(p, SNIFF_BYTES) if f is None else None for p, f in zip(b["path"], b["known"])]
-        yield b
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["head"] = [_open(p, size) if f is None else None for p, f in zip(b["path"], b["known"])]
+            yield b
 
-def sniff(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, fmt, n_bytes) of every file under ``path``: by its ending, else by its first bytes."""
+    return run
+
+
+def sniff(spark: SparkSession, path: str, pattern: str = "*", head_bytes: int = SNIFF_BYTES) -> DataFrame:
+    """(path, fmt, n_bytes) of every file under ``path``: by its ending, else by its first ``head_bytes`` bytes."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
@@ -112,6 +114,6 @@ def sniff(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     )
     ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
     known = F.element_at(F.create_map(*[F.lit(x) for kv in ENDINGS.items() for x in kv]), ending)
-    read = files.withColumn("known", known).mapInPandas(_heads, "path string, length bigint, known string, head binary")
+    read = files.withColumn("known", known).mapInPandas(_heads(head_bytes), "path string, length bigint, known string, head binary")
     head = F.decode(F.col("head"), "ISO-8859-1")
     return read.select("path", F.coalesce("known", _by_content(head)).alias("fmt"), F.col("length").alias("n_bytes"))

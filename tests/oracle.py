@@ -26,6 +26,8 @@ def cell(v):
     if isinstance(v, bool) or v is None:
         return str(v)
     if isinstance(v, (int, float)) or type(v).__name__ == "Decimal":
+        if isinstance(v, int) and abs(v) > 2**53:
+            return str(v)  # a double would hide the last digits
         v = float(v)
         return "nan" if math.isnan(v) else repr(v + 0.0)
     if isinstance(v, datetime.datetime):

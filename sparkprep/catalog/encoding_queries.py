@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators import encode
-from .registry import cte, load, query, r, rounded, source, table
+from .registry import ORACLES, with_limits, cte, load, query, r, rounded, source, table
 
 _SALE = ["o_orderkey", "status", "priority", "total"]
 
@@ -141,3 +141,8 @@ def encoding_dictionary(spark, folder):
 )
 def encoding_dictionary_bits(spark, folder):
     return encode.dictionary(encode.fit(load(spark, folder, "sales", ["priority"]), {"priority": "binary"}))
+
+
+@query("label_encode_shuffled", ORACLES["label_encode_names"])
+def label_encode_shuffled(spark, folder):
+    return with_limits(spark, {"broadcastRows": 100}, lambda: label_encode_names(spark, folder))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, model
-from .registry import cte, load, query, r, rounded, table
+from .registry import ORACLES, with_limits, cte, load, query, r, rounded, table
 from .source_queries import scratch
 
 
@@ -302,3 +302,8 @@ def tree_rules(spark, folder):
 def tune(spark, folder):
     _, table_ = model.tune(_training(spark, folder), "target", "dt", {"maxDepth": [1, 3]}, folds=2, features=_X)
     return table_
+
+
+@query("roc_auc_ranges", ORACLES["roc_auc"])
+def roc_auc_ranges(spark, folder):
+    return with_limits(spark, {"rowsPerRange": 2_000}, lambda: roc_auc(spark, folder))

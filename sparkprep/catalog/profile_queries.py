@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import outliers, profile, validate
-from .registry import cte, each, load, query, r, rounded, source, table
+from .registry import ORACLES, with_limits, cte, each, load, query, r, rounded, source, table
 
 _NUM = ["quantity", "price", "discount", "revenue"]
 _TEXT = ["flag", "status"]
@@ -390,3 +390,8 @@ def ordinal_detector(spark, folder):
 )
 def cell_missing_pct(spark, folder):
     return rounded(profile.cell_missing(load(spark, folder, "items", _ALL)))
+
+
+@query("numeric_percentiles_narrow", ORACLES["numeric_percentiles"])
+def numeric_percentiles_narrow(spark, folder):
+    return with_limits(spark, {"exactRows": 1}, lambda: numeric_percentiles(spark, folder))

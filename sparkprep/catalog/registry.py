@@ -164,3 +164,14 @@ def q(column: str, p: float) -> str:
 def each(columns: list[str], select: str, suffix: str = "") -> str:
     """One SELECT per column, joined by UNION ALL; {c} stands for the column."""
     return " UNION ALL ".join(select.replace("{c}", c) + suffix for c in columns)
+
+
+def with_limits(spark: SparkSession, limits: dict[str, int], make: Callable[[], DataFrame]) -> DataFrame:
+    """The frame made under other bounds (sparkprep.<name>), so that small tables take the path of large ones."""
+    for k, v in limits.items():
+        spark.conf.set(f"sparkprep.{k}", str(v))
+    try:
+        return make()
+    finally:
+        for k in limits:
+            spark.conf.unset(f"sparkprep.{k}")

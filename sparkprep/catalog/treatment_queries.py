@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators import impute, outliers
 from ..plans.plan import Plan, fit_phase
-from .registry import cte, load, q, query, r, rounded, source, table
+from .registry import ORACLES, with_limits, cte, load, q, query, r, rounded, source, table
 from .source_queries import scratch
 
 _KEY = ["l_orderkey", "quantity", "price", "discount"]
@@ -278,3 +278,8 @@ def impute_all_mean(spark, folder):
 )
 def impute_all_zero(spark, folder):
     return impute.all(load(spark, folder, "items", ["quantity", "price"]), ["quantity", "price"], "zero")
+
+
+@query("forward_fill_ranges", ORACLES["forward_fill"])
+def forward_fill_ranges(spark, folder):
+    return with_limits(spark, {"rowsPerRange": 2_000}, lambda: forward_fill(spark, folder))

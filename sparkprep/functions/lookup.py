@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .columns import ref
-from ..session import durable
+from ..session import durable, limit
 
 BROADCAST_ROWS = 100_000  # a mapping is broadcast only when it is known to have at most this many rows
+BROADCAST_BYTES = 8 << 20  # and this many bytes of values
 HOT_SHARE = 1_000  # a value holding more than 1/HOT_SHARE of all rows is hot; there are fewer than that many
 SPREAD = 4_096
 
@@ -29,18 +30,26 @@ class Lookup:
 
 
 def settle(counted: DataFrame) -> DataFrame:
-    """Counted values evaluated once: local data when they are few, else files in the shared folder."""
-    rows = counted.limit(BROADCAST_ROWS + 1).collect()
-    if len(rows) <= BROADCAST_ROWS:
-        return counted.sparkSession.createDataFrame(rows, counted.schema)
+    """Counted values evaluated once: files in the shared folder."""
     return durable(counted)
 
 
+class Size(int):
+    """Number of values of a mapping; ``bytes`` is what their texts take."""
+
+    bytes = 0
+
+
 def sizes(counted: DataFrame, cols: list[str]) -> dict[str, int]:
-    """Number of values per column."""
-    got = counted.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()
-    found = {r["column"]: r["k"] for r in got}
-    return {c: found.get(c, 0) for c in cols}
+    """Number of values per column, with their bytes."""
+    took = F.sum(F.octet_length(F.col("value").cast("string")))
+    got = counted.groupBy("column").agg(F.count(F.lit(1)).alias("k"), took.alias("b")).collect()
+    out: dict[str, int] = {c: Size(0) for c in cols}
+    for r in got:
+        if r["column"] in out:
+            out[r["column"]] = Size(r["k"])
+            out[r["column"]].bytes = r["b"] or 0
+    return out
 
 
 def freeze(mapping: DataFrame, sizes: dict[str, int], stored: bool = False) -> dict[str, Lookup]:
@@ -52,11 +61,12 @@ def freeze(mapping: DataFrame, sizes: dict[str, int], stored: bool = False) -> d
     """
     spark = mapping.sparkSession
     out = {}
-    small = [c for c, n in sizes.items() if n <= BROADCAST_ROWS]
+    most, heaviest = limit(spark, "broadcastRows", BROADCAST_ROWS), limit(spark, "broadcastBytes", BROADCAST_BYTES)
+    small = [c for c, n in sizes.items() if n <= most and getattr(n, "bytes", 0) <= heaviest]
     large = [c for c in sizes if c not in small]
     schema = T.StructType([f for f in mapping.schema.fields if f.name != "column"])
     while small:
-        batch, room = [], BROADCAST_ROWS  # what is gathered at once stays within the same bound
+        batch, room = [], most  # what is gathered at once stays within the same bound
         while small and (not batch or sizes[small[0]] <= room):
             room -= sizes[small[0]]
             batch.append(small.pop(0))

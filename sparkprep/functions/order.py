@@ -11,18 +11,18 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import durable
+from ..session import durable, limit
 from .columns import ref
 from .tree import choose
 
-ROWS_PER_BUCKET = 2_000_000
+ROWS_PER_BUCKET = 2_000_000  # default of sparkprep.rowsPerRange
 MAX_BUCKETS = 4_096  # parallelism, not a row limit: ranges get longer beyond it and sort with spill
 _OVERSAMPLE = 32
 _TREE = 200  # up to this many edges the range is found by compiled branches, beyond by looking into two arrays
 
 
 def _edges(df: DataFrame, keys: list[str], n: int) -> list[tuple]:
-    k = min(MAX_BUCKETS, math.ceil(n / ROWS_PER_BUCKET))
+    k = min(MAX_BUCKETS, math.ceil(n / limit(df.sparkSession, "rowsPerRange", ROWS_PER_BUCKET)))
     if k <= 1:
         return []
     step = max(1, n // (k * _OVERSAMPLE))
@@ -77,7 +77,7 @@ def running(
     by = by or []
     order = by + keys
     n = at_most
-    if n is None or n > ROWS_PER_BUCKET:
+    if n is None or n > limit(df.sparkSession, "rowsPerRange", ROWS_PER_BUCKET):
         df = df if stored else durable(df)
         n = df.count()
     plain = df.select("*", *[e.alias(f"_v_{n}") for n, e in sums.items()])

@@ -14,11 +14,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import limit
 from . import agg
 from .columns import num, ref
 from .tree import choose
 
-EXACT_ROWS = 200_000
+EXACT_ROWS = 200_000  # default of sparkprep.exactRows
 SAMPLE_ROWS = 100_000  # rows a narrowing round samples per rank
 GATHER_ROWS = 20_000  # rank intervals of at most this many rows are read out directly
 CUTS_PER_JOB = 200
@@ -35,7 +36,7 @@ def fit(
     """{column: quantile per probability}; null and NaN are ignored, None for an empty column."""
     if not cols:
         return {}
-    exact_rows = EXACT_ROWS if exact_rows is None else exact_rows
+    exact_rows = limit(df.sparkSession, "exactRows", EXACT_ROWS) if exact_rows is None else exact_rows
     slim = df.select(*[F.nanvl(num(c), F.lit(None).cast("double")).alias(c) for c in cols])
     at = F.array(*[F.lit(float(p)) for p in probs])
     if mode == "approx":

@@ -46,3 +46,13 @@ def durable(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def limit(spark: SparkSession, name: str, default: int) -> int:
+    """A bound as the session sets it (``spark.conf.set("sparkprep.rowsPerRange", ...)``), else its default.
+
+    sparkprep.exactRows: up to so many rows quantiles keep all distinct values in one buffer; beyond they are narrowed.
+    sparkprep.rowsPerRange: rows of one range of a global order. sparkprep.broadcastRows, sparkprep.broadcastBytes: largest
+    mapping that is broadcast. The results are the same for any value.
+    """
+    return int(spark.conf.get(f"sparkprep.{name}", None) or default)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features, impute, outliers
 from ..plans.ledger import Ledger
-from .registry import cte, load, q, query, r, rounded, source, table
+from .registry import ORACLES, cte, load, q, query, r, rounded, source, table
 
 _FEATURES = ["quantity", "price", "discount", "revenue"]
 _WITH_TARGET = [*_FEATURES, "target"]
@@ -63,6 +63,12 @@ def woe_table(spark, folder):
 _LABELLED = """SELECT value, value * value AS squared, user_id, CASE WHEN value > 20 THEN 1 ELSE 0 END AS target FROM events"""
 
 
+def _decided(scores, name: str, kept, digits: int = 6):
+    """(feature, score, kept): what a filter decided about each scored feature, from the columns it left."""
+    out = scores.select("feature", F.col(name).cast("double").alias("score"), F.col("feature").isin(kept.columns).alias("kept"))
+    return rounded(out, digits)
+
+
 def _labelled(spark, folder):
     return table(spark, folder, "events").selectExpr(
         "value", "value * value AS squared", "user_id", "CASE WHEN value > 20 THEN 1 ELSE 0 END AS target"
@@ -75,12 +81,22 @@ def iv_filter(spark, folder):
     return features.filter_iv(_labelled(spark, folder), "target", 0.1)
 
 
-@query("drop_constant_columns", "SELECT l_orderkey, l_discount, target FROM (SELECT *, 1 AS target FROM lineitem)")
+_SAME = {"l_orderkey": "l_orderkey", "l_discount": "l_discount", "same": "7", "empty": "CAST(NULL AS {s})"}
+
+
+@query(
+    "drop_constant_columns",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, CAST(count(DISTINCT {e.format(s='VARCHAR')}) AS DOUBLE) AS score, count(DISTINCT {e.format(s='VARCHAR')}) > 1 AS kept FROM lineitem"
+        for c, e in _SAME.items()
+    ),
+)
 def drop_constant_columns(spark, folder):
-    df = table(spark, folder, "lineitem").selectExpr(
-        "l_orderkey", "l_discount", "7 AS same", "CAST(NULL AS STRING) AS empty", "1 AS target"
+    df = table(spark, folder, "lineitem").selectExpr(*[f"{e.format(s='STRING')} AS {c}" for c, e in _SAME.items()], "1 AS target")
+    many = df.agg(*[F.count_distinct(c).alias(c) for c in _SAME]).select(
+        F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("n")) for c in _SAME]))
     )
-    return features.drop_constant(df, "target")
+    return _decided(many, "n", features.drop_constant(df, "target"))
 
 
 _TEXTS = {
@@ -102,9 +118,24 @@ def coerce_numeric_strings(spark, folder):
     return features.coerce_numeric(table(spark, folder, "lineitem").selectExpr("l_orderkey", *exprs))
 
 
-@query("drop_non_numeric", source("items", ["l_orderkey", "quantity", "target"]))
+_MIXED = ["l_orderkey", "quantity", "flag", "status", "target"]
+
+
+@query(
+    "drop_non_numeric",
+    f"WITH t AS ({source('items', _MIXED)}) "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, max(CASE WHEN typeof({c}) IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 1.0 ELSE 0.0 END) AS score, "
+        f"max(CASE WHEN typeof({c}) IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 1 ELSE 0 END) = 1 AS kept FROM t"
+        for c in _MIXED
+    ),
+)
 def drop_non_numeric(spark, folder):
-    return features.numeric_only(load(spark, folder, "items", ["l_orderkey", "quantity", "flag", "status", "target"]), "target")
+    """Score: 1 for a column of numbers."""
+    df = load(spark, folder, "items", _MIXED)
+    numbers = [(c, float(t in ("bigint", "int", "double"))) for c, t in df.dtypes]
+    scores = spark.createDataFrame(numbers, "feature string, number double")
+    return _decided(scores, "number", features.numeric_only(df, "target"))
 
 
 # ---- correlation ------------------------------------------------------------------------------------
@@ -131,28 +162,36 @@ def correlation_matrix_wide(spark, folder):
     return rounded(features.corr_matrix(load(spark, folder, "items", _FEATURES), _FEATURES, complete=True))
 
 
-@query("correlation_prune", source("items", ["quantity", "price", "discount", "target"]))
+@query(
+    "correlation_prune",
+    f"""{cte("items", _WITH_TARGET)} SELECT feature, {r("max(r)", "score")}, max(r) < 0.8 AS kept FROM (
+    SELECT b AS feature, r FROM ({_pairs(_FEATURES)}) UNION ALL SELECT '{_FEATURES[0]}', 0) GROUP BY 1""",
+)
 def correlation_prune(spark, folder):
-    """The revenue follows the price, which comes first."""
-    return features.filter_corr(load(spark, folder, "items", _WITH_TARGET), "target", 0.8)
+    """Score: the largest correlation with a column that comes earlier."""
+    df = load(spark, folder, "items", _WITH_TARGET)
+    pairs = features.corr_matrix(df, _FEATURES).select(F.col("b").alias("feature"), "r")
+    first = spark.createDataFrame([(_FEATURES[0], 0.0)], "feature string, r double")
+    scores = pairs.unionByName(first).groupBy("feature").agg(F.max("r").alias("r"))
+    return _decided(scores, "r", features.filter_corr(df, "target", 0.8))
 
 
 @query(
     "top_correlated_pairs",
-    f"{cte('items', _FEATURES)} SELECT a, b, {r('r', 'r')} FROM ({_pairs(_FEATURES)}) ORDER BY r DESC, a, b LIMIT 3",
+    f"{cte('items', _FEATURES)} SELECT a, b, {r('r', 'r')} FROM ({_pairs(_FEATURES)}) ORDER BY r DESC, a, b LIMIT 10",
 )
 def top_correlated_pairs(spark, folder):
-    return rounded(features.top_pairs(load(spark, folder, "items", _FEATURES), _FEATURES, 3))
+    return rounded(features.top_pairs(load(spark, folder, "items", _FEATURES), _FEATURES))
 
 
 @query(
     "target_ranking",
     f"{cte('items', _WITH_TARGET)} SELECT feature, {r('r', 'r')} FROM ("
     + " UNION ALL ".join(f"SELECT '{c}' AS feature, abs(coalesce(corr({c}, target), 0)) AS r FROM t" for c in _FEATURES)
-    + ") ORDER BY r DESC, feature LIMIT 3",
+    + ") ORDER BY r DESC, feature LIMIT 10",
 )
 def target_ranking(spark, folder):
-    return rounded(features.rank_by_target(load(spark, folder, "items", _WITH_TARGET), "target", 3))
+    return rounded(features.rank_by_target(load(spark, folder, "items", _WITH_TARGET), "target"))
 
 
 # ---- variance inflation -----------------------------------------------------------------------------
@@ -187,10 +226,14 @@ def vif_raw(spark, folder):
     return rounded(features.vif(load(spark, folder, "items", ["quantity", "price"]), ["quantity", "price"], center=False))
 
 
-@query("vif_filter", source("items", ["quantity", "discount", "target"]))
+@query(
+    "vif_filter",
+    f"SELECT feature, vif AS score, vif <= 5 AS kept FROM ({ORACLES['vif']})",
+)
 def vif_filter(spark, folder):
     """Price and revenue explain each other, so both go."""
-    return features.filter_vif(load(spark, folder, "items", _WITH_TARGET), "target", 5.0)
+    df = load(spark, folder, "items", _THREE)
+    return _decided(features.vif(df, _THREE), "vif", features.filter_vif(df, "target", 5.0, _THREE), 5)
 
 
 # ---- stability --------------------------------------------------------------------------------------
@@ -244,10 +287,11 @@ def csi_bins_clamped(spark, folder):
     return rounded(features.csi_bins(_orders(spark, folder), "orderdate", _OOT, _DRIFTING, out_of_range="clamp"))
 
 
-@query("csi_filter", f"SELECT orderdate, total, o_custkey FROM ({_ORDERS})")
+@query("csi_filter", f"SELECT feature, csi AS score, csi <= 0.2 AS kept FROM ({ORACLES['csi']})")
 def csi_filter(spark, folder):
     """The shifted column moved between the periods."""
-    return features.filter_csi(_orders(spark, folder), "orderdate", _OOT, 0.2, _DRIFTING)
+    df = _orders(spark, folder)
+    return _decided(features.csi(df, "orderdate", _OOT, _DRIFTING), "csi", features.filter_csi(df, "orderdate", _OOT, 0.2, _DRIFTING))
 
 
 # ---- model-based scores -----------------------------------------------------------------------------
@@ -255,28 +299,45 @@ def csi_filter(spark, folder):
 
 @query("tree_importance")
 def tree_importance(spark, folder):
-    return features.importance(load(spark, folder, "items", _WITH_TARGET), "target", trees=20, depth=6)
+    return features.importance(load(spark, folder, "items", _WITH_TARGET), "target")
 
 
 def _r_scores(spark, folder):
     return features.rank_by_target(_labelled(spark, folder), "target", 10).withColumnRenamed("r", "score")
 
 
-@query("importance_filter", f"SELECT value, squared, target FROM ({_LABELLED})")
+_R_SCORES = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, abs(coalesce(corr({c}, target), 0)) AS r FROM ({_LABELLED})" for c in ("value", "squared", "user_id")
+)
+
+
+@query(
+    "importance_filter",
+    f"SELECT feature, {r('r', 'score')}, row_number() OVER (ORDER BY r DESC, feature) <= 2 AS kept FROM ({_R_SCORES})",
+)
 def importance_filter(spark, folder):
     """Any score table works: here the correlation with the target."""
-    return features.filter_scores(_labelled(spark, folder), "target", _r_scores(spark, folder), top_n=2)
+    df, scores = _labelled(spark, folder), _r_scores(spark, folder)
+    return _decided(scores, "score", features.filter_scores(df, "target", scores, top_n=2))
 
 
-@query("importance_filter_min", f"SELECT value, squared, target FROM ({_LABELLED})")
+@query("importance_filter_min", f"SELECT feature, {r('r', 'score')}, r >= 0.1 AS kept FROM ({_R_SCORES})")
 def importance_filter_min(spark, folder):
-    return features.filter_scores(_labelled(spark, folder), "target", _r_scores(spark, folder), min_score=0.1)
+    df, scores = _labelled(spark, folder), _r_scores(spark, folder)
+    return _decided(scores, "score", features.filter_scores(df, "target", scores, min_score=0.1))
 
 
-@query("lasso_select")
+@query(
+    "lasso_select",
+    f"""WITH t AS ({source("items", ["quantity", "price"])}), f AS (SELECT avg(quantity) AS m, avg(price) AS y FROM t),
+    z AS (SELECT coalesce(quantity, m) AS x, price AS y FROM t, f WHERE price IS NOT NULL),
+    g AS (SELECT covar_pop(x, y) / stddev_samp(x) AS c, stddev_pop(y) * 0.1 AS w, count(*) * 1.0 / (count(*) - 1) AS k FROM z)
+    SELECT 'quantity' AS feature, {r("greatest(abs(c) - w, 0) * k", "score", 0)} FROM g""",
+)
 def lasso_select(spark, folder):
-    df = load(spark, folder, "items", ["quantity", "discount", "revenue", "price"])
-    return features.lasso(df, "price", ["quantity", "discount", "revenue"])
+    """One standardized feature at one strength: its coefficient is the covariance, shrunk by the strength."""
+    df = load(spark, folder, "items", ["quantity", "price"]).filter("price IS NOT NULL")
+    return rounded(features.lasso(df, "price", ["quantity"], strengths=[0.1]), 0)
 
 
 @query("pca")

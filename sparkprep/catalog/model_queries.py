@@ -17,10 +17,13 @@ def split_train_test(spark, folder):
     return model.split_by(table(spark, folder, "orders").select("o_orderkey"), "o_orderkey")
 
 
-@query("split_train_test_hash")
+@query(
+    "split_train_test_hash",
+    """SELECT o_orderkey, CASE WHEN ('0x' || substr(md5(o_orderkey || '|42'), 1, 8))::BIGINT % 10000 < 2000 THEN 'test' ELSE 'train' END AS split
+    FROM orders""",
+)
 def split_train_test_hash(spark, folder):
-    out = model.split(table(spark, folder, "orders").select("o_orderkey"), ["o_orderkey"])
-    return out.groupBy("split").count()
+    return model.split(table(spark, folder, "orders").select("o_orderkey"), ["o_orderkey"])
 
 
 @query("confusion_matrix", f"{cte('scored', ['y3', 'pred3'])} SELECT y3 AS actual, pred3 AS predicted, count(*) AS n FROM t GROUP BY ALL")
@@ -265,43 +268,100 @@ def train_regressor(spark, folder):
     return out
 
 
-@query("compare_trained_models")
+# A feature that separates the classes and one that does not: what a tree must find can be computed.
+_SEPARABLE = """SELECT event_id, CASE WHEN value > 20 THEN 1.0 ELSE 0.0 END AS big, CAST(user_id % 2 AS DOUBLE) AS side,
+    CASE WHEN value > 20 THEN 1 ELSE 0 END AS target FROM events"""
+_SEP_X = ["big", "side"]
+
+
+def _separable(spark, folder):
+    df = table(spark, folder, "events").selectExpr(
+        "event_id", "CASE WHEN value > 20 THEN 1.0D ELSE 0.0D END AS big", "CAST(user_id % 2 AS DOUBLE) AS side",
+        "CASE WHEN value > 20 THEN 1 ELSE 0 END AS target",
+    )
+    return model.split_by(df, "event_id")
+
+
+_RULE = f"SELECT avg(CASE WHEN (big > 0.5) = (target = 1) THEN 1.0 ELSE 0.0 END) AS hits FROM ({_SEPARABLE})"
+
+
+@query(
+    "compare_trained_models",
+    f"SELECT model, {r('hits', 'score')} FROM (VALUES ('dt'), ('gbt'), ('lr'), ('rf')) m(model), ({_RULE} WHERE event_id % 10 < 2)",
+)
 def compare_trained_models(spark, folder):
-    return model.compare(_training(spark, folder), "target", ["dt", "lr"], features=_X)
+    """On separable classes every model reaches the accuracy of the rule; the order is that of the names."""
+    got = model.compare(_separable(spark, folder), "target", ["dt", "lr", "rf", "gbt"], features=_SEP_X)
+    return rounded(got.select("model", "score"))
 
 
-@query("score_table")
+@query(
+    "score_table",
+    f"""SELECT event_id, big, side, target, CASE WHEN event_id % 10 < 2 THEN 'test' ELSE 'train' END AS split,
+    CAST(CASE WHEN big > 0.5 THEN 1 ELSE 0 END AS VARCHAR) AS predictions, big AS predictions_probability FROM ({_SEPARABLE})""",
+)
 def score_table(spark, folder):
-    df = _training(spark, folder)
-    return model.score(model.train(df, "target", "dt", features=_X), df)
+    df = _separable(spark, folder)
+    return rounded(model.score(model.train(df, "target", "dt", features=_SEP_X, maxDepth=1), df))
+
 
+_CONFUSED = f"SELECT target AS actual, CAST(CASE WHEN big > 0.5 THEN 1 ELSE 0 END AS VARCHAR) AS predicted, count(*) AS n FROM ({_SEPARABLE}) GROUP BY ALL"
 
-@query("save_model")
+
+@query("save_model", _CONFUSED)
 def save_model(spark, folder):
-    df = _training(spark, folder)
-    path = model.save(model.train(df, "target", "dt", features=_X), scratch(spark, "models"), "r1", "tree")
-    return spark.createDataFrame([(path.rsplit("/", 1)[-1],)], "model string")
+    """Stored under a run and name, read back from the path."""
+    df = _separable(spark, folder)
+    path = model.save(model.train(df, "target", "dt", features=_SEP_X), scratch(spark, "models"), "r1", "tree")
+    return evaluate.confusion(model.score(model.load(spark, path), df), "target", "predictions")
 
 
-@query("load_model")
+@query("load_model", _CONFUSED)
 def load_model(spark, folder):
     """Stored, found as the newest of its run, and used."""
-    df = _training(spark, folder)
+    df = _separable(spark, folder)
     root = scratch(spark, "models")
-    model.save(model.train(df, "target", "dt", features=_X), root, "r1", "tree")
+    model.save(model.train(df, "target", "dt", features=_SEP_X), root, "r1", "tree")
     fitted = model.load(spark, model.newest(spark, root, "r1"))
     return evaluate.confusion(model.score(fitted, df), "target", "predictions")
 
 
-@query("tree_rules")
+@query(
+    "tree_rules",
+    f"""WITH t AS ({_SEPARABLE}), n AS (SELECT avg(big) AS p FROM t)
+    SELECT 0 AS node, 0 AS depth, NULL AS parent, NULL AS side, 'big' AS feature, 0.5 AS threshold, 1.0 AS share, CASE WHEN p > 0.5 THEN 1.0 ELSE 0.0 END AS prediction FROM n
+    UNION ALL SELECT 1, 1, 0, 'left', NULL, NULL, {r("1 - p", "share")}, 0.0 FROM n
+    UNION ALL SELECT 2, 1, 0, 'right', NULL, NULL, {r("p", "share")}, 1.0 FROM n""",
+)
 def tree_rules(spark, folder):
-    return model.tree_rules(model.train(_training(spark, folder), "target", "dt", features=_X), _X)
+    """One cut suffices; both leaves are pure."""
+    return rounded(model.tree_rules(model.train(_separable(spark, folder), "target", "dt", features=_SEP_X, maxDepth=1), _SEP_X))
 
 
-@query("tune")
+@query("tune", f"SELECT depth, {r('hits', 'score')} FROM (VALUES ('1'), ('3')) d(depth), ({_RULE})")
 def tune(spark, folder):
-    _, table_ = model.tune(_training(spark, folder), "target", "dt", {"maxDepth": [1, 3]}, folds=2, features=_X)
-    return table_
+    """Three folds; any depth finds the one cut that separates the classes."""
+    _, tried = model.tune(_separable(spark, folder), "target", "dt", {"maxDepth": [1, 3]}, features=_SEP_X)
+    return rounded(tried.select(F.col("params")["maxDepth"].alias("depth"), "score"))
+
+
+@query(
+    "train_classifier_multiclass",
+    """SELECT model, CAST(1 AS DOUBLE) AS accuracy, (SELECT count(DISTINCT o_orderstatus) FROM orders) AS classes
+    FROM (VALUES ('dt'), ('gbt'), ('lr'), ('mlp'), ('rf'), ('svm')) m(model)""",
+)
+def train_classifier_multiclass(spark, folder):
+    """Three classes, each with a feature of its own: every model, one against the rest or not, tells them apart."""
+    df = table(spark, folder, "orders").selectExpr(
+        "o_orderstatus AS y", *[f"CASE WHEN o_orderstatus = '{c}' THEN 1.0D ELSE 0.0D END AS is_{c}" for c in "FOP"]
+    )
+    out = None
+    for name, options in {"dt": {}, "gbt": {"maxIter": 2}, "lr": {}, "mlp": {"maxIter": 30}, "rf": {"numTrees": 20}, "svm": {}}.items():
+        scored = model.score(model.train(df, "y", name, features=["is_F", "is_O", "is_P"], **options), df)
+        one = scored.agg(F.avg((F.col("y") == F.col("predictions")).cast("double")).alias("accuracy"), F.count_distinct("predictions").alias("classes"))
+        one = one.withColumn("model", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("roc_auc_ranges", ORACLES["roc_auc"])

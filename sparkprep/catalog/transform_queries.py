@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions import power
 from ..operators import transform
 from .registry import cte, load, q, query, r, rounded
 
@@ -93,9 +94,24 @@ def tx_box_cox(spark, folder):
     return _run(spark, folder, transform.box_cox, lam=0.3)
 
 
-@query("tx_box_cox_fit")
+def _likeliest(x: str, power: str, log: str) -> str:
+    """The exponent of two decimals with the highest likelihood, by trying all between -5 and 5."""
+    y = f"CASE WHEN lam = 0 THEN {log} ELSE (pow({power}, lam) - 1) / lam END"
+    return f"""{cte("clicks", _COLS)}, g AS (SELECT i / 100.0 AS lam FROM range(-500, 501) r(i)),
+    l AS (SELECT lam, (lam - 1) * sum({log}) - count(*) / 2.0 * ln(var_pop({y})) AS l FROM t, g WHERE {x} IS NOT NULL GROUP BY lam),
+    b AS (SELECT lam FROM l ORDER BY l DESC LIMIT 1)
+    SELECT event_id, user_id, {r(y, "value")} FROM t, b"""
+
+
+def _fitted(spark, folder, how, family: str):
+    """The fitted exponent, to two decimals, applied."""
+    lam = power.fit(load(spark, folder, "clicks", _COLS), ["value"], family)["value"]
+    return _run(spark, folder, how, lam=round(lam, 2))
+
+
+@query("tx_box_cox_fit", _likeliest("value", "value", "ln(value)"))
 def tx_box_cox_fit(spark, folder):
-    return _run(spark, folder, transform.box_cox)
+    return _fitted(spark, folder, transform.box_cox, "box_cox")
 
 
 @query("tx_yeo_johnson", _sql("(pow(value + 1, -0.2) - 1) / -0.2"))
@@ -103,9 +119,9 @@ def tx_yeo_johnson(spark, folder):
     return _run(spark, folder, transform.yeo_johnson, lam=-0.2)
 
 
-@query("tx_yeo_johnson_fit")
+@query("tx_yeo_johnson_fit", _likeliest("value", "value + 1", "ln(value + 1)"))
 def tx_yeo_johnson_fit(spark, folder):
-    return _run(spark, folder, transform.yeo_johnson)
+    return _fitted(spark, folder, transform.yeo_johnson, "yeo_johnson")
 
 
 @query(

@@ -55,9 +55,10 @@ _SCALED = ("mlp", "lr", "svm", "ridge", "lasso")  # sensitive to the size of the
 
 
 def split(df: DataFrame, key: list[str], test: float = TEST_SHARE, name: str = "split") -> DataFrame:
-    """Adds ``train`` / ``test`` by a hash of the key: the same row always lands on the same side."""
+    """Adds ``train`` / ``test`` by a hash of the key as text: the same row lands on the same side in any engine."""
     limit = round(test * 10_000)
-    spot = F.pmod(F.xxhash64(*[ref(k) for k in key], F.lit(SEED)), F.lit(10_000))
+    text = F.concat_ws("|", *[F.coalesce(ref(k).cast("string"), F.lit("")) for k in key], F.lit(str(SEED)))
+    spot = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % 10_000
     return df.withColumn(name, F.when(spot < limit, "test").otherwise("train"))
 
 

@@ -12,6 +12,8 @@ from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, Rando
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.stat import Correlation
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import agg, bins, counts
@@ -19,7 +21,6 @@ from ..functions.agg import count_if
 from ..functions.columns import categorical, kind, num, numeric, ref, replace
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-WIDE = 40  # from this many columns on, correlations come from one pass over assembled vectors
 
 
 def _scores(df: DataFrame, rows: list[tuple[str, float | None]], name: str) -> DataFrame:
@@ -163,13 +164,41 @@ def corr_matrix(df: DataFrame, cols: list[str] | None = None, complete: bool = F
         m = _vector_corr(df.select(*[num(c).alias(f"_x{i}") for i, c in enumerate(cols)]).dropna(), len(cols))
         rows = [(cols[i], cols[j], None if math.isnan(m[i, j]) else abs(float(m[i, j]))) for i, j in pairs]
         return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
-    got = agg.long(df, {f"{i},{j}": {"r": agg.corr(num(cols[i]), num(cols[j]))} for i, j in pairs}, "pair")
-    spot = F.split("pair", ",")
-    names = F.array(*[F.lit(c) for c in cols])
-    r = F.abs(F.nanvl(F.col("r"), F.lit(None)))
-    return got.select(
-        F.get(names, spot[0].cast("int")).alias("a"), F.get(names, spot[1].cast("int")).alias("b"), r.alias("r")
-    )
+    m = _pairwise_corr(*_cross(df, {c: num(c) for c in cols}))
+    rows = [(cols[i], cols[j], None if math.isnan(m[i, j]) else min(1.0, abs(float(m[i, j])))) for i, j in pairs]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
+
+
+def _cross(df: DataFrame, values: dict[str, Column], center: bool = True) -> tuple[np.ndarray, ...]:
+    """(n, x, xx, xy): for every pair of columns the rows with both, the first's sum and sum of squares, and the sum of products.
+
+    Two jobs for any number of columns: the means, then one pass over vectors of masks, centered values and squares, whose
+    cross products hold all pairs. The driver gets a matrix of three times the number of columns.
+    """
+    cols, k = list(values), len(values)
+    x = [v.cast("double") for v in values.values()]
+    means = list(df.agg(*[F.avg(F.nanvl(v, F.lit(None))).alias(f"m{i}") for i, v in enumerate(x)]).first()) if center else [0.0] * k
+    there = [v.isNotNull() & ~F.isnan(v) for v in x]
+    gap = [F.when(t, v - F.lit(m or 0.0)).otherwise(F.lit(0.0)) for t, v, m in zip(there, x, means)]
+    slim = df.select(*[t.cast("double").alias(f"_m{i}") for i, t in enumerate(there)], *[g.alias(f"_x{i}") for i, g in enumerate(gap)])
+    slim = slim.select("*", *[(F.col(f"_x{i}") * F.col(f"_x{i}")).alias(f"_s{i}") for i in range(k)])
+    vec = VectorAssembler(inputCols=[f"_{p}{i}" for p in "mxs" for i in range(k)], outputCol="_v").transform(slim).select("_v")
+    g = RowMatrix(MLUtils.convertVectorColumnsFromML(vec, "_v"), 0, 3 * k).computeGramianMatrix().toArray().copy()
+    m, x, s = slice(0, k), slice(k, 2 * k), slice(2 * k, 3 * k)
+    # what rounding leaves of a constant after centering is no variation
+    still = [k + i for i in range(k) if center and g[k + i, k + i] <= 1e-20 * g[i, i] * (means[i] or 0.0) ** 2]
+    for i in [*still, *(i + k for i in still)]:
+        g[i, :] = g[:, i] = 0.0
+    return g[m, m], g[x, m], g[s, m], g[x, x]
+
+
+def _pairwise_corr(n: np.ndarray, x: np.ndarray, xx: np.ndarray, xy: np.ndarray) -> np.ndarray:
+    """Correlations over the rows with both values; NaN where a side does not vary there."""
+    left = n * xx - x * x
+    still = left <= 1e-12 * np.maximum(n * xx, np.diag(xx)[:, None] * 1e-6)
+    left = np.where(still, np.nan, left)
+    with np.errstate(invalid="ignore"):
+        return (n * xy - x * x.T) / np.sqrt(left * left.T)
 
 
 def _vector_corr(df: DataFrame, k: int) -> np.ndarray:
@@ -229,31 +258,17 @@ def _inflation(m: np.ndarray) -> list[float]:
 def vif(df: DataFrame, cols: list[str] | None = None, center: bool = True) -> DataFrame:
     """(feature, vif). Centered: nulls filled with the mean. Raw: nulls filled with zero, no intercept.
 
-    The cross products come from one aggregate (or one vector pass for wide tables); only the k x k matrix
-    is solved on the driver. A constant feature has no inflation: null.
+    The cross products come from one pass (see ``_cross``); only the k x k matrix is solved on the driver. A constant feature has no inflation: null.
     """
     cols = numeric(df) if cols is None else cols
-    if center:
-        means = agg.fit(df, {c: F.avg(num(c)) for c in cols})
-        fill = {c: F.coalesce(num(c), F.lit(means[c] if means[c] is not None else 0.0)) for c in cols}
-    else:
-        fill = {c: F.coalesce(num(c), F.lit(0.0)) for c in cols}
-    names = [f"_x{i}" for i in range(len(cols))]
-    x = df.select(*[fill[c].alias(n) for c, n in zip(cols, names)])
     k = len(cols)
-    m = np.eye(k)
-    if center and k > WIDE:
-        m = _vector_corr(x, k)
-    else:
-        product = (lambda a, b: agg.corr(F.col(a), F.col(b))) if center else (lambda a, b: F.sum(F.col(a) * F.col(b)))
-        pairs = [(i, j) for i in range(k) for j in range(i, k) if not center or i != j]
-        got = agg.fit(x, {p: product(names[p[0]], names[p[1]]) for p in pairs})
-        for (i, j), v in got.items():
-            m[i, j] = m[j, i] = np.nan if v is None else v
-    if not center:
+    n, x, xx, xy = _cross(df, {c: num(c) for c in cols}, center)
+    m = np.array(xy)  # a gap is the mean, or zero where nothing is centered: it adds nothing to a product
+    with np.errstate(divide="ignore", invalid="ignore"):
         d = np.sqrt(np.diag(m))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            m = m / np.outer(d, d)
+        m = m / np.outer(d, d)
+    if center:
+        m[np.arange(k), np.arange(k)] = 1.0
     dead = [i for i in range(k) if k > 1 and np.isnan(np.delete(m[i], i)).all()]
     live = [i for i in range(k) if i not in dead]
     found = dict(zip(live, _inflation(m[np.ix_(live, live)]))) if live else {}

@@ -214,7 +214,9 @@ def test_pruning_counts_dropped_columns_too(spark):
     df = spark.createDataFrame([tuple(map(float, r)) for r in zip(a, b, c)], "a double, b double, c double")
     r = {(x["a"], x["b"]): x["r"] for x in features.corr_matrix(df).collect()}
     assert r["a", "b"] > 0.8 > r["a", "c"] and r["b", "c"] > 0.8
-    assert features.filter_corr(df, "t", 5).columns == ["a"]
+    assert features.filter_corr(df, "t").columns == ["a"]
+    with pytest.raises(ValueError):
+        features.filter_corr(df, "t", 5)
 
 
 def test_csi_edge_cases(spark):
@@ -333,3 +335,22 @@ def test_split_is_stable(spark):
     a = {r["id"]: r["split"] for r in model.split(df, ["id"]).collect()}
     b = {r["id"]: r["split"] for r in model.split(df.repartition(13), ["id"]).collect()}
     assert a == b and 0.15 < sum(v == "test" for v in a.values()) / 2000 < 0.25
+
+
+def test_cross_products_of_many_columns_are_two_passes(spark):
+    k = 200
+    cols = [F.when(F.col("id") % (i + 5) != 0, F.sin(F.col("id") * (i + 1))).alias(f"c{i}") for i in range(k - 1)]
+    df = spark.range(400, numPartitions=3).select(*cols, F.lit(0.1).alias(f"c{k - 1}"))
+    sc = spark.sparkContext
+    sc.setJobGroup("cross", "correlations")
+    got = features.corr_matrix(df, df.columns)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("cross"))
+    sc.setJobGroup("other", "")
+    assert jobs <= 3  # means (a pass, and its one-row result) and cross products
+    pdf = df.toPandas()
+    want = pdf.corr().abs()
+    for r in got.sample(0.02, 1).collect():
+        if r["b"] == f"c{k - 1}":
+            assert r["r"] is None
+        else:
+            assert r["r"] == pytest.approx(want.loc[r["a"], r["b"]], abs=1e-9)

@@ -152,3 +152,10 @@ def encoding_dictionary_bits(spark, folder):
 @query("label_encode_shuffled", ORACLES["label_encode_names"])
 def label_encode_shuffled(spark, folder):
     return with_limits(spark, {"broadcastRows": 100}, lambda: label_encode_names(spark, folder))
+
+
+@query("encode_skip_drop", source("sales", ["o_orderkey", "status", "total"]))
+def encode_skip_drop(spark, folder):
+    """One column left as it is, one dropped."""
+    df = load(spark, folder, "sales", ["o_orderkey", "status", "priority", "total"])
+    return encode.apply(df, {"status": "skip", "priority": "drop"})

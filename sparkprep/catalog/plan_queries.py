@@ -131,7 +131,11 @@ def _profile(spark, folder):
 
 def _rule_query(phase: str):
     def run(spark, folder):
-        return recommend.RULES[phase](_profile(spark, folder)).drop("reason")
+        if phase == "outliers":  # its rules read numbers only, and no distinct counts
+            table = profile.full(load(spark, folder, "traits", _NUMS), unique_counts=False)
+        else:
+            table = _profile(spark, folder)
+        return recommend.RULES[phase](table).drop("reason")
 
     return run
 

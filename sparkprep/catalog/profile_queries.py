@@ -225,7 +225,8 @@ def boolean_profile(spark, folder):
         ["p_name", "p_brand", "p_type"],
         f"""SELECT '{{c}}' AS "column", k AS cardinality, v AS most_frequent_value, n AS most_frequent_count,
         {r("100.0 * n / total", "most_frequent_pct")}, k <= 5 AS low_cardinality, k BETWEEN 6 AND 20 AS medium_cardinality,
-        k > 20 AS high_cardinality, k > 50 AS very_high_cardinality FROM
+        k > 20 AS high_cardinality, k > 50 AS very_high_cardinality, (SELECT list(u || ':' || m ORDER BY m DESC, u) FROM
+        (SELECT {{c}} AS u, count(*) AS m FROM t WHERE {{c}} IS NOT NULL GROUP BY 1 ORDER BY m DESC, u LIMIT 5)) AS top_5 FROM
         (SELECT count(DISTINCT {{c}}) AS k, count(*) AS total FROM t),
         (SELECT {{c}} AS v, count(*) AS n FROM t WHERE {{c}} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 1)""",
         "",

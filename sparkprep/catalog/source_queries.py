@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+
 from ..plans.ledger import Ledger
 from ..session import checkpoint_dir
 from ..sources import files, stages
@@ -18,30 +20,58 @@ def scratch(spark, name: str) -> str:
 
 
 def _round_trip(spark, folder, fmt, **options):
+    """Written, and read back with its types inferred."""
     path = scratch(spark, fmt)
-    df = load(spark, folder, "items", _ITEMS)
-    files.write(df, path, fmt)
-    return files.read(spark, path, fmt, schema=df.schema, **options)
+    files.write(load(spark, folder, "items", _ITEMS), path, fmt)
+    return files.read(spark, path, fmt, **options).select(*_ITEMS)
 
 
 @query("read_csv", source("items", _ITEMS))
 def read_csv(spark, folder):
-    return _round_trip(spark, folder, "csv", multiline=False)
+    return _round_trip(spark, folder, "csv")
 
 
 @query("read_tsv", source("items", _ITEMS))
 def read_tsv(spark, folder):
-    return _round_trip(spark, folder, "tsv", multiline=False)
+    return _round_trip(spark, folder, "tsv")
 
 
 @query("read_json", source("items", _ITEMS))
 def read_json(spark, folder):
-    return _round_trip(spark, folder, "json", multiline=False)
+    return _round_trip(spark, folder, "json")
+
+
+_DOCS = "SELECT doc_id, lang, text FROM documents WHERE lang IN ('de', 'fr')"
+
 
+@query("read_csv_latin1", _DOCS)
+def read_csv_latin1(spark, folder):
+    """Texts with line breaks and quotes, stored in another encoding, which is found by looking."""
+    path = scratch(spark, "latin1")
+    df = table(spark, folder, "documents").select("doc_id", "lang", "text").filter("lang IN ('de', 'fr')")
+    df.write.option("header", True).option("escape", '"').option("encoding", "iso-8859-1").csv(path)
+    return files.read(spark, path, "csv", schema=df.schema, encoding="auto", multiline=True)
 
-@query("sniff_formats")
+
+_KINDS = ("csv", "json", "tsv")
+
+
+@query("sniff_formats", "SELECT fmt, fmt AS found, true AS some FROM (VALUES ('csv'), ('json'), ('tsv')) k(fmt)")
 def sniff_formats(spark, folder):
-    return files.sniff(spark, folder)
+    """A given table written in three formats, its files without endings, told apart by what they hold."""
+    root, out = scratch(spark, "sniff"), None
+    df = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    for k in _KINDS:
+        if k == "json":
+            lines = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+        else:
+            lines = df.select(F.concat_ws("," if k == "csv" else "\t", *[F.col(c).cast("string") for c in df.columns]).alias("value"))
+        # the sink of no ending: plain text in a folder whose files are listed by their content only
+        lines.write.option("compression", "none").text(f"{root}/{k}")
+        found = files.sniff(spark, f"{root}/{k}", "part-*", by_ending=False).groupBy("fmt").agg(F.count(F.lit(1)).alias("n"))
+        one = found.select(F.lit(k).alias("fmt"), F.col("fmt").alias("found"), (F.col("n") > 0).alias("some"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("write_csv", "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")

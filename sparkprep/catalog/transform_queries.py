@@ -142,3 +142,8 @@ def tx_auto(spark, folder):
     df = load(spark, folder, "clicks", [*_COLS, "event_type"])
     chosen = {"value": "Robust-Scale", "user_id": "square", "event_type": "log", "event_id": "no_such_transform"}
     return rounded(transform.apply(df, chosen), only=["value", "user_id"])
+
+
+@query("tx_none", _sql())
+def tx_none(spark, folder):
+    return transform.apply(load(spark, folder, "clicks", _COLS), {"value": "none", "user_id": "none"})

@@ -283,3 +283,9 @@ def impute_all_zero(spark, folder):
 @query("forward_fill_ranges", ORACLES["forward_fill"])
 def forward_fill_ranges(spark, folder):
     return with_limits(spark, {"rowsPerRange": 2_000}, lambda: forward_fill(spark, folder))
+
+
+@query("outliers_keep", source("clicks", _VALUE))
+def outliers_keep(spark, folder):
+    df = load(spark, folder, "clicks", _VALUE)
+    return Plan(fit_phase(df, "outliers", {"value": "keep"})).transform(df)

@@ -322,17 +322,25 @@ def top_values(df: DataFrame, cols: list[str] | None = None, k: int = 3) -> Data
 
 
 def categoricals(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """(column, cardinality, most_frequent_value, most_frequent_count, most_frequent_pct, low .. very_high)."""
+    """(column, cardinality, most_frequent_value, most_frequent_count, most_frequent_pct, low .. very_high, top_5).
+
+    top_5 lists the five most frequent values with their counts, "value:count", ties to the smaller value.
+    """
     cols = categorical(df) if cols is None else cols
     counted = counts.value_counts(df, cols)
+    first = counts.top(counted, 5).groupBy(F.col("column").alias("of")).agg(
+        F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(":", "value", F.col("n").cast("string")).alias("one")))).alias("top")
+    )  # five rows a column
     best = F.min(F.when(F.col("value").isNotNull(), F.struct((-F.col("n")).alias("n"), F.col("value"))))
     out = counted.groupBy("column").agg(
         F.count("value").alias("cardinality"), best.alias("best"), F.sum("n").alias("total")
     )
     card = F.col("cardinality")
+    out = out.join(first, F.col("column") == F.col("of"), "left")
     return out.select(
         "column",
         "cardinality",
+        F.transform("top", lambda t: t["one"]).alias("top_5"),
         F.col("best.value").alias("most_frequent_value"),
         (-F.col("best.n")).alias("most_frequent_count"),
         pct(-F.col("best.n"), F.col("total")).alias("most_frequent_pct"),

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from ..functions import agg
 from ..functions.columns import categorical, numeric, ref
-from ..operators import features, profile, recommend
+from ..operators import features, model as models, profile, recommend
 from ..session import durable
 from .ledger import Ledger
 from .plan import Plan, all_sentinels, apply_phase, fit_phase
@@ -20,14 +21,14 @@ class Prep:
     """Rules, fallback and overrides for every phase.
 
     ``overrides`` is {phase: {column: strategy}}. ``write_between`` stores the table after each phase in the
-    shared folder: worth it when the input is expensive to recompute, since every fit reads the table again.
+    shared folder (the default), since every fit of the next phase reads it again.
     """
 
     target: str
     overrides: dict[str, dict[str, str]] = field(default_factory=dict)
     phases: tuple[str, ...] = PHASES
     approx: bool = False
-    write_between: bool = False
+    write_between: bool = True
 
     def strategies(self, df: DataFrame, phase: str) -> dict[str, str]:
         """{column: strategy} of one phase on the current table; the target is never treated."""
@@ -76,6 +77,7 @@ class Prepared:
     plan: Plan
     table: DataFrame
     ledger: Ledger
+    model: PipelineModel | None = None
 
 
 def fast(
@@ -84,9 +86,14 @@ def fast(
     min_iv: float = 0.02,
     max_vif: float = 5.0,
     approx: bool = False,
-    write_between: bool = False,
+    write_between: bool = True,
+    learner: str | None = "dt",
 ) -> Prepared:
-    """Sentinels, outliers, missing values, encoding, then selection by information value and inflation."""
+    """Sentinels, outliers, missing values, encoding, selection by information value and inflation, and a model.
+
+    ``learner`` names the model trained on what is left, a tree of depth 5 unless another is asked for; None trains none,
+    and neither does a table without features.
+    """
     phases = tuple(p for p in PHASES if p != "transformations")
     prep = Prep(target, phases=phases, approx=approx, write_between=write_between)
     plan, table = prep.fit_transform(df)
@@ -100,4 +107,8 @@ def fast(
     if len(table.columns) > 2:
         table = features.filter_vif(table, target, max_vif)
         ledger.add("vif", {"threshold": max_vif}, table.columns)
-    return Prepared(plan, table, ledger)
+    model = None
+    if learner and len(table.columns) > 1:
+        task = "classification" if features.is_classification(table, target) else "regression"
+        model = models.train(table, target, learner, task)
+    return Prepared(plan, table, ledger, model)

@@ -103,8 +103,11 @@ def _heads(size: int):
     return run
 
 
-def sniff(spark: SparkSession, path: str, pattern: str = "*", head_bytes: int = SNIFF_BYTES) -> DataFrame:
-    """(path, fmt, n_bytes) of every file under ``path``: by its ending, else by its first ``head_bytes`` bytes."""
+def sniff(spark: SparkSession, path: str, pattern: str = "*", head_bytes: int = SNIFF_BYTES, by_ending: bool = True) -> DataFrame:
+    """(path, fmt, n_bytes) of every file under ``path``: by its ending, else by its first ``head_bytes`` bytes.
+
+    Without ``by_ending`` every file is judged by what it holds.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
@@ -114,6 +117,6 @@ def sniff(spark: SparkSession, path: str, pattern: str = "*", head_bytes: int =
     )
     ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
     known = F.element_at(F.create_map(*[F.lit(x) for kv in ENDINGS.items() for x in kv]), ending)
-    read = files.withColumn("known", known).mapInPandas(_heads(head_bytes), "path string, length bigint, known string, head binary")
+    read = files.withColumn("known", known if by_ending else F.lit(None).cast("string")).mapInPandas(_heads(head_bytes), "path string, length bigint, known string, head binary")
     head = F.decode(F.col("head"), "ISO-8859-1")
     return read.select("path", F.coalesce("known", _by_content(head)).alias("fmt"), F.col("length").alias("n_bytes"))

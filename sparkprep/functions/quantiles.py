@@ -42,8 +42,9 @@ def fit(
     if mode == "approx":
         got = agg.fit(slim, {c: F.percentile_approx(ref(c), at, ACCURACY) for c in cols})
     elif mode == "exact":
-        if df.count() > exact_rows:
-            return _narrow(slim, cols, probs)
+        sizes = agg.fit(slim, {None: F.count(F.lit(1)), **{c: F.count(ref(c)) for c in cols}})
+        if sizes[None] > exact_rows:
+            return _narrow(slim, cols, probs, sizes)
         got = agg.fit(slim, {c: F.percentile(ref(c), at) for c in cols})
     else:
         raise ValueError(f"unknown mode {mode!r}")
@@ -72,8 +73,7 @@ class _Rank:
         return out
 
 
-def _narrow(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
-    sizes = agg.fit(df, {c: F.count(ref(c)) for c in cols})
+def _narrow(df: DataFrame, cols: list[str], probs: list[float], sizes: dict) -> dict[str, list[float | None]]:
     targets: dict[tuple[str, int], _Rank] = {}
     for c in cols:
         for p in probs:

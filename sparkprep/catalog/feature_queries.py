@@ -297,11 +297,6 @@ def csi_filter(spark, folder):
 # ---- model-based scores -----------------------------------------------------------------------------
 
 
-@query("tree_importance")
-def tree_importance(spark, folder):
-    return features.importance(load(spark, folder, "items", _WITH_TARGET), "target")
-
-
 def _r_scores(spark, folder):
     return features.rank_by_target(_labelled(spark, folder), "target", 10).withColumnRenamed("r", "score")
 
@@ -340,14 +335,53 @@ def lasso_select(spark, folder):
     return rounded(features.lasso(df, "price", ["quantity"], strengths=[0.1]), 0)
 
 
-@query("pca")
+@query(
+    "pca",
+    f"""{cte("items", ["quantity", "price"])}, m AS (SELECT avg(quantity) AS a, avg(price) AS b FROM t),
+    c AS (SELECT abs(corr(coalesce(quantity, a), coalesce(price, b))) AS r FROM t, m)
+    SELECT component, feature, {r("sqrt(0.5)", "loading")}, {r("CASE component WHEN 1 THEN (1 + r) / 2 ELSE (1 - r) / 2 END", "explained")},
+    {r("CASE component WHEN 1 THEN (1 + r) / 2 ELSE 1 END", "cumulative")}
+    FROM c, (VALUES (1), (2)) k(component), (VALUES ('quantity'), ('price')) f(feature)""",
+)
 def pca(spark, folder):
-    return features.pca(load(spark, folder, "items", _FEATURES), _FEATURES)
+    """Two standardized columns: the components are their sum and difference; signs are left out."""
+    got = features.pca(load(spark, folder, "items", ["quantity", "price"]), ["quantity", "price"], k=2)
+    return rounded(got.withColumn("loading", F.abs("loading")))
 
 
-@query("rfe")
+_CLASSES = """SELECT CASE WHEN value > 20 THEN 1.0 ELSE 0.0 END AS big, CAST(user_id % 2 AS DOUBLE) AS side,
+    CAST(event_id % 3 AS DOUBLE) AS third, CASE WHEN value > 20 THEN 1 ELSE 0 END AS target FROM events"""
+_RANKED = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, abs(corr({c}, target)) AS r FROM ({_CLASSES})" for c in ("big", "side", "third")
+)
+
+
+def _classes(spark, folder):
+    return table(spark, folder, "events").selectExpr(
+        "CASE WHEN value > 20 THEN 1.0D ELSE 0.0D END AS big", "CAST(user_id % 2 AS DOUBLE) AS side",
+        "CAST(event_id % 3 AS DOUBLE) AS third", "CASE WHEN value > 20 THEN 1 ELSE 0 END AS target",
+    )
+
+
+@query("rfe", f"SELECT feature, row_number() OVER (ORDER BY r DESC, feature) = 1 AS kept FROM ({_RANKED})")
 def rfe(spark, folder):
-    return features.rfe(load(spark, folder, "items", _WITH_TARGET), "target", n=2)
+    """One feature separates the classes; the two others go first."""
+    return features.rfe(_classes(spark, folder), "target", n=1).select("feature", "kept")
+
+
+@query(
+    "tree_importance",
+    f"SELECT count(*) AS features, {r('sum(CASE WHEN r > 0.5 THEN 1 ELSE 0 END) * 1.0', 'total')}, arg_max(feature, r) AS first, true AS same FROM ({_RANKED})",
+)
+def tree_importance(spark, folder):
+    """Importances add up to one, the separating feature leads, and the same seed gives the same forest."""
+    df = _classes(spark, folder)
+    one, two = features.importance(df, "target"), features.importance(df, "target").withColumnRenamed("score", "again")
+    both = one.join(two, "feature")
+    got = both.agg(
+        F.count(F.lit(1)).alias("features"), F.sum("score").alias("total"), F.max_by("feature", "score").alias("first"), F.bool_and(F.col("score") == F.col("again")).alias("same")
+    )
+    return rounded(got)
 
 
 # ---- questions and ledger ---------------------------------------------------------------------------

@@ -85,8 +85,11 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tup
         yield key, pa.Table.from_batches(parts)
 
 
-def _forest_edges(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that connect what the links (lines: left, columns: right) connect, at most one per node."""
+def _stars(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """(node, smallest node) for what the links (lines: left, columns: right) connect, one pair per node.
+
+    Ties to the smallest node, so that the same group found in many buckets gives the same few edges.
+    """
     parent = {int(x): int(x) for x in [*left, *right]}
 
     def top(x: int) -> int:
@@ -95,13 +98,11 @@ def _forest_edges(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> li
             x = parent[x]
         return x
 
-    out = []
     for i, j in zip(*np.nonzero(linked)):
         a, b = top(int(left[i])), top(int(right[j]))
         if a != b:
             parent[max(a, b)] = min(a, b)
-            out.append((int(left[i]), int(right[j])))
-    return out
+    return [(x, top(x)) for x in parent if top(x) != x]
 
 
 def _tiles(rows: DataFrame, group: list[str], node: str, size: int) -> DataFrame:
@@ -126,7 +127,7 @@ def _tile_sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(side == 0), np.flatnonzero(side == 1)
 
 
-def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 1 << 22) -> np.ndarray:
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 1 << 21) -> np.ndarray:
     """Sizes of the intersections of the sets on the left with those on the right, as products of 0/1 matrices."""
     used = np.unique(np.r_[left, right])
     value, spot = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True)
@@ -215,7 +216,7 @@ def marked(
 
     def tied(batches):
         def pairs(t: pa.Table) -> pa.RecordBatch | None:
-            """Ties in whole runs: of short runs all pairs at once, of long ones a spanning forest."""
+            """Ties in whole runs: of short runs all pairs at once, of long ones ties to the smallest."""
             node = t.column("node").to_numpy()
             tags = np.frombuffer(b"".join(t.column("tags").to_pylist()), np.uint8).reshape(-1, TAGS)
             where = [t.column(c).to_numpy() for c in ("bucket", "tile_a", "tile_b")]
@@ -233,11 +234,11 @@ def marked(
                     continue
                 own, label = tags[at : at + many], node[at : at + many]
                 left, right = _tile_sides(t.slice(at, many))
+                alike = np.zeros((len(left), len(right)), bool)
                 for k in range(0, len(left), 64):
-                    i = left[k : k + 64]
-                    alike = (own[i][:, None, :] == own[right][None, :, :]).mean(2) >= lowest
-                    found = _forest_edges(alike, label[i], label[right])
-                    a.append(np.array([x for x, _ in found], np.int64)), b.append(np.array([y for _, y in found], np.int64))
+                    alike[k : k + 64] = (own[left[k : k + 64]][:, None, :] == own[right][None, :, :]).mean(2) >= lowest
+                found = _stars(alike, label[left], label[right])
+                a.append(np.array([x for x, _ in found], np.int64)), b.append(np.array([y for _, y in found], np.int64))
             a, b = np.concatenate(a), np.concatenate(b)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -257,7 +258,7 @@ def marked(
             yield pairs(held)
 
     tiles = _tiles(tagged, ["bucket"], "node", block)
-    tiles = tiles.repartition("bucket", "tile_a", "tile_b").sortWithinPartitions("bucket", "tile_a", "tile_b")
+    tiles = tiles.repartition("bucket", "tile_a", "tile_b").sortWithinPartitions("bucket", "tile_a", "tile_b", "node")
     ties = components(tiles.mapInArrow(tied, "a long, b long"))
 
     # the shingles of tied classes, once more from the text of their first row
@@ -301,7 +302,7 @@ def marked(
             links[left] += linked @ rows[right]
             if t.column("tile_a")[0].as_py() != t.column("tile_b")[0].as_py():
                 links[right] += linked.T @ rows[left]
-            edges = _forest_edges(linked, node[left], node[right])
+            edges = _stars(linked, node[left], node[right])
             hit = np.flatnonzero(links)
             a = [*(e[0] for e in edges), *node[hit].tolist()]
             b = [*(e[1] for e in edges), *node[hit].tolist()]

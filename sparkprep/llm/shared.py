@@ -55,7 +55,7 @@ def free(df: DataFrame, name: str) -> str:
 class HashCache(dict):
     """Word to 64-bit hash; forgets everything at a fixed number of entries, so its memory is bounded."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 

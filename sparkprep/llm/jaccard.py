@@ -265,7 +265,8 @@ def marked(
     ties = stored(ties, "ties")
     ties = ties.join(ties.groupBy("label").agg(F.count(F.lit(1)).alias("many")), "label")
     chosen = stored(ties.join(classes.select("node", "first_id", "first_hash", "rows"), "node"), "chosen")
-    texts = hashed.join(chosen, hashed["id"].eqNullSafe(chosen["first_id"]) & (hashed["text_hash"] == chosen["first_hash"]))
+    # always by a shuffle: the chosen rows grow with the documents
+    texts = hashed.join(chosen.hint("merge"), hashed["id"].eqNullSafe(chosen["first_id"]) & (hashed["text_hash"] == chosen["first_hash"]))
 
     def sets():
         cache, seen = HashCache(), set()

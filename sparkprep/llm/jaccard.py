@@ -348,7 +348,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         return hashed[id_col].eqNullSafe(t[uid]) & (hashed[key] == t[mark])
 
     spare = both.where("not first").select(F.col("id").alias(uid), F.col("text_hash").alias(mark))
-    left = hashed.join(spare, same(spare), "left_anti")
+    left = hashed.join(spare.hint("merge"), same(spare), "left_anti")  # by a shuffle: the spare rows grow with the documents
     repeated = both.where("first").select(F.col("id").alias(uid), F.col("text_hash").alias(mark))
     if not repeated.isEmpty():
         one = hashed.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, key])

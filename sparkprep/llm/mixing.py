@@ -148,7 +148,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken = copies(units, ["id", "row"], **settings).groupBy("id", "row").agg(F.sum("copies").cast("int").alias("copies"), F.max("rows").alias("rows"))
     same = free(docs, "mix_same")
     taken = stored(taken, "copies").where("copies > 0").toDF(uid, same, times, rows)
-    both = kept.join(taken, kept[id_col].eqNullSafe(taken[uid]) & (kept[row] == taken[same]))
+    # by a shuffle at every size: there is a row for nearly every document
+    both = kept.join(taken.hint("merge"), kept[id_col].eqNullSafe(taken[uid]) & (kept[row] == taken[same]))
     out = [f"`{c}`" for c in docs.columns]
     once = both.where(F.col(rows) == 1).select(*out, times)
     many = both.where(F.col(rows) > 1).dropDuplicates([uid, row]).select(*out, times)

@@ -90,3 +90,30 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
+
+
+def _base32(hexed: str) -> str:
+    """Base32 of 40 hexadecimal digits: five digits are four signs."""
+    value = f"('0x' || substr({hexed}, 5 * g + 1, 5))::BIGINT"
+    signs = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(({value} >> {s}) & 31 AS INTEGER) + 1, 1)" for s in (15, 10, 5, 0))
+    return f"array_to_string(list_transform(range(0, 8), lambda g: {signs}), '')"
+
+
+ORACLES["op5_warc"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, {_base32("sha1(payload)")} AS payload_digest,
+CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to, true AS intact FROM f
+"""
+
+ORACLES["op6_jaccard"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(t[i:i + 4], ' ') AS g FROM
+      (SELECT doc_id, t, unnest(range(1, CAST(greatest(len(t) - 4, 1) AS BIGINT) + 1)) AS i FROM w WHERE len(t) > 0)),
+n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y, c = nx.k AND c = ny.k AS same FROM p JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE c >= 0.8 * (nx.k + ny.k - c) - 1e-9),
+r(x, y) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT doc_id, (SELECT min(y) FROM r WHERE x = doc_id) AS class_id, least(doc_id, coalesce((SELECT min(y) FROM l WHERE x = doc_id AND same), doc_id)) AS text_class_id,
+(SELECT count(*) FROM l WHERE x = doc_id) AS n_links FROM w
+"""

@@ -189,9 +189,9 @@ def _vectors():
     return np.array([g[0] for g in got]), np.array([g[1] for g in got], float)
 
 
-def test_exact_search(spark):
-    con = connect(SF)
-    assert compare(spark, con, SF, queries.op10_exact_search, queries.ORACLES["op10_exact_search"]) is None
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_against_sql(spark, name):
+    assert compare(spark, connect(SF), SF, queries.QUERIES[name], queries.ORACLES[name]) is None
 
 
 def test_exact_search_odd_rows(spark):

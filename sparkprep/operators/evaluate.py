@@ -47,25 +47,33 @@ def per_class(df: DataFrame, y: str, pred: str, by: list[str] | None = None) ->
 
 
 def classification(
-    df: DataFrame, y: str, pred: str, average: str = "auto", positive: object = 1, by: list[str] | None = None
+    df: DataFrame, y: str, pred: str, average: str = "auto", positive: object = None, by: list[str] | None = None
 ) -> DataFrame:
     """(by..., accuracy, precision, recall, f1, specificity, averaging).
 
-    ``auto`` is binary for two classes and macro otherwise. Undefined ratios are 0; specificity is the recall
+    The positive class is the larger label unless one is named. ``auto`` is binary for two classes and macro otherwise. Undefined ratios are 0; specificity is the recall
     of the negative class and 0 unless there are two classes.
     """
     by = by or []
     table = per_class(df, y, pred, by)
     n, support = F.sum("support"), F.col("support")
-    is_pos = F.col("class") == F.lit(positive).cast(table.schema["class"].dataType)
+
+    def of_positive(c: Column) -> Column:
+        if positive is None:
+            return F.max_by(c, F.col("class"))
+        return F.max(F.when(F.col("class") == F.lit(positive).cast(table.schema["class"].dataType), c))
+
+    def of_others(c: str) -> Column:
+        return F.sum(c) - F.coalesce(of_positive(F.col(c)), F.lit(0))
+
     aggs = [
         F.count(F.lit(1)).alias("_classes"),
         count_if(support > 0).alias("_actual"),
         _div(F.sum("tp"), n).alias("accuracy"),
-        _div(F.sum(F.when(~is_pos, F.col("tp"))), F.sum(F.when(~is_pos, support))).alias("_spec"),
+        _div(of_others("tp"), of_others("support")).alias("_spec"),
     ]
     for m in ("precision", "recall", "f1"):
-        aggs.append(F.coalesce(F.max(F.when(is_pos, F.col(m))), F.lit(0.0)).alias(f"_binary_{m}"))
+        aggs.append(F.coalesce(of_positive(F.col(m)), F.lit(0.0)).alias(f"_binary_{m}"))
         aggs.append(F.avg(m).alias(f"_macro_{m}"))
         aggs.append(_div(F.sum(F.col(m) * support), n).alias(f"_weighted_{m}"))
     one = table.groupBy(*[ref(b) for b in by]).agg(*aggs) if by else table.agg(*aggs)

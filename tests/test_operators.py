@@ -354,3 +354,13 @@ def test_cross_products_of_many_columns_are_two_passes(spark):
             assert r["r"] is None
         else:
             assert r["r"] == pytest.approx(want.loc[r["a"], r["b"]], abs=1e-9)
+
+
+def test_positive_class_of_text_labels(spark):
+    rows = [("no", "no")] * 5 + [("yes", "yes")] * 3 + [("yes", "no")] * 1 + [("no", "yes")] * 1
+    df = spark.createDataFrame(rows, "y string, p string")
+    got = evaluate.classification(df, "y", "p").first()
+    assert (got["precision"], got["recall"], got["averaging"]) == (0.75, 0.75, "binary")
+    assert got["specificity"] == pytest.approx(5 / 6)
+    other = evaluate.classification(df, "y", "p", positive="no").first()
+    assert other["recall"] == pytest.approx(5 / 6) and other["specificity"] == 0.75

@@ -122,22 +122,26 @@ def search(
     sample: int = 100,
     recall: float = 0.95,
     chunk_rows: int = 4096,
+    first_rows: int = 1024,
     seed: int = 8,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found for every query; every row is in the index.
 
     queries picks the query rows from the valid rows (vec_id, v). A bucket with more than chunk_rows vectors is split by a
     hash into chunks, and its queries go to each chunk, so that a crowded bucket is many tasks and nothing is left out. A
-    query's own id is no candidate; repeated ids as in the exact search. Empty tables give an empty result.
+    query's own id is no candidate; repeated ids as in the exact search. About first_rows rows (a bounded sample) are compared
+    with every query at the start: their k-th best score is what others must reach to leave their task. Empty tables give an empty result.
     """
     rows = stored(valid(vectors, id_col, vector_col, zero=False), "vectors")
-    asked = stored(queries(rows).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
-    turn, probes = fit(rows, asked, k, tables, sample, recall, seed)
+    asked = queries(rows).groupBy("vec_id").agg(F.min("v").alias("v"))
+    first, floors = _first_lists(rows, asked, k, first_rows, seed)
+    asked = stored(asked.mapInArrow(floors, "vec_id long, v array<double>, floor double"), "queries")
+    turn, probes = fit(rows, asked.select("vec_id", "v"), k, tables, sample, recall, seed)
 
     def placed(batches):
         for b in batches:
             code = turn.buckets(matrix(b)) + np.arange(tables) * 2 * turn.size
-            yield _spread(b, code)
+            yield _spread(b.append_column("floor", pa.array(np.zeros(len(b)))), code)
 
     def probing(batches):
         for b in batches:
@@ -146,14 +150,14 @@ def search(
                 code = turn.order(matrix(part))[:, :, :probes] + np.arange(tables)[None, :, None] * 2 * turn.size
                 yield _spread(part, code.reshape(len(part), -1))
 
-    schema = "vec_id long, v array<double>, bucket int"
+    schema = "vec_id long, v array<double>, floor double, bucket int"
     index = rows.mapInArrow(placed, schema)
     sizes = stored(index.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("chunks")), "sizes")
     index = index.join(F.broadcast(sizes), "bucket")  # at most tables x 2 x dimensions rows
     index = index.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int")).withColumn("role", F.lit(0))
     ask = asked.mapInArrow(probing, schema).join(F.broadcast(sizes), "bucket")
     ask = ask.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("role", F.lit(1))
-    cols = ["bucket", "chunk", "role", "vec_id", "v"]
+    cols = ["bucket", "chunk", "role", "vec_id", "v", "floor"]
     both = index.select(cols).unionByName(ask.select(cols)).repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "role")
     names = pa.schema([("query_id", pa.int64()), ("tile", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -170,7 +174,7 @@ def search(
             )
 
         for b in batches:
-            bucket, chunk, role, own = (b.column(c).to_numpy() for c in ("bucket", "chunk", "role", "vec_id"))
+            bucket, chunk, role, own, floor = (b.column(c).to_numpy() for c in ("bucket", "chunk", "role", "vec_id", "floor"))
             x = matrix(b)
             edges = np.flatnonzero(np.r_[True, (np.diff(bucket) != 0) | (np.diff(chunk) != 0) | (np.diff(role) != 0)]) if len(b) else []
             for start, end in zip(edges, [*edges[1:], len(b)]):
@@ -189,17 +193,52 @@ def search(
                     q, qid = x[part : min(end, part + 512)], own[part : min(end, part + 512)]
                     for i, rough in enumerate(q @ v[0].T):
                         at, s = nearest(q[i], v[0], ids[0], qid[i], k, rough)
-                        found = zip((-s).tolist(), ids[0][at].tolist())
+                        good = s >= floor[part + i]
+                        found = zip((-s[good]).tolist(), ids[0][at[good]].tolist())
                         top[int(qid[i])] = sorted({*top.get(int(qid[i]), ()), *found})[:k]
                 if len(top) > 50_000:
                     yield flush()
         yield flush()
 
-    parts = both.mapInArrow(run, "query_id long, tile long, vec_id long, score double")
+    schema = "query_id long, tile long, vec_id long, score double"
+    parts = both.mapInArrow(run, schema).unionByName(asked.select("vec_id", "v").mapInArrow(first, schema))
     return merged(parts, k, 1)
 
 
+def _first_lists(rows: DataFrame, asked: DataFrame, k: int, first_rows: int, seed: int):
+    """Two functions over batches of queries: the k best of about first_rows rows, and the score of the last of them.
+
+    What scores less than that last one cannot be among the k nearest found, so it need not leave its task.
+    """
+    n = rows.count()
+    some = rows.where(unit_hash(F.col("vec_id"), seed + 1) < min(1.0, first_rows / max(1, n))).limit(4 * first_rows).collect()
+    ids, v = np.array([r["vec_id"] for r in some], np.int64), np.array([r["v"] for r in some], float)
+
+    def lists(b: pa.RecordBatch):
+        q = matrix(b)
+        for one, x in zip(b.column("vec_id").to_pylist(), q):
+            at, s = nearest(x, v, ids, one, k, v @ x) if len(ids) else (np.empty(0, int), np.empty(0))
+            yield one, ids[at], s
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(one, i, x) for one, own, s in lists(b) for i, x in zip(own.tolist(), s.tolist())]
+            query, own, s = zip(*found) if found else ([], [], [])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(query, pa.int64()), pa.array([0] * len(query), pa.int64()), pa.array(own, pa.int64()), pa.array(s, pa.float64())],
+                names=["query_id", "tile", "vec_id", "score"],
+            )
+
+    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            low = [float(s[-1]) if len(s) == k else -np.inf for _, _, s in lists(b)]
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(low, pa.float64())], names=["vec_id", "v", "floor"])
+
+    return first, floors
+
+
 def _spread(b: pa.RecordBatch, code: np.ndarray) -> pa.RecordBatch:
     """Each row once for each of its buckets."""
     at = pa.array(np.repeat(np.arange(len(b)), code.shape[1] if len(b) else 0))
-    return pa.RecordBatch.from_arrays([b.column("vec_id").take(at), b.column("v").take(at), pa.array(code.ravel().astype(np.int32))], names=["vec_id", "v", "bucket"])
+    kept = [b.column(c).take(at) for c in ("vec_id", "v", "floor")]
+    return pa.RecordBatch.from_arrays([*kept, pa.array(code.ravel().astype(np.int32))], names=["vec_id", "v", "floor", "bucket"])

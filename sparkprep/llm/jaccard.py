@@ -162,10 +162,11 @@ def marked(
     block: int = 512,
     seed: int = 6,
 ) -> DataFrame:
-    """(id, text_hash, class_id, group_id, links) for every row; text_hash is Spark's xxhash64 of the text, 0 for null.
+    """(id, text_hash, label, class_id, group_id, links, some) for every row; text_hash is Spark's xxhash64 of the text, 0 for null.
 
     class_id is the smallest id of the rows with the same shingles, group_id the smallest id of all rows that are connected
     by links (a similarity of at least the threshold), links the number of other rows that are linked with the row itself.
+    label names that group whatever its ids are, group_id only as far as no id is repeated or null.
     Words are runs of letters, digits and underscores, lower-cased; a text with fewer than `words` words is one shingle.
     Rows without any word (null, empty, signs only) link with nothing: their class and group are their own id. Rows that
     share an id are rows of their own. Null ids come after all others.
@@ -317,11 +318,11 @@ def marked(
     named = stored(named.withColumn("label", F.coalesce("label", "node")), "named")
     heads = named.groupBy("label").agg(F.min("first_id").alias("group_id"))
     named = named.join(heads, "label").select(
-        "name_a", "name_b", F.col("first_id").alias("class_id"), "group_id", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("links")
+        "name_a", "name_b", "label", F.col("first_id").alias("class_id"), "group_id", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("links")
     )
     out = signs.select("id", "text_hash", "name_a", "name_b", some.alias("some")).join(named, ["name_a", "name_b"], "left")
     one = lambda c: F.when(F.col("some"), F.col(c)).otherwise(F.col("id")).alias(c)
-    return out.select("id", "text_hash", one("class_id"), one("group_id"), F.when(F.col("some"), F.col("links")).otherwise(F.lit(0)).alias("links"), "some")
+    return out.select("id", "text_hash", "label", one("class_id"), one("group_id"), F.when(F.col("some"), F.col("links")).otherwise(F.lit(0)).alias("links"), "some")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
@@ -334,11 +335,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     Rows without any word are in no group and stay. Of rows with equal id and text in a group one is left.
     """
-    rows = stored(marked(docs, id_col, text_col, **settings).where("some").select("id", "text_hash", "group_id"), "groups")
+    rows = stored(marked(docs, id_col, text_col, **settings).where("some").select("id", "text_hash", "label"), "groups")
     spot = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")
-    heads = rows.groupBy("group_id").agg(F.min(spot).alias("head"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    own = rows.groupBy("group_id", "id", "text_hash").agg(F.count(F.lit(1)).alias("rows")).alias("o")
-    both = own.join(heads.alias("h"), F.col("o.group_id").eqNullSafe(F.col("h.group_id")))
+    heads = rows.groupBy("label").agg(F.min(spot).alias("head"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    own = rows.groupBy("label", "id", "text_hash").agg(F.count(F.lit(1)).alias("rows")).alias("o")
+    both = own.join(heads.alias("h"), "label")
     first = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("text_hash") == F.col("head.text_hash"))
     both = stored(both.select("id", "text_hash", "rows", first.alias("first")).where("not first or rows > 1"), "spare")
     key, uid, mark = (free(docs, n) for n in ("near_hash", "near_id", "near_text"))

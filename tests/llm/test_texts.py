@@ -143,6 +143,15 @@ def test_jaccard_odd_rows(spark, odd):
     assert jaccard.join(odd.where("false")).count() == 0 and jaccard.keep_one(odd.where("false")).count() == 0
 
 
+def test_near_duplicates_under_repeated_and_null_ids(spark):
+    """Unrelated texts that share an id, or have none, are groups of their own; copies among them are still one."""
+    text = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(6)]
+    rows = [(1, text[0]), (1, text[1]), (None, text[2]), (None, text[3]), (None, text[4]), (None, text[4]), (7, text[5]), (None, text[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in jaccard.keep_one(docs).collect()), key=str)
+    assert got == sorted([*rows[:5], rows[6]], key=str)
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(int(a), int(b)) for a, b in rng.integers(2000, 2100, (60, 2))]

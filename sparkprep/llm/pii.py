@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .shared import free, stored
 
@@ -37,9 +37,15 @@ NEEDED = {
 }
 # a token: a run without white space that has a digit or an @
 TOKEN = r"(?:\G|(?<!\S))[^\s0-9@]*+[0-9@]\S*+"
+# a run of digits joined by single spaces, dashes, dots and brackets, the signs of the card and phone rules; a + or an opening
+# bracket starts a new run, a word that has letters ends it
+RUN = (
+    r"(?<![\p{L}\p{N}])\+?(?:[0-9]{1,3}+[\x20.-]?(?=\())?\(?[0-9]++(?![\p{L}\p{N}])"
+    r"(?:(?:\x20(?!\x20)|\.(?=[0-9])|[)-]){1,3}[0-9]++(?![\p{L}\p{N}]))++"
+)
 EDGE = r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$"
-# fewest and most digits, and the signs, of a token that may become one of a kind
-SHAPES = {"email": (0, 99, r"^[^@]+@[^@]+$"), "ip": (4, 12, r"^[0-9]+([.:][0-9]+)+$"), "card": (12, 19, r"^[0-9][0-9-]+$"), "phone": (7, 15, r"^\+?[0-9(][0-9().-]+$")}
+# fewest and most digits, and the signs, of a token or run that may become one of a kind
+SHAPES = {"email": (0, 99, r"^[^@]+@[^@]+$"), "ip": (4, 12, r"^[0-9]+([.:][0-9]+)+$"), "card": (12, 19, r"^[0-9][0-9\x20-]+$"), "phone": (7, 15, r"^\+?[0-9(][0-9().\x20-]+$")}
 CONTEXT = 40
 
 
@@ -138,11 +144,13 @@ def _around(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
 
 
 def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_hash, base, seen): base spans, and tokens and base matches with the words around them."""
+    """(id, text_hash, base, seen): base spans, and tokens, runs of digits and base matches with the words around them."""
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64(text))
     slim = slim.withColumn("base", base_spans(text))
-    tokens = F.when(text.rlike("[0-9@]"), matches(text, TOKEN)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,match:string>>"))
+    none = F.array().cast("array<struct<start:bigint,end:bigint,match:string>>")
+    tokens = F.when(text.rlike("[0-9@]"), matches(text, TOKEN)).otherwise(none)
+    runs = F.when(text.rlike("[0-9][\\x20.()-]{1,3}[0-9]"), matches(text, RUN)).otherwise(none)
     clear = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
 
     def trimmed(s: Column) -> Column:
@@ -150,8 +158,9 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         core = F.regexp_replace(s["match"], EDGE, "")
         return F.struct((s["start"] + lead).alias("start"), (s["start"] + lead + F.length(core)).alias("end"), F.lit(-1).alias("kind"), core.alias("match"))
 
-    tokens = F.transform(F.filter(tokens, clear), trimmed)
-    tokens = F.filter(tokens, lambda s: F.length(s["match"]).between(5, 64) & possible(s["match"]))
+    whole = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(-1).alias("kind"), s["match"].alias("match"))
+    tokens = F.concat(F.transform(F.filter(tokens, clear), trimmed), F.transform(F.filter(runs, clear), whole))
+    tokens = F.array_distinct(F.filter(tokens, lambda s: possible(s["match"])))
 
     def seen(s: Column) -> Column:
         left, right = _around(text, s["start"], s["end"])
@@ -221,6 +230,8 @@ def find(
     values = learn(seen, rounds, support, pattern_score, value_score)
     rows = scan.select("id", "text_hash", F.explode(F.filter("seen", lambda s: s["kind"] < 0)).alias("s"))
     rows = rows.select("id", "text_hash", "s.start", "s.end", "s.value").distinct().join(values, "value")
+    ahead = Window.partitionBy("id", "text_hash").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("reach", F.max("end").over(ahead)).where("reach is null or end > reach")  # a token within a found run is part of it
     span = F.struct("start", "end", "kind", F.col("value").alias("match"))
     extra = stored(rows.groupBy("id", "text_hash").agg(F.collect_list(span).alias("more")), "extra")
     named = extra.toDF("own_id", "own_hash", "more")

@@ -218,6 +218,27 @@ def test_contexts_find_unseen_identifiers(spark):
     assert clean[104] == "call me at [PHONE] today twice at [PHONE] today" and clean[0] == "please call me at [PHONE] today or write"
 
 
+def test_contexts_find_spaced_numbers_and_long_addresses(spark):
+    long = "x!" * 40 + "@localhost"
+    rows = [(i, f"please call me at +1 (375) 555-{1000 + i} today or write") for i in range(20)]
+    rows += [(20 + i, f"she paid by card 4111-1111-1111-{n} last week") for i, n in enumerate(("1111", "1129", "1137", "1145", "1152", "1160", "1178", "1186", "1194", "1202"))]
+    rows += [(40 + i, f"just mail to a{i}@b.co for help") for i in range(10)]
+    new = [
+        (100, "please call me at (375) 555-4393 today or write", "please call me at [PHONE] today or write"),
+        (101, "she paid by card 4111 1111 1111 1112 last week", "she paid by card [CARD] last week"),
+        (102, f"just mail to {long} for help", "just mail to [EMAIL] for help"),
+        (103, "please call me at 1 (375) 555 0102 today or write", "please call me at [PHONE] today or write"),
+        (104, "please call me at 5550199 4393 today or write", "please call me at [PHONE] today or write"),
+        (105, "the parts (375) 555-4399 and 10 20 30 40 50 are red", "the parts (375) 555-4399 and 10 20 30 40 50 are red"),
+        (106, "1 " * 3000 + "x", "1 " * 3000 + "x"),
+    ]
+    docs = spark.createDataFrame([*rows, *(r[:2] for r in new)], "doc_id long, text string").repartition(3)
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert [clean[i] for i, _, _ in new] == [want for _, _, want in new]
+    spans = {r["doc_id"]: r["spans"] for r in pii.report(docs).collect()}
+    assert spans[100] == "phone:18:32" and spans[101] == "card:17:36" and spans[104] == "phone:18:30" and spans[105] == ""
+
+
 def test_redaction(spark, odd):
     rows = [(1, "mail a@b.co, +1 (375) 555-4393 and 9.9.9.9!", 5), (2, "4111 1111 1111 1111x@y.z", 5), (3, None, 5), (4, "é\U0001f600 a@b.co é", 5), (1, "", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")

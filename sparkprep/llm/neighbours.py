@@ -129,14 +129,14 @@ def search(
 
     queries picks the query rows from the valid rows (vec_id, v). A bucket with more than chunk_rows vectors is split by a
     hash into chunks, and its queries go to each chunk, so that a crowded bucket is many tasks and nothing is left out. A
-    query's own id is no candidate; repeated ids as in the exact search. About first_rows rows (a bounded sample) are compared
-    with every query at the start: their k-th best score is what others must reach to leave their task. Empty tables give an empty result.
+    query's own id is no candidate; repeated ids as in the exact search. Of about first_rows rows (a bounded sample) those in
+    the probed buckets are compared with the query at the start: their k-th best score is what others must reach to leave
+    their task. What is found is the same with any sample, or none. Empty tables give an empty result.
     """
     rows = stored(valid(vectors, id_col, vector_col, zero=False), "vectors")
-    asked = queries(rows).groupBy("vec_id").agg(F.min("v").alias("v"))
-    first, floors = _first_lists(rows, asked, k, first_rows, seed)
-    asked = stored(asked.mapInArrow(floors, "vec_id long, v array<double>, floor double"), "queries")
-    turn, probes = fit(rows, asked.select("vec_id", "v"), k, tables, sample, recall, seed)
+    asked = stored(queries(rows).groupBy("vec_id").agg(F.min("v").alias("v")), "asked")
+    turn, probes = fit(rows, asked, k, tables, sample, recall, seed)
+    asked = stored(asked.mapInArrow(_floors(rows, turn, probes, k, first_rows, seed), "vec_id long, v array<double>, floor double"), "queries")
 
     def placed(batches):
         for b in batches:
@@ -201,40 +201,38 @@ def search(
         yield flush()
 
     schema = "query_id long, tile long, vec_id long, score double"
-    parts = both.mapInArrow(run, schema).unionByName(asked.select("vec_id", "v").mapInArrow(first, schema))
-    return merged(parts, k, 1)
+    return merged(both.mapInArrow(run, schema), k, 1)
 
 
-def _first_lists(rows: DataFrame, asked: DataFrame, k: int, first_rows: int, seed: int):
-    """Two functions over batches of queries: the k best of about first_rows rows, and the score of the last of them.
+def _floors(rows: DataFrame, turn: Rotations, probes: int, k: int, first_rows: int, seed: int):
+    """A function over batches of queries that adds the k-th best score of the rows of a sample that the query's probes meet.
 
-    What scores less than that last one cannot be among the k nearest found, so it need not leave its task.
+    The query's tables hold those k rows, so what scores less cannot be among the k nearest found and need not leave its task.
     """
     n = rows.count()
     some = rows.where(unit_hash(F.col("vec_id"), seed + 1) < min(1.0, first_rows / max(1, n))).limit(4 * first_rows).collect()
     ids, v = np.array([r["vec_id"] for r in some], np.int64), np.array([r["v"] for r in some], float)
+    code = turn.buckets(v) if len(ids) else None
 
-    def lists(b: pa.RecordBatch):
-        q = matrix(b)
-        for one, x in zip(b.column("vec_id").to_pylist(), q):
-            at, s = nearest(x, v, ids, one, k, v @ x) if len(ids) else (np.empty(0, int), np.empty(0))
-            yield one, ids[at], s
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [(one, i, x) for one, own, s in lists(b) for i, x in zip(own.tolist(), s.tolist())]
-            query, own, s = zip(*found) if found else ([], [], [])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(query, pa.int64()), pa.array([0] * len(query), pa.int64()), pa.array(own, pa.int64()), pa.array(s, pa.float64())],
-                names=["query_id", "tile", "vec_id", "score"],
-            )
+    def low(one: int, x: np.ndarray, order: np.ndarray) -> float:
+        met = np.zeros(len(ids), bool)
+        for t, near in enumerate(order):
+            met |= np.isin(code[:, t], near)
+        at, s = nearest(x, v[met], ids[met], one, k, v[met] @ x)
+        distinct = len(np.unique(np.c_[ids[met][at], s], axis=0)) == k  # equal (id, score) pairs count once in a list
+        return float(s[-1]) if distinct else -np.inf
 
     def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            low = [float(s[-1]) if len(s) == k else -np.inf for _, _, s in lists(b)]
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(low, pa.float64())], names=["vec_id", "v", "floor"])
+            out = []
+            for at in range(0, len(b), 256):
+                part = b.slice(at, 256)
+                q = matrix(part)
+                order = turn.order(q)[:, :, :probes] if len(ids) else [None] * len(q)
+                out += [low(*x) if len(ids) else -np.inf for x in zip(part.column("vec_id").to_pylist(), q, order)]
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(out, pa.float64())], names=["vec_id", "v", "floor"])
 
-    return first, floors
+    return floors
 
 
 def _spread(b: pa.RecordBatch, code: np.ndarray) -> pa.RecordBatch:

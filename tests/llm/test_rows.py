@@ -245,3 +245,17 @@ def test_neighbours_of_any_length_and_crowded_buckets(spark):
     few = neighbours.search(df.where("vec_id < 3"), lambda r: r, k=5).collect()
     assert len(few) == 6
     assert df.where(F.col("vec_id") < 3).count() == 3
+
+
+def test_neighbours_come_from_the_tables_alone(spark):
+    """The sample only prunes: with few probes the lists are the same with and without it."""
+    ids, v = _vectors()
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)], "vec_id long, embedding array<double>").repartition(4)
+
+    def found(**settings):
+        got = neighbours.search(df, lambda r: r.where("vec_id % 20 = 0"), k=5, **settings).collect()
+        return sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got), _recall(got, ids, v, 5)
+
+    few = dict(tables=2, recall=0.2)
+    (pruned, share), (whole, _), (_, full) = found(**few), found(**few, first_rows=0), found(first_rows=0)
+    assert pruned == whole and share < 0.9 <= full

@@ -182,25 +182,27 @@ def possible(value: Column) -> Column:
     return out
 
 
-def learn(seen: DataFrame, rounds: int, support: int, pattern_score: float, value_score: float) -> DataFrame:
+def learn(seen: DataFrame, most_rounds: int, support: int, pattern_score: float, value_score: float) -> DataFrame:
     """(value, kind) of identifiers found by their contexts, from (value, kind or -1, left, right) of every occurrence.
 
-    A pattern is a left word, or a left and a right word. Its score for a kind is the sum of its known values' scores over
+    A pattern is a left word, a right word, or both. Its score for a kind is the sum of its known values' scores over
     one more than its number of different values; it counts from `support` known values and pattern_score on. A value's
     score is 1 - product of (1 - score) over its patterns; from value_score on it is known in the next round, if its shape
-    allows. Everything is counted over all occurrences; groups are reduced before they are shuffled.
+    allows. A value keeps the kind it was first found as, so that what is found only grows; the rounds end when a round adds
+    nothing. Everything is counted over all occurrences; groups are reduced before they are shuffled.
     """
     left = F.when(F.col("left") != "", F.concat_ws(" ", F.lit("<"), "left"))
+    right = F.when(F.col("right") != "", F.concat_ws(" ", F.lit(">"), "right"))
     both = F.when((F.col("left") != "") & (F.col("right") != ""), F.concat_ws(" ", F.lit("<"), "left", F.lit(">"), "right"))
-    edges = seen.select("value", "kind", F.explode(F.array(left, both)).alias("pattern")).where("pattern is not null")
+    edges = seen.select("value", "kind", F.explode(F.array(left, right, both)).alias("pattern")).where("pattern is not null")
     edges = stored(edges.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "edges")
     known = edges.where("kind >= 0").select("value", "kind").distinct().withColumn("score", F.lit(1.0))
     seeded = known.select("value").distinct()
-    fan = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("values"), F.sum((F.col("kind") >= 0).cast("long")).alias("seeds")).where(F.col("seeds") >= 1)
-    live = stored(edges.join(fan, "pattern"), "live")  # only patterns that some seed stands in can ever score
+    fan = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("values")).where(F.col("values") >= support)
+    live = stored(edges.join(fan, "pattern"), "live")  # a pattern with fewer values never counts, whatever becomes known
     open_edges = live.where("kind < 0").join(seeded, "value", "left_anti").select("pattern", "value")
-    found = None
-    for _ in range(rounds):
+    found, size = None, 0
+    for _ in range(most_rounds):
         scored = live.select("pattern", "value", "values").join(known, "value").groupBy("pattern", "kind")
         scored = scored.agg(F.sum("score").alias("sum"), F.count(F.lit(1)).alias("of"), F.max("values").alias("values"))
         scored = scored.withColumn("p", F.col("sum") / (F.col("values") + 1)).where((F.col("of") >= support) & (F.col("p") >= pattern_score))
@@ -210,15 +212,21 @@ def learn(seen: DataFrame, rounds: int, support: int, pattern_score: float, valu
         for n, kind in enumerate(KINDS):
             fits = fits | ((F.col("kind") == n) & shape(kind, F.col("value")))
         new = new.where((F.col("score") >= value_score) & fits)
+        if found is not None:
+            held = found.select("value", F.col("kind").alias("held"))
+            new = new.join(held, "value", "left").where("held is null or held = kind")
         found = stored(new.groupBy("value").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("top")).select("value", (-F.col("top.k")).alias("kind"), F.col("top.score").alias("score")), "values")
         known = edges.where("kind >= 0").select("value", "kind").distinct().withColumn("score", F.lit(1.0)).unionByName(found)
-        if found.isEmpty():
+        last, size = size, found.count()
+        if size <= last:
             break
+    else:
+        raise RuntimeError("the identifiers did not settle")
     return found.select("value", "kind")
 
 
 def find(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, support: int = 5, pattern_score: float = 0.6, value_score: float = 0.8
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rounds: int = 200, support: int = 5, pattern_score: float = 0.6, value_score: float = 0.8
 ) -> tuple[DataFrame, DataFrame]:
     """((id, text_hash, base, spans) for every row, extra (id, text_hash, more) of texts with spans the method added).
 
@@ -227,7 +235,7 @@ def find(
     """
     scan = stored(_scan(docs, id_col, text_col), "scan")
     seen = scan.select(F.explode("seen").alias("s")).select("s.value", "s.kind", "s.left", "s.right")
-    values = learn(seen, rounds, support, pattern_score, value_score)
+    values = learn(seen, most_rounds, support, pattern_score, value_score)
     rows = scan.select("id", "text_hash", F.explode(F.filter("seen", lambda s: s["kind"] < 0)).alias("s"))
     rows = rows.select("id", "text_hash", "s.start", "s.end", "s.value").distinct().join(values, "value")
     ahead = Window.partitionBy("id", "text_hash").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)

@@ -239,6 +239,20 @@ def test_contexts_find_spaced_numbers_and_long_addresses(spark):
     assert spans[100] == "phone:18:32" and spans[101] == "card:17:36" and spans[104] == "phone:18:30" and spans[105] == ""
 
 
+def test_contexts_reach_any_number_of_hops(spark):
+    """Each group of numbers stands in the words of the group before; the last is four hops from the seeds."""
+    sizes, rows = [60, 30, 14, 6, 2], []
+    for i, n in enumerate(sizes):
+        for j in range(n):
+            value = f"+1 375 555 {1000 + j}" if i == 0 else f"555-{i}{100 + j}-44"
+            rows += [f"said a{w} {value} b{w} then" for w in (i, i + 1)]
+    rows += [f"call w{i} +1 375 556 {1000 + i} rings twice" for i in range(20)] + ["557-0199-44 rings now"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    spans = {r["doc_id"]: r["spans"] for r in pii.report(docs).collect()}
+    assert spans[len(rows) - 1] == "phone:0:11"  # at the very start, known by its right word
+    assert all(spans[i].startswith("phone:") for i in range(len(rows)))
+
+
 def test_redaction(spark, odd):
     rows = [(1, "mail a@b.co, +1 (375) 555-4393 and 9.9.9.9!", 5), (2, "4111 1111 1111 1111x@y.z", 5), (3, None, 5), (4, "é\U0001f600 a@b.co é", 5), (1, "", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")

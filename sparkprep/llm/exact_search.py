@@ -78,23 +78,26 @@ def search(
     query_rows: int = 16_384,
     shard_rows: int = 16_384,
     fan_in: int = 16,
+    share: int = 4,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k largest whole-number inner products of every query.
 
     queries picks the query rows from the valid rows (vec_id, v). A query's own id is no candidate. Of rows that share a
     query's id one vector is the query; as candidates repeated ids stay, but equal (id, score) pairs count once. With
-    fewer candidates than k all are returned; empty tables give an empty result.
+    fewer candidates than k all are returned; empty tables give an empty result. Each block of queries is sent once for
+    every `share` shards, so that the tiles of one block spread over many tasks.
     """
     rows = stored(valid(vectors, id_col, vector_col, zero=True), "vectors")
     asked = queries(rows).groupBy("vec_id").agg(F.min("v").alias("v"))
     shards = blocks(rows, shard_rows, "shards")
     ask = blocks(asked.coalesce(max(1, -(-asked.count() // query_rows))), query_rows, "queries")
     many, tiles = ask.count(), shards.count()
-    # the grid of tiles: each shard meets each block of the stated queries, in the task of their common key
+    # the grid of tiles: each shard meets each block of the stated queries, in the task of their common key: block and set of shards
     left = shards.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(max(0, many - 1))))).select(
-        F.col("block").alias("tile"), F.col("query_block").cast("long").alias("query_block"), "ids", "data", "dim"
+        F.col("block").alias("tile"), F.col("query_block").cast("long").alias("query_block"), F.floor(F.col("block") / share).alias("shards"), "ids", "data", "dim"
     )
-    right = ask.select(F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("data").alias("query_data"))
+    copied = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, tiles - 1) // share).cast("long"))).alias("shards")
+    right = ask.select(F.col("block").alias("query_block"), copied, F.col("ids").alias("query_ids"), F.col("data").alias("query_data"))
     names = pa.schema([("query_id", pa.int64()), ("tile", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches):
@@ -113,5 +116,5 @@ def search(
                     scores = np.concatenate([products(q[at + i : at + i + 1], v[f])[0] for i, f in enumerate(found)]) if len(line) else np.zeros(0, np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(pick[0]), pa.array(np.full(len(line), r["tile"], np.int64)), pa.array(ids[pick[1]]), pa.array(scores)], schema=names)
 
-    parts = left.join(right, "query_block").mapInArrow(run, "query_id long, tile long, vec_id long, score long")
+    parts = left.join(right, ["query_block", "shards"]).mapInArrow(run, "query_id long, tile long, vec_id long, score long")
     return merged(parts, k, tiles, fan_in)

@@ -259,3 +259,19 @@ def test_neighbours_come_from_the_tables_alone(spark):
     few = dict(tables=2, recall=0.2)
     (pruned, share), (whole, _), (_, full) = found(**few), found(**few, first_rows=0), found(first_rows=0)
     assert pruned == whole and share < 0.9 <= full
+
+
+def test_exact_search_spreads_the_tiles_of_one_query_block(spark, monkeypatch):
+    ids, v = _vectors()
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)], "vec_id long, embedding array<double>").repartition(4)
+    monkeypatch.setattr(exact_search, "merged", lambda parts, *_: parts)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {c: spark.conf.get(c) for c in conf}
+    try:
+        for c, x in conf.items():
+            spark.conf.set(c, x)
+        parts = exact_search.search(df, lambda r: r.where("vec_id % 100 = 0"), shard_rows=16)
+        assert parts.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        for c, x in before.items():
+            spark.conf.set(c, x)

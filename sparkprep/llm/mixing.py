@@ -24,6 +24,19 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _unfolded(rows: DataFrame, times: str, key: list[str], name: str, size: int = 4096) -> DataFrame:
+    """Every row `times` times, numbered from 0 as name.
+
+    Rows with more than `size` copies are first cut into ranges of that many, which are dealt to all tasks.
+    """
+    first, count = F.lit(0).cast("long"), F.col(times).cast("long")
+    few = rows.where(count.between(1, size)).withColumn(name, F.explode(F.sequence(first, count - 1)))
+    many = rows.where(count > size).withColumn(name, F.explode(F.sequence(first, F.floor((count - 1) / size))))
+    start = F.col(name) * size
+    many = many.repartition(*key, name).withColumn(name, F.explode(F.sequence(start, F.least(start + size, count) - 1)))
+    return few.unionByName(many)
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Adds rank and target to (source, source_size).
 
@@ -112,7 +125,7 @@ def copies(
         F.ceil(F.coalesce(F.col("units"), F.lit(1)) / leaf_rows).alias("leaves"),
     )
     most_leaves = plan.agg(F.max("leaves")).first()[0] or 1
-    rows = same.withColumn("item", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    rows = _unfolded(same, "rows", [*ids, "source", "size"], "item")
     rows = rows.join(plan, rows["source"].eqNullSafe(plan["of"])).drop("of")
     rows = rows.withColumn("key", F.xxhash64(*ids, "item", F.lit(seed)))
     rows = rows.withColumn("node", F.pmod(F.xxhash64("key", "size"), F.col("leaves"))).drop("leaves")
@@ -152,5 +165,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     both = kept.join(taken.hint("merge"), kept[id_col].eqNullSafe(taken[uid]) & (kept[row] == taken[same]))
     out = [f"`{c}`" for c in docs.columns]
     once = both.where(F.col(rows) == 1).select(*out, times)
-    many = both.where(F.col(rows) > 1).dropDuplicates([uid, row]).select(*out, times)
-    return once.unionByName(many).withColumn(times, F.explode(F.array_repeat(F.lit(1), F.col(times)))).drop(times)
+    many = both.where(F.col(rows) > 1).dropDuplicates([uid, row]).select(*out, times, row)
+    many = _unfolded(many, times, [row], same).drop(row, same, times)
+    return once.withColumn(times, F.explode(F.array_repeat(F.lit(1), F.col(times)))).drop(times).unionByName(many)

@@ -275,3 +275,17 @@ def test_exact_search_spreads_the_tiles_of_one_query_block(spark, monkeypatch):
     finally:
         for c, x in before.items():
             spark.conf.set(c, x)
+
+
+def test_mixing_deals_out_a_large_group_of_equal_rows(spark):
+    """A third of the rows is one row: its copies are made in several tasks, and none is lost."""
+    docs = spark.createDataFrame([(i, "a few words here", "s") for i in range(20_000)], "doc_id long, text string, source string")
+    docs = docs.unionByName(docs.select(F.lit(-1).cast("long").alias("doc_id"), "text", "source").limit(10_000))
+    got = mixing.mix(docs, weights=(1.0,), share=2.0)
+    assert got.count() == 60_000 and got.where("doc_id = -1").count() == 20_000
+    conf = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        assert mixing.mix(docs, weights=(1.0,), share=2.0).where("doc_id = -1").select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", conf)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_search, jaccard, language, mixing, neighbours, packing, pii, quality, toxicity, warc
+from . import alignment, bpe, exact_search, jaccard, language, mixing, neighbours, packing, pii, quality, resample, toxicity, warc
 from .shared import folder, table
 
 QUERIES: dict = {}
@@ -92,6 +92,21 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 def _base32(hexed: str) -> str:
     """Base32 of 40 hexadecimal digits: five digits are four signs."""
     value = f"('0x' || substr({hexed}, 5 * g + 1, 5))::BIGINT"

@@ -46,7 +46,7 @@ RUN = (
 EDGE = r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$"
 # fewest and most digits, and the signs, of a token or run that may become one of a kind
 SHAPES = {"email": (0, 99, r"^[^@]+@[^@]+$"), "ip": (4, 12, r"^[0-9]+([.:][0-9]+)+$"), "card": (12, 19, r"^[0-9][0-9\x20-]+$"), "phone": (7, 15, r"^\+?[0-9(][0-9().\x20-]+$")}
-CONTEXT = 40
+WORD = 64  # longest word of a context
 
 
 def _let(value: Column, fn: Callable[[Column], Column]) -> Column:
@@ -54,32 +54,54 @@ def _let(value: Column, fn: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
-def _before(lengths: Column, block: int = 256) -> Column:
-    """For each number of an array the sum of those before it, block by block, so that long arrays stay cheap."""
+def _before(values: Column, fold: Callable[[Column, Column], Column], block: int = 256) -> Column:
+    """For each number of an array the fold (sum or maximum, from 0) of those before it, block by block, so that long arrays stay cheap."""
 
     def run(start: Column, part: Column) -> Column:
         zero = F.struct(start.cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
-        step = lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        step = lambda a, x: F.struct(fold(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
         return F.aggregate(part, zero, step, lambda a: a["out"])
 
     def whole(x: Column) -> Column:
         part = lambda b: F.slice(x, b * block + 1, block)
         numbers = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / block).cast("int"))
-        sums = F.transform(numbers, lambda b: F.aggregate(part(b), F.lit(0).cast("bigint"), lambda a, v: a + v))
+        folded = F.transform(numbers, lambda b: F.aggregate(part(b), F.lit(0).cast("bigint"), fold))
         starts = lambda s: F.flatten(F.zip_with(run(F.lit(0), s), numbers, lambda start, b: run(start, part(b))))
-        return F.when(F.size(x) > 0, _let(sums, starts)).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size(x) > 0, _let(folded, starts)).otherwise(F.array().cast("array<bigint>"))
 
-    return _let(lengths, whole)
+    return _let(values, whole)
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """array of (start, end, match), in code points, of all matches of a pattern, left to right."""
+    """array of (start, end, match, left, right), in code points, of all matches of a pattern, left to right.
+
+    left and right are the words next to the match, lower-cased, whole, up to WORD signs; nothing where the text ends or the
+    word is longer. They are cut from the pieces between the matches, never from the whole text: a word may hold the
+    neighbouring match, and it ends where that match's own neighbour begins.
+    """
 
     def spans(t: Column) -> Column:
-        gaps = F.transform(F.slice(t["gaps"], 1, F.size(t["found"])), lambda g: F.length(g).cast("bigint"))
-        sizes = F.transform(t["found"], lambda m: F.length(m).cast("bigint"))
-        start = F.zip_with(_before(F.zip_with(gaps, sizes, lambda a, b: a + b)), gaps, lambda a, b: a + b)
-        return F.zip_with(start, t["found"], lambda s, m: F.struct(s.alias("start"), (s + F.length(m)).alias("end"), m.alias("match")))
+        gaps, found = t["gaps"], t["found"]
+        before = F.slice(gaps, 1, F.size(found))
+        sizes = lambda x: F.transform(x, lambda m: F.length(m).cast("bigint"))
+        start = F.zip_with(_before(F.zip_with(sizes(before), sizes(found), _sum), _sum), sizes(before), _sum)
+        last = F.size(found) - 1
+
+        def one(m: Column, i: Column) -> Column:
+            ahead = F.concat(F.when(i > 0, F.get(found, i - 1)).otherwise(""), F.get(gaps, i))
+            behind = F.concat(F.get(gaps, i + 1), F.when(i < last, F.concat(F.get(found, i + 1), F.get(gaps, i + 2))).otherwise(""))
+            left = F.lower(F.regexp_extract(ahead, r"(?:^|\s)(\S{1,%d}+)\s*+$" % WORD, 1))
+            right = F.lower(F.regexp_extract(behind, r"^\S*+\s++(\S{1,%d}+)(?!\S)" % WORD, 1))
+            return F.struct(F.length(m).alias("size"), m.alias("match"), left.alias("left"), right.alias("right"))
+
+        placed = F.transform(found, one)
+        return F.zip_with(
+            start, placed, lambda s, m: F.struct(s.alias("start"), (s + m["size"]).alias("end"), m["match"].alias("match"), m["left"].alias("left"), m["right"].alias("right"))
+        )
 
     parts = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
     return _let(parts, spans)
@@ -113,19 +135,31 @@ def _holds(kind: str, m: Column) -> Column:
 SPAN = "array<struct<start:bigint,end:bigint,kind:int,match:string>>"
 
 
-def base_spans(text: Column) -> Column:
-    """array of (start, end, kind, match) of the fixed patterns, kind as its place in KINDS, by start and kind."""
+CONTEXTS = "array<struct<start:bigint,end:bigint,kind:int,match:string,left:string,right:string>>"
+
+
+def _base(text: Column) -> Column:
+    """array of (start, end, kind, match, left, right) of the fixed patterns, kind as its place in KINDS, kind by kind."""
 
     def of(n: int, kind: str) -> Column:
         found = F.filter(matches(text, PATTERNS[kind]), lambda s: _holds(kind, s["match"]))
-        found = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(n).alias("kind"), s["match"].alias("match")))
-        return F.when(NEEDED[kind](text), found).otherwise(F.array().cast(SPAN))
+        return F.when(NEEDED[kind](text), F.transform(found, lambda s: _span(s, F.lit(n)))).otherwise(F.array().cast(CONTEXTS))
+
+    return F.concat(*[of(n, kind) for n, kind in enumerate(KINDS)])
+
+
+def _span(s: Column, kind: Column) -> Column:
+    names = ("match", "left", "right")
+    return F.struct(s["start"].alias("start"), s["end"].alias("end"), kind.alias("kind"), *[s[n].alias(n) for n in names])
+
 
-    return ordered(F.concat(*[of(n, kind) for n, kind in enumerate(KINDS)]))
+def base_spans(text: Column) -> Column:
+    """array of (start, end, kind, match) of the fixed patterns, kind as its place in KINDS, by start and kind."""
+    return ordered(_base(text))
 
 
 def ordered(spans: Column) -> Column:
-    """By start, then kind, then end."""
+    """(start, end, kind, match) by start, then kind, then end."""
     keyed = F.transform(spans, lambda s: F.struct(s["start"], s["kind"], s["end"], s["match"]))
     return F.transform(F.array_sort(keyed), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["match"].alias("match")))
 
@@ -136,37 +170,41 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _around(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
-    """The words next to a place, lower-cased; nothing where the text ends or the word is longer than the context."""
-    left = F.substring(text, F.greatest(F.lit(1), start - CONTEXT + 1).cast("int"), F.least(start, F.lit(CONTEXT)).cast("int"))
-    right = F.substring(text, (end + 1).cast("int"), F.lit(CONTEXT))
-    return F.lower(F.regexp_extract(left, r"(\S+)\s*$", 1)), F.lower(F.regexp_extract(right, r"^\S*\s*(\S+)", 1))
-
-
-def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_hash, base, seen): base spans, and tokens, runs of digits and base matches with the words around them."""
+def _scan(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, text_hash, base) of every row, and (row, id, text_hash, start, end, kind or -1, value, left, right) of its base
+    matches, its tokens and its runs of digits; tokens and runs that touch a base match are left out."""
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64(text))
-    slim = slim.withColumn("base", base_spans(text))
-    none = F.array().cast("array<struct<start:bigint,end:bigint,match:string>>")
+    none = F.array().cast("array<struct<start:bigint,end:bigint,match:string,left:string,right:string>>")
     tokens = F.when(text.rlike("[0-9@]"), matches(text, TOKEN)).otherwise(none)
     runs = F.when(text.rlike("[0-9][\\x20.()-]{1,3}[0-9]"), matches(text, RUN)).otherwise(none)
-    clear = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
 
     def trimmed(s: Column) -> Column:
         lead = F.length(F.regexp_extract(s["match"], r"^[^\p{L}\p{N}+]*", 0))
         core = F.regexp_replace(s["match"], EDGE, "")
-        return F.struct((s["start"] + lead).alias("start"), (s["start"] + lead + F.length(core)).alias("end"), F.lit(-1).alias("kind"), core.alias("match"))
-
-    whole = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(-1).alias("kind"), s["match"].alias("match"))
-    tokens = F.concat(F.transform(F.filter(tokens, clear), trimmed), F.transform(F.filter(runs, clear), whole))
-    tokens = F.array_distinct(F.filter(tokens, lambda s: possible(s["match"])))
-
-    def seen(s: Column) -> Column:
-        left, right = _around(text, s["start"], s["end"])
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lower(s["match"]).alias("value"), left.alias("left"), right.alias("right"))
-
-    return slim.select("id", "text_hash", "base", F.transform(F.concat("base", tokens), seen).alias("seen"))
+        return F.struct(
+            (s["start"] + lead).alias("start"), (s["start"] + lead + F.length(core)).alias("end"), F.lit(-1).alias("kind"),
+            core.alias("match"), s["left"].alias("left"), s["right"].alias("right"), s["start"].alias("from"), s["end"].alias("to"),
+        )
+
+    whole = lambda s: _span(s, F.lit(-1)).withField("from", s["start"]).withField("to", s["end"])
+    others = F.concat(F.transform(tokens, trimmed), F.transform(runs, whole))
+    others = F.filter(others, lambda s: possible(s["match"]))
+    found = slim.withColumn("own", _base(text)).select("id", "text_hash", ordered(F.col("own")).alias("base"), "own", others.alias("others"))
+    kept = stored(found.withColumn("row", F.monotonically_increasing_id()), "scan")
+    own = kept.select("row", "id", "text_hash", F.inline(F.transform("own", lambda s: s.withField("from", s["start"]).withField("to", s["end"]))))
+    # a token touches a base match if one that starts before it reaches into it, or one that starts within it follows
+    both = own.unionByName(kept.where(F.size("own") > 0).select("row", "id", "text_hash", F.inline("others")))
+    until = (Window.unboundedPreceding, -1)
+    here = Window.partitionBy("row")
+    reach = F.max(F.when(F.col("kind") >= 0, F.col("to"))).over(here.orderBy("from", F.desc("kind")).rowsBetween(*until))
+    ahead = F.min(F.when(F.col("kind") >= 0, F.col("from"))).over(here.orderBy(F.desc("from"), "kind").rowsBetween(*until))
+    both = both.withColumn("reach", reach).withColumn("ahead", ahead)
+    clear = (F.col("kind") >= 0) | ((F.coalesce("reach", F.lit(0)) <= F.col("from")) & (F.col("ahead").isNull() | (F.col("ahead") >= F.col("to"))))
+    alone = kept.where(F.size("own") == 0).select("row", "id", "text_hash", F.inline("others"))
+    seen = both.where(clear).select(*alone.columns).unionByName(alone)
+    seen = seen.select("row", "id", "text_hash", "start", "end", "kind", F.lower("match").alias("value"), "left", "right")
+    return kept.select("id", "text_hash", "base"), stored(seen, "seen")
 
 
 def shape(kind: str, value: Column) -> Column:
@@ -233,11 +271,9 @@ def find(
     base and spans are arrays of (start, end, kind, match), spans all of them; added ones touch no base span. Null and empty
     texts have none. Rows with equal id and text have equal spans; rows that only share an id are told apart by their text.
     """
-    scan = stored(_scan(docs, id_col, text_col), "scan")
-    seen = scan.select(F.explode("seen").alias("s")).select("s.value", "s.kind", "s.left", "s.right")
-    values = learn(seen, most_rounds, support, pattern_score, value_score)
-    rows = scan.select("id", "text_hash", F.explode(F.filter("seen", lambda s: s["kind"] < 0)).alias("s"))
-    rows = rows.select("id", "text_hash", "s.start", "s.end", "s.value").distinct().join(values, "value")
+    scan, seen = _scan(docs, id_col, text_col)
+    values = learn(seen.select("value", "kind", "left", "right"), most_rounds, support, pattern_score, value_score)
+    rows = seen.where("kind < 0").select("id", "text_hash", "start", "end", "value").distinct().join(values, "value")
     ahead = Window.partitionBy("id", "text_hash").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("reach", F.max("end").over(ahead)).where("reach is null or end > reach")  # a token within a found run is part of it
     span = F.struct("start", "end", "kind", F.col("value").alias("match"))
@@ -248,6 +284,21 @@ def find(
     return both.select("id", "text_hash", "base", spans.alias("spans")), extra
 
 
+def _pieces(text: Column, use: Callable[[Callable[[Column, Column], Column]], Column], block: int = 2048) -> Column:
+    """use(piece) where piece(a, b) is the text from place a up to b: texts are cut into blocks once, and a piece out of its blocks."""
+
+    def cut(blocks: Column) -> Column:
+        def piece(a: Column, b: Column) -> Column:
+            first = F.floor(a / block).cast("int")
+            own = F.slice(blocks, first + 1, F.greatest(F.floor((b - 1) / block).cast("int") - first + 1, F.lit(0)))
+            return F.when(b > a, F.substring(F.array_join(own, ""), (a - first * block + 1).cast("int"), (b - a).cast("int"))).otherwise("")
+
+        return use(piece)
+
+    numbers = F.sequence(F.lit(0), F.floor(F.length(text) / block).cast("int"))
+    return _let(F.transform(numbers, lambda i: F.substring(text, i * block + 1, F.lit(block))), cut)
+
+
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """One row per document: the number of base spans of each kind, a digest of the base spans, and all spans as text."""
     found, _ = find(docs, id_col, text_col, **settings)
@@ -272,16 +323,15 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
     both = docs.join(extra, same, "left")
     spans = F.concat(base_spans(text), F.coalesce(F.col(more), F.array().cast(SPAN)))
     label = lambda n: F.element_at(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), n + 1)
-    cut = lambda a, b: F.substring(text, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
 
-    def step(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["at"]
-        out = F.when(fresh, F.concat(a["out"], F.array(cut(a["at"], s["start"]), label(s["kind"])))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
+    def replaced(found: Column) -> Column:
+        """Pieces and labels in turn; the end of all earlier spans is where a piece may begin."""
+        at = _before(F.transform(found, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+        end = F.aggregate(found, F.lit(0).cast("bigint"), lambda a, s: F.greatest(a, s["end"]))
+        both = lambda piece: F.zip_with(found, at, lambda s, a: F.when(s["start"] >= a, F.concat(piece(a, s["start"]), label(s["kind"]))).otherwise(""))
+        return _pieces(text, lambda piece: F.concat(F.array_join(both(piece), ""), piece(end, F.length(text).cast("bigint"))))
 
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-    end = lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.length(text)))
-    clean = _let(spans, lambda x: F.when(F.size(x) > 0, F.aggregate(ordered(x), zero, step, end)).otherwise(text))
+    clean = _let(spans, lambda x: F.when(F.size(x) > 0, _let(ordered(x), replaced)).otherwise(text))
     clean = F.when(F.col(f"`{text_col}`").isNotNull(), clean)
     fresh = free(docs, "pii_text")
     out = both.withColumn(fresh, clean)

@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import random
 import re
+import time
 
 import corpus_pipeline
 import numpy as np
@@ -253,6 +255,59 @@ def test_contexts_reach_any_number_of_hops(spark):
     assert all(spans[i].startswith("phone:") for i in range(len(rows)))
 
 
+def _long_text(n):
+    """About 2 MB with n identifiers, and what the fixed patterns find in it."""
+    one = lambda i: [f"mail user{i}@host{i % 97}.example.com now", f"the host 10.{i % 250}.{i % 199}.{i % 77} is up", f"call +1 (375) 555-{1000 + i % 9000} today", f"ref 555 {1000000 + i} then"][i % 4]
+    return "; ".join(map(one, range(n)))
+
+
+def test_long_text_with_many_identifiers(spark):
+    """Work grows with the text, not with its square."""
+    text = _long_text(60_000)
+    docs = spark.createDataFrame([(1, text, 0)], "doc_id long, text string, n_chars long")
+    pii.report(docs.limit(0)).collect()
+    start = time.time()
+    got = pii.report(docs).collect()[0]
+    assert time.time() - start < 60
+    want = _base(text)
+    line = ",".join(f"{k}:{s}:{e}" for k, s, e in want)
+    assert len(want) >= 45_000 and got["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
+    short = _long_text(3_000)
+    clean = pii.redact(spark.createDataFrame([(1, short, 0)], "doc_id long, text string, n_chars long")).collect()[0]["text"]
+    spans, at, out = _base(short), 0, []
+    for kind, s, e in spans:
+        out += [short[at:s], f"[{kind.upper()}]"]
+        at = e
+    assert clean == "".join(out) + short[at:]
+
+
+def test_planted_identifiers(spark):
+    """Numbers the fixed patterns do not take, planted in the words that surround others they do, and look-alikes elsewhere."""
+    rng = random.Random(4)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    filler = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(3, 9)))
+    rows, planted, decoys = [], {}, set()
+    for i in range(600):
+        digits = f"{rng.randint(200, 999)}"
+        kind = i % 6
+        frame = rng.choice([("reach me at", "after six"), ("my number is", "in case"), ("text", "instead please")])
+        if kind < 3:
+            rows.append((i, f"{filler()} {frame[0]} +1 {digits} 555 {rng.randint(1000, 9999)} {frame[1]} {filler()}"))
+        elif kind == 3:
+            value = f"{digits}-555-{rng.randint(1000, 9999)}"
+            rows.append((i, f"{filler()} {frame[0]} {value} {frame[1]} {filler()}"))
+            planted[i] = value
+        else:
+            rows.append((i, f"{filler()} {digits}-555-{rng.randint(1000, 9999)} {filler()}"))
+            decoys.add(i)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    texts = dict(rows)
+    found = {r["doc_id"]: [tuple(map(int, s.split(":")[1:])) for s in r["spans"].split(",") if s] for r in pii.report(docs).collect()}
+    hits = sum(planted[i] in [texts[i][s:e] for s, e in found[i]] for i in planted)
+    wrong = sum(bool(found[i]) for i in decoys)
+    assert hits >= 0.95 * len(planted) and wrong <= 0.02 * len(decoys), (hits, len(planted), wrong, len(decoys))
+
+
 def test_redaction(spark, odd):
     rows = [(1, "mail a@b.co, +1 (375) 555-4393 and 9.9.9.9!", 5), (2, "4111 1111 1111 1111x@y.z", 5), (3, None, 5), (4, "é\U0001f600 a@b.co é", 5), (1, "", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")

@@ -46,7 +46,7 @@ def _prepared(c: str) -> str:
 )
 def information_value(spark, folder):
     df = load(spark, folder, "items", _WITH_TARGET)
-    ready = impute.median(outliers.winsorize(df, _FEATURES), _FEATURES)
+    ready = impute.median_of_clipped(df, _FEATURES)
     return rounded(features.iv(ready, "target", _FEATURES), 8)
 
 

@@ -18,10 +18,10 @@ def merge_edges(edges: list[float | None]) -> list[float]:
     return sorted({e for e in edges if e is not None})
 
 
-def edges(df: DataFrame, cols: list[str], n: int, mode: str = "exact") -> dict[str, list[float]]:
-    """n-quantile edges per column, duplicates merged."""
-    probs = [i / n for i in range(n + 1)]
-    return {c: merge_edges(e) for c, e in quantiles.fit(df, cols, probs, mode).items()}
+def edges(df: DataFrame, cols: list[str], n: int, mode: str = "exact", also: dict[str, Column] | None = None) -> tuple[dict[str, list[float]], dict]:
+    """n-quantile edges per column, duplicates merged; and the values of further aggregates, from the same read."""
+    got = quantiles.fit(df, cols, [i / n for i in range(n + 1)], mode, also={("also", k): e for k, e in (also or {}).items()})
+    return {c: merge_edges(got[c]) for c in cols}, {k: got["also", k] for k in also or {}}
 
 
 def index(x: Column, edge: list[float], closed: str = "right", outside: str = "drop") -> Column:
@@ -44,9 +44,6 @@ def melt(
     outside: str = "drop",
 ) -> DataFrame:
     """(kept columns, feature, bin): the bin numbers are computed in the scan, so only small keys travel."""
-    rows = [
-        F.struct(F.lit(c).alias("feature"), index(num(c), e, closed, outside).alias("bin"))
-        for c, e in edge.items()
-    ]
-    slim = df.select(*[e.alias(n) for n, e in keep.items()], F.explode(F.array(*rows)).alias("_b"))
-    return slim.select(*[ref(n) for n in keep], "_b.feature", "_b.bin").filter(F.col("bin").isNotNull())
+    numbers = F.array(*[index(num(c), e, closed, outside) for c, e in edge.items()])
+    slim = df.select(*[e.alias(n) for n, e in keep.items()], F.posexplode(numbers).alias("_c", "bin")).filter(F.col("bin").isNotNull())
+    return slim.select(*[ref(n) for n in keep], F.get(F.array(*[F.lit(c) for c in edge]), F.col("_c")).alias("feature"), "bin")

@@ -12,6 +12,7 @@ from ..session import durable, limit
 BROADCAST_ROWS = 100_000  # a mapping is broadcast only when it is known to have at most this many rows
 BROADCAST_BYTES = 8 << 20  # and this many bytes of values
 HOT_SHARE = 1_000  # a value holding more than 1/HOT_SHARE of all rows is hot; there are fewer than that many
+TRACKED = 16_384  # keys that the sketch of frequent keys keeps
 SPREAD = 4_096
 
 
@@ -93,33 +94,42 @@ def join(df: DataFrame, key: Column, lookup: Lookup, prefix: str) -> DataFrame:
     return _join_large(df, key, lookup, prefix)
 
 
+def _hot(df: DataFrame, key: Column, lookup: Lookup) -> DataFrame:
+    """(value, results) of the hot keys of the rows to be answered, whether the mapping knows them or not.
+
+    A sketch of the most frequent keys (``approx_top_k``) sees the rows themselves: a value may be rare where the mapping was
+    fitted and fill a third of a later batch. It tracks a fixed number of keys, and so finds every key above
+    1/HOT_SHARE of the rows; its result is at most HOT_SHARE rows, so both joins here broadcast a bounded table. A stream
+    cannot be read ahead: there the values that were hot in the fit count.
+    """
+    if df.isStreaming:
+        return lookup.frame.filter(F.col("n") * F.lit(HOT_SHARE) > F.lit(lookup.total)).drop("n")
+    rows = df.select(key.alias("k")).where("k IS NOT NULL")
+    top = rows.agg(F.expr(f"approx_top_k(k, {HOT_SHARE}, {TRACKED})").alias("top"), F.count(F.lit(1)).alias("all"))
+    keys = top.select("all", F.inline("top")).where(F.col("count") * F.lit(HOT_SHARE) > F.col("all")).select(F.col("item").alias("_hot"))
+    known = lookup.frame.drop("n").join(F.broadcast(keys), F.col("value") == F.col("_hot")).drop("_hot")
+    return keys.join(F.broadcast(known), F.col("_hot") == F.col("value"), "left").drop("value").withColumnRenamed("_hot", "value")
+
+
 def _join_large(df: DataFrame, key: Column, lookup: Lookup, prefix: str) -> DataFrame:
-    """Hot values (a bounded number) are broadcast, the rest is shuffled on the key.
+    """Keys that are hot among the rows (a bounded number) are broadcast, the rest is shuffled on the key.
 
-    Rows already answered by the hot side, and rows without a key, cannot match on the cold side; they are
-    spread by a hash of the whole row instead of piling up on one key.
+    Rows already answered by the hot side, and rows without a key, need no match on the cold side: there they carry
+    a key of their own from a hash of the whole row, so they spread instead of piling up on one key.
     """
-    frame = lookup.frame
-    is_hot = F.col("n") * F.lit(HOT_SHARE) > F.lit(lookup.total)
-    k, hot_key, cold_key, salt = (prefix + s for s in ("key", "hot", "cold", "salt"))
+    k, hot_key, cold_key, spread = (prefix + s for s in ("key", "hot", "cold", "spread"))
     names = [prefix + r for r in lookup.results]
-    hot = frame.filter(is_hot).select(
+    hot = _hot(df, key, lookup).select(
         F.col("value").alias(hot_key), *[ref(r).alias(n + "_h") for r, n in zip(lookup.results, names)]
     )
-    cold = frame.filter(~is_hot).select(
-        F.col("value").alias(cold_key),
-        F.lit(0).cast("bigint").alias(salt + "_c"),
-        *[ref(r).alias(n + "_c") for r, n in zip(lookup.results, names)],
+    cold = lookup.frame.select(
+        F.col("value").alias(cold_key), *[ref(r).alias(n + "_c") for r, n in zip(lookup.results, names)]
     )
     original = df.columns
     hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
     out = df.withColumn(k, key).join(F.broadcast(hot), F.col(k) == F.col(hot_key), "left")
     done = F.col(hot_key).isNotNull() | F.col(k).isNull()
-    out = out.withColumn(
-        salt, F.when(done, F.pmod(F.xxhash64(*[ref(c) for c in hashable]), F.lit(SPREAD)) + 1).otherwise(F.lit(0))
-    )
-    out = out.join(cold, (F.col(k) == F.col(cold_key)) & (F.col(salt) == F.col(salt + "_c")), "left")
-    picked = [
-        F.when(F.col(hot_key).isNotNull(), ref(n + "_h")).otherwise(ref(n + "_c")).alias(n) for n in names
-    ]
+    own = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*[ref(c) for c in hashable]), F.lit(SPREAD)).cast("string"))
+    out = out.withColumn(spread, F.when(done, own).otherwise(F.col(k))).join(cold, F.col(spread) == F.col(cold_key), "left")
+    picked = [F.when(F.col(hot_key).isNotNull(), ref(n + "_h")).when(F.col(k).isNotNull(), ref(n + "_c")).alias(n) for n in names]
     return out.select(*[ref(c) for c in original], *picked)

@@ -1,8 +1,10 @@
 """Running totals, row numbers and forward fill over a global order without a single-task window.
 
-Rows are cut into key ranges of about ``ROWS_PER_BUCKET`` rows by literal edge keys, every range is ordered
-on its own, and what a range needs from the ranges before it is a table of one row per range. The edges come
-from a bounded sample of distinct keys, so a key that fills a third of the table costs one entry.
+Rows are dealt into key ranges of about ``ROWS_PER_RANGE`` rows, one partition each, and written once with the number of
+their range. Every range is ordered on its own, and what a range needs from the ranges before it comes from a tree: ranges
+are summed up within blocks of ``FAN``, the blocks within blocks of blocks, and so on, so no task sees more than ``FAN``
+of them however many there are. The ranges come from Spark's own bounded sample, and a key that fills a third of the
+table costs one boundary.
 """
 
 from __future__ import annotations
@@ -13,51 +15,37 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import durable, limit
 from .columns import ref
-from .tree import choose
-
-ROWS_PER_BUCKET = 2_000_000  # default of sparkprep.rowsPerRange
-MAX_BUCKETS = 4_096  # parallelism, not a row limit: ranges get longer beyond it and sort with spill
-_OVERSAMPLE = 32
-_TREE = 200  # up to this many edges the range is found by compiled branches, beyond by looking into two arrays
-
-
-def _edges(df: DataFrame, keys: list[str], n: int) -> list[tuple]:
-    k = min(MAX_BUCKETS, math.ceil(n / limit(df.sparkSession, "rowsPerRange", ROWS_PER_BUCKET)))
-    if k <= 1:
-        return []
-    step = max(1, n // (k * _OVERSAMPLE))
-    cols = [ref(x) for x in keys]
-    sample = df.filter(F.pmod(F.xxhash64(*cols), F.lit(step)) == 0).select(*cols).distinct().orderBy(*cols).collect()
-    per = max(1, len(sample) // k)
-    return [tuple(sample[i]) for i in range(per, len(sample), per)]
-
-
-def bucket(df: DataFrame, keys: list[str], n: int) -> Column | None:
-    """Range number of one of n rows, or None when they fit one range."""
-    types = [df.schema[k].dataType for k in keys]
-    found = [e for e in _edges(df, keys, n) if all(v is not None for v in e)]
-    if not found:
+
+ROWS_PER_RANGE = 2_000_000  # default of sparkprep.rowsPerRange
+FAN = 1_000
+
+
+def ranged(df: DataFrame, keys: list[str], n: int) -> tuple[DataFrame, int] | None:
+    """The n rows with the number ``_range`` of their key range, written to the shared folder, and how many ranges there
+    are; None when all rows fit one range. Smaller numbers hold smaller keys, nulls first."""
+    parts = math.ceil(n / limit(df.sparkSession, "rowsPerRange", ROWS_PER_RANGE))
+    if parts <= 1:
         return None
-    cols = [ref(k) for k in keys]
-    literals = [[F.lit(v).cast(t) for v, t in zip(e, types)] for e in found]
-    if len(found) <= _TREE:
-        return choose([_reached(cols, e) for e in literals], [F.lit(i) for i in range(len(found) + 1)])
-    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(cols)])
-    structs = [F.struct(*[v.alias(f"k{i}") for i, v in enumerate(e)]) for e in literals]
-    width = math.isqrt(len(found))
-    blocks = [structs[i : i + width] for i in range(0, len(structs), width)]
-    first, whole = F.array(*[b[0] for b in blocks]), F.array(*[F.array(*b) for b in blocks])
-    block = F.size(F.filter(first, lambda e: e <= key))
-    within = F.size(F.filter(F.element_at(whole, F.greatest(block, F.lit(1))), lambda e: e <= key))
-    return F.when(block == 0, F.lit(0)).otherwise((block - 1) * width + within).cast("int")
-
-
-def _reached(cols: list[Column], edge: list[Column]) -> Column:
-    """The key is at or behind the edge, compared column by column."""
-    out = cols[-1] >= edge[-1]
-    for c, e in zip(reversed(cols[:-1]), reversed(edge[:-1])):
-        out = (c > e) | ((c == e) & out)
-    return out
+    dealt = df.repartitionByRange(parts, *[ref(k) for k in keys])
+    return durable(dealt.withColumn("_range", F.spark_partition_id().cast("long"))), parts
+
+
+def _earlier(found: DataFrame, names: list[str], count: int, last: bool = False) -> DataFrame:
+    """(_range, names): the sum of each name over the earlier ranges, or the last value there that is not null."""
+    over = (lambda n: F.last(n, True)) if last else F.sum
+    rows = (Window.unboundedPreceding, -1)
+    if count <= FAN:
+        w = Window.orderBy("_range").rowsBetween(*rows)
+        return found.select("_range", *[over(n).over(w).alias(n) for n in names])
+    blocks = found.withColumn("_block", F.floor(F.col("_range") / FAN))
+    fold = [F.max_by(n, F.when(F.col(n).isNotNull(), F.col("_range"))) if last else F.sum(n) for n in names]
+    summed = blocks.groupBy("_block").agg(*[e.alias(n) for e, n in zip(fold, names)])
+    above = _earlier(summed.withColumnRenamed("_block", "_range"), names, math.ceil(count / FAN), last)
+    above = above.select(F.col("_range").alias("_block"), *[F.col(n).alias(f"_up_{n}") for n in names])
+    w = Window.partitionBy("_block").orderBy("_range").rowsBetween(*rows)
+    within = blocks.select("_block", "_range", *[over(n).over(w).alias(n) for n in names])
+    both = (lambda n: F.coalesce(n, f"_up_{n}")) if last else (lambda n: F.coalesce(n, F.lit(0)) + F.coalesce(f"_up_{n}", F.lit(0)))
+    return within.join(above, "_block").select("_range", *[both(n).alias(n) for n in names])
 
 
 def running(
@@ -77,23 +65,23 @@ def running(
     by = by or []
     order = by + keys
     n = at_most
-    if n is None or n > limit(df.sparkSession, "rowsPerRange", ROWS_PER_BUCKET):
+    if n is None or n > limit(df.sparkSession, "rowsPerRange", ROWS_PER_RANGE):
         df = df if stored else durable(df)
         n = df.count()
     plain = df.select("*", *[e.alias(f"_v_{n}") for n, e in sums.items()])
-    spot = bucket(df, order, n)
-    if spot is None:
+    dealt = ranged(plain, order, n)
+    if dealt is None:
         w = Window.partitionBy(*[ref(b) for b in by]) if by else Window.partitionBy(F.lit(0))
         w = w.orderBy(*[ref(k) for k in keys]).rowsBetween(Window.unboundedPreceding, 0)
         return plain.select(*df.columns, *[F.sum(f"_v_{n}").over(w).alias(n) for n in sums])
-    cut = plain.withColumn("_bucket", spot)
-    totals = cut.groupBy("_bucket").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_bucket", *[F.sum(f"_t_{n}").over(before).alias(f"_o_{n}") for n in sums])
-    w = Window.partitionBy("_bucket").orderBy(*[ref(k) for k in order]).rowsBetween(Window.unboundedPreceding, 0)
-    out = cut.join(F.broadcast(offsets), "_bucket").select(
-        *df.columns,
-        *[(F.sum(f"_v_{n}").over(w) + F.coalesce(F.col(f"_o_{n}"), F.lit(0))).alias(n) for n in sums],
+    cut, count = dealt
+    totals = cut.groupBy("_range").agg(*[F.sum(f"_v_{n}").alias(f"_o_{n}") for n in sums])
+    offsets = _earlier(totals, [f"_o_{n}" for n in sums], count)
+    w = Window.partitionBy("_range").orderBy(*[ref(k) for k in order]).rowsBetween(Window.unboundedPreceding, 0)
+    within = cut.select("_range", *df.columns, *[F.sum(f"_v_{n}").over(w).alias(f"_w_{n}") for n in sums])
+    # the windows leave the rows dealt and sorted by range, so only the offsets travel to this join
+    out = within.join(offsets, "_range").select(
+        *df.columns, *[(F.col(f"_w_{n}") + F.coalesce(F.col(f"_o_{n}"), F.lit(0))).alias(n) for n in sums]
     )
     if not by:
         return out
@@ -118,29 +106,25 @@ def rank(df: DataFrame, keys: list[str], name: str, by: list[str] | None = None,
 def fill_forward(df: DataFrame, cols: list[str], order_by: list[str], partition_by: list[str]) -> DataFrame:
     """Null -> last earlier non-null value of the same partition, in ``order_by`` (which must be unique there)."""
     order = partition_by + order_by
-    spot = bucket(df, order, df.count())
+    dealt = ranged(df, order, df.count())
     reach = (Window.unboundedPreceding, 0)
-    if spot is None:
+    if dealt is None:
         w = Window.partitionBy(*[ref(p) for p in partition_by]) if partition_by else Window.partitionBy(F.lit(0))
         w = w.orderBy(*[ref(o) for o in order_by]).rowsBetween(*reach)
         return df.select(*[F.last(ref(c), True).over(w).alias(c) if c in cols else ref(c) for c in df.columns])
-    cut = df.withColumn("_bucket", spot)
+    cut, count = dealt
     group = F.struct(*[ref(p).alias(f"p{i}") for i, p in enumerate(partition_by)], F.lit(1).alias("one"))
     at = F.struct(*[ref(o) for o in order])
-    ends = cut.groupBy("_bucket").agg(
-        *[
-            F.max_by(F.struct(group.alias("g"), ref(c).alias("v")), F.when(ref(c).isNotNull(), at)).alias(f"_e_{i}")
-            for i, c in enumerate(cols)
-        ]
+    names = [f"_e_{i}" for i in range(len(cols))]
+    ends = cut.groupBy("_range").agg(
+        *[F.max_by(F.struct(group.alias("g"), ref(c).alias("v")), F.when(ref(c).isNotNull(), at)).alias(n) for n, c in zip(names, cols)]
     )
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.select("_bucket", *[F.last(f"_e_{i}", True).over(before).alias(f"_c_{i}") for i in range(len(cols))])
-    w = Window.partitionBy("_bucket", *[ref(p) for p in partition_by])
+    carry = _earlier(ends, names, count, last=True)
+    w = Window.partitionBy("_range", *[ref(p) for p in partition_by])
     w = w.orderBy(*[ref(o) for o in order_by]).rowsBetween(*reach)
+    within = cut.select("*", *[F.last(ref(c), True).over(w).alias(f"_w_{i}") for i, c in enumerate(cols)])
     new = {}
     for i, c in enumerate(cols):
-        earlier = F.when(F.col(f"_c_{i}.g").eqNullSafe(group), F.col(f"_c_{i}.v"))
-        new[c] = F.coalesce(F.last(ref(c), True).over(w), earlier)
-    return cut.join(F.broadcast(carry), "_bucket").select(
-        *[new[c].alias(c) if c in new else ref(c) for c in df.columns]
-    )
+        earlier = F.when(F.col(f"_e_{i}.g").eqNullSafe(group), F.col(f"_e_{i}.v"))
+        new[c] = F.coalesce(F.col(f"_w_{i}"), earlier)
+    return within.join(carry, "_range").select(*[new[c].alias(c) if c in new else ref(c) for c in df.columns])

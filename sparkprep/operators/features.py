@@ -93,50 +93,63 @@ def numeric_only(df: DataFrame, target: str, coerce: bool = True) -> DataFrame:
 # ---- information value ------------------------------------------------------------------------------
 
 
-def _classes(df: DataFrame, target: str) -> list:
-    """The two smallest target values, by two plain aggregates however many values there are."""
+def _second(df: DataFrame, target: str, first: object) -> object:
+    """The smallest target value above the first: each task sends one value, however many there are."""
     t = ref(target)
-    first = agg.fit(df, {"v": F.min(t)})["v"]
-    if first is None:
-        return []
-    second = agg.fit(df, {"v": F.min(F.when(t > F.lit(first).cast(df.schema[target].dataType), t))})["v"]
-    return [first] if second is None else [first, second]
+    row = df.where(t > F.lit(first).cast(df.schema[target].dataType)).select(t.alias("v")).orderBy("v").first()
+    return row["v"] if row else None
+
+
+def _weights(df: DataFrame, target: str, cols: list[str], bins_n: int, mode: str) -> tuple[DataFrame | None, list[str]]:
+    """(feature, bins): per feature the array of its quantile bins with counts, shares, weight and contribution; and who has none.
+
+    The classes are the two smallest target values; no frame without them or without a column that has bins.
+    """
+    found, also = bins.edges(df, cols, bins_n, mode, also={"first": F.min(ref(target))})
+    edge = {c: e for c, e in found.items() if len(e) > 1}
+    first = also.get("first")
+    second = None if first is None or not edge else _second(df, target, first)
+    if second is None:
+        return None, cols
+    classes = [F.col("_y") == F.lit(v).cast(df.schema[target].dataType) for v in (first, second)]
+    melted = bins.melt(df, edge, {"_y": ref(target)})
+    counted = lambda here: [count_if(here).alias("rows"), *[count_if(here & y).alias(f"n{k}") for k, y in enumerate(classes)]]
+    if bins_n <= 8:  # one row of counts per feature and task, so one shuffle
+        every = F.array(*[F.struct(F.lit(i).alias("bin"), *counted(F.col("bin") == i)) for i in range(bins_n)])
+        wide = melted.groupBy("feature").agg(F.filter(every, lambda b: b["rows"] > 0).alias("_bins"))
+    else:
+        per_bin = melted.groupBy("feature", "bin").agg(*counted(F.lit(True)))
+        wide = per_bin.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("bin", "rows", "n0", "n1"))).alias("_bins"))  # bins_n at most
+    summed = lambda name: F.aggregate("_bins", F.lit(0).cast("long"), lambda s, b: s + b[name]).cast("double")
+    total = [summed("n0"), summed("n1")]
+    shares = F.transform("_bins", lambda b: F.struct(b["bin"].alias("bin"), b["n0"].alias("n0"), b["n1"].alias("n1"), *[
+        F.try_divide(b[f"n{k}"].cast("double"), t).alias(f"share{k}") for k, t in enumerate(total)
+    ]))
+    both = lambda b: (b["share0"] > 0) & (b["share1"] > 0)
+    weighed = F.transform(shares, lambda b: b.withField("woe", F.when(both(b), F.ln(F.try_divide(b["share1"], b["share0"])))))
+    weighed = F.transform(weighed, lambda b: b.withField("contribution", (b["share1"] - b["share0"]) * b["woe"]))
+    return wide.select("feature", weighed.alias("bins")), [c for c in cols if c not in edge]
 
 
 def woe(df: DataFrame, target: str, cols: list[str] | None = None, bins_n: int = 5, mode: str = "exact") -> DataFrame:
     """(feature, bin, n0, n1, share0, share1, woe, contribution) per quantile bin."""
-    cols = numeric(df, exclude=[target]) if cols is None else cols
-    edge = {c: e for c, e in bins.edges(df, cols, bins_n, mode).items() if len(e) > 1}
-    classes = _classes(df, target)
-    schema = (
-        "feature string, bin int, n0 bigint, n1 bigint, share0 double, share1 double, woe double, contribution double"
-    )
-    if not edge or len(classes) < 2:
+    found, _ = _weights(df, target, numeric(df, exclude=[target]) if cols is None else cols, bins_n, mode)
+    if found is None:
+        schema = "feature string, bin int, n0 bigint, n1 bigint, share0 double, share1 double, woe double, contribution double"
         return df.sparkSession.createDataFrame([], schema)
-    first, second = (F.lit(v).cast(df.schema[target].dataType) for v in classes)
-    per_bin = (
-        bins.melt(df, edge, {"_y": ref(target)})
-        .groupBy("feature", "bin")
-        .agg(count_if(F.col("_y") == first).alias("n0"), count_if(F.col("_y") == second).alias("n1"))
-    )
-    whole = Window.partitionBy("feature")  # a few bins per feature
-    share0 = F.try_divide(F.col("n0").cast("double"), F.sum("n0").over(whole).cast("double"))
-    share1 = F.try_divide(F.col("n1").cast("double"), F.sum("n1").over(whole).cast("double"))
-    table = per_bin.select("feature", "bin", "n0", "n1", share0.alias("share0"), share1.alias("share1"))
-    both = (F.col("share0") > 0) & (F.col("share1") > 0)
-    weight = F.when(both, F.ln(F.try_divide("share1", "share0")))
-    return table.withColumn("woe", weight).withColumn(
-        "contribution", (F.col("share1") - F.col("share0")) * F.col("woe")
-    )
+    return found.select("feature", F.inline("bins"))
 
 
 def iv(df: DataFrame, target: str, cols: list[str] | None = None, bins_n: int = 5, mode: str = "exact") -> DataFrame:
     """(feature, iv); 0 for a feature that cannot be binned."""
     cols = numeric(df, exclude=[target]) if cols is None else cols
-    table = woe(df, target, cols, bins_n, mode)
-    scored = table.groupBy("feature").agg(F.abs(F.sum("contribution")).alias("_iv"))
-    every = df.sparkSession.createDataFrame([(c,) for c in cols], "feature string")
-    return every.join(scored, "feature", "left").select("feature", F.coalesce("_iv", F.lit(0.0)).alias("iv"))
+    found, without = _weights(df, target, cols, bins_n, mode)
+    none = df.sparkSession.createDataFrame([(c, 0.0) for c in without], "feature string, iv double")
+    if found is None:
+        return none
+    summed = F.aggregate("bins", F.lit(0.0), lambda s, b: s + F.coalesce(b["contribution"], F.lit(0.0)))
+    scored = found.select("feature", F.abs(summed).alias("iv"))
+    return scored.union(none) if without else scored
 
 
 def _values(scores: DataFrame, name: str) -> dict[str, float]:
@@ -302,7 +315,7 @@ def _late(df: DataFrame, ts: str, oot: str) -> Column:
 
 def csi_edges(df: DataFrame, ts: str, oot: str, cols: list[str], n: int = 10, mode: str = "exact") -> dict[str, list[float]]:
     """Decile edges of the development period."""
-    return bins.edges(df.filter(~_late(df, ts, oot)), cols, n, mode)
+    return bins.edges(df.filter(~_late(df, ts, oot)), cols, n, mode)[0]
 
 
 def stability(shares: DataFrame, dev: str = "dev", oot: str = "oot", by: list[str] | None = None) -> DataFrame:

@@ -99,6 +99,25 @@ def median(df: DataFrame, cols: list[str], mode: str = "exact") -> DataFrame:
     return _fill(df, fit(df, {c: "median" for c in cols}, mode=mode))
 
 
+def median_of_clipped(df: DataFrame, cols: list[str], lo: float = 0.01, hi: float = 0.99) -> DataFrame:
+    """Values clipped to the quantiles lo and hi, and gaps filled with the median of the clipped values, from one fit.
+
+    Clipping keeps the order of values, so the neighbours of the clipped median are the clipped neighbours of the median.
+    """
+    got, _ = quantiles.neighbours(df, cols, [lo, 0.5, hi])
+    new = {}
+    for c, found in got.items():
+        if found[0] is None:
+            continue
+        low, high = ((1 - w) * a + w * b if a != b else a for a, b, w in (found[0], found[2]))
+        before, behind, w = found[1]
+        before, behind = (min(max(v, low), high) for v in (before, behind))
+        fill = before if before == behind else (1 - w) * before + w * behind
+        clipped = F.least(F.greatest(num(c), F.lit(low)), F.lit(high))
+        new[c] = F.when(ref(c).isNotNull(), clipped).otherwise(F.lit(fill))
+    return replace(df, new)
+
+
 def mode(df: DataFrame, cols: list[str]) -> DataFrame:
     return _fill(df, fit(df, {c: "mode" for c in cols}))
 

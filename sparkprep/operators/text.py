@@ -1,15 +1,16 @@
 """Labelling a text column: keywords, embedding prototypes, and the two in a row.
 
 Keyword tables and prototypes are small definitions given by the caller. They enter the query as literals, so
-every operator here is one projection over the texts: no join, no shuffle.
+every operator here is one projection over the texts: no join, no shuffle. Keywords are an index from word forms to
+keywords and one expression for all phrases, so a text costs about the same for ten keywords and for thousands.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -54,20 +55,93 @@ def same_singular(word: str) -> list[str]:
     return sorted(f for f in forms if singular(f) == base)
 
 
-def _keyword_hits(keywords: list[str]) -> Column:
-    """Number of keywords found in ``_lower`` as a phrase, or with a form of each of their words in ``_words``.
+FEW = 64  # so many keywords are tested phrase by phrase; beyond, one expression looks for all of them at once
+_LABEL = 1 << 16  # a keyword's number: its label's place times this, and its place within the label
 
-    The forms of the few keywords are listed here, so the words of the texts are compared as they are.
+
+def _text(s: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _lookup(entries: dict[str, list[str]], kind: str) -> str:
+    """SQL of an array of small maps, one per checksum of the key, so that a look-up does not go through all keys."""
+    n = 1 << max(0, (len(entries) // 2).bit_length())
+    cells: list[list[str]] = [[f"'', CAST(array() AS ARRAY<{kind}>)"] for _ in range(n)]
+    for key, values in entries.items():
+        cells[zlib.crc32(key.encode()) % n].append(f"{_text(key)}, array({', '.join(values)})")
+    return f"array({', '.join(f'map({chr(44).join(c)})' for c in cells)})"
+
+
+def _found(keys: str, entries: dict[str, list[str]], kind: str) -> str:
+    """SQL of all entries of the keys of an array; keys without entries are passed over."""
+    if not entries:
+        return f"CAST(array() AS ARRAY<{kind}>)"
+    known = ", ".join(map(_text, entries))
+    n = 1 << max(0, (len(entries) // 2).bit_length())
+    hits = f"filter({keys}, w -> w IN ({known}))"
+    return f"flatten(transform({hits}, w -> element_at({_lookup(entries, kind)}[CAST(crc32(CAST(w AS BINARY)) % {n} AS INT)], w)))"
+
+
+def _any_part(parts: set[str]) -> str:
+    """One regular expression that looks ahead from any place for the longest of the parts that starts there.
+
+    Parts with a common beginning share it, so at every place a search follows one branch.
     """
-    hits = F.lit(0)
-    for k in keywords:
-        found = F.col("_lower").contains(k.lower())
-        words = re.findall(r"\w+", k.lower())
-        every = [F.arrays_overlap("_words", F.array(*[F.lit(f) for f in same_singular(w)])) for w in words]
-        if every:
-            found = found | reduce(lambda x, y: x & y, every)
-        hits = hits + found.cast("int")
-    return hits
+    tree: dict = {}
+    for p in parts:
+        node = tree
+        for sign in p:
+            node = node.setdefault(sign, {})
+        node[""] = {}
+
+    def rule(node: dict) -> str:
+        ways = [sign + rule(below) for sign, below in sorted(node.items()) if sign]
+        if not ways:
+            return ""
+        return ways[0] if len(ways) == 1 and "" not in node else f"(?:{'|'.join(ways)})" + "?" * ("" in node)
+
+    return f"(?=[{''.join(sorted(tree))}])(?=({rule(tree)}))"
+
+
+def _find_keywords(df: DataFrame, keywords: dict[str, list[str]]) -> DataFrame:
+    """Adds ``_numbers``: of the keywords in ``_lower`` as a phrase, or with a form of each of their words among its words.
+
+    A keyword is entered under its longest word. The forms of that word are looked up among the words of the text, and the
+    word itself anywhere in the text, as a phrase may begin or end inside a word; the keyword's other words, and the
+    phrase as a whole, are tested for the few keywords that this brings up. Up to ``FEW`` phrases are tested one by one,
+    which is cheaper; so are keywords without a word.
+    """
+    forms: set[str] = set()
+    by_form: dict[str, list[str]] = {}
+    by_part: dict[str, list[str]] = {}
+    tested: list[str] = []  # phrases that are tested in every text
+    few = sum(map(len, keywords.values())) <= FEW
+    for i, words in enumerate(keywords.values()):
+        for j, keyword in enumerate(words):
+            number, low = i * _LABEL + j, keyword.lower()
+            phrase = f"named_struct('number', {number}, 'phrase', {_text(low)})"
+            own = sorted(set(re.findall(r"\w+", low)), key=lambda w: (-len(w), w))
+            if few or not own:
+                tested.append(phrase)
+            else:
+                by_part.setdefault(own[0], []).append(phrase)
+            if own:
+                listed = [same_singular(w) for w in own]
+                forms.update(f for some in listed for f in some)
+                rest = ", ".join(f"array({', '.join(map(_text, some))})" for some in listed[1:]) or "CAST(NULL AS ARRAY<STRING>)"
+                for f in listed[0]:
+                    by_form.setdefault(f, []).append(f"named_struct('number', {number}, 'rest', array({rest}))")
+    # a part that is found stands for all parts it starts with
+    starts = {p: [e for k in range(1, len(p) + 1) for e in by_part.get(p[:k], ())] for p in by_part}
+    by_word, by_phrase = "STRUCT<number: INT, rest: ARRAY<ARRAY<STRING>>>", "STRUCT<number: INT, phrase: STRING>"
+    some = f"array_distinct(filter(_words, w -> w IN ({', '.join(map(_text, sorted(forms)))})))" if forms else "CAST(array() AS ARRAY<STRING>)"
+    inside = F.regexp_extract_all("_lower", F.lit(_any_part(set(by_part))), F.lit(1)) if by_part else F.array().cast("array<string>")
+    whole = f"filter({_found('_hits', by_form, by_word)}, k -> forall(k.rest, f -> f IS NULL OR arrays_overlap(f, _hits)))"
+    phrases = f"concat({_found('_parts', starts, by_phrase)}, CAST(array({', '.join(tested)}) AS ARRAY<{by_phrase}>))"
+    numbers = f"array_distinct(concat(transform({whole}, k -> k.number), transform(filter({phrases}, k -> contains(_lower, k.phrase)), k -> k.number)))"
+    staged = df.withColumn("_words", F.split("_lower", _NO_WORD)).withColumn("_hits", F.expr(some))
+    return staged.withColumn("_parts", F.array_distinct(inside)).withColumn("_numbers", F.expr(numbers))
 
 
 def keyword_label(
@@ -82,22 +156,18 @@ def keyword_label(
     Ties go to the label named first. A text holding an override phrase gets that label with score 1.
     """
     overrides = {FULL_RUN: FULL_RUN_PHRASES} if overrides is None else overrides
-    lower = F.lower(ref(text))
-    staged = df.withColumn("_lower", lower).withColumn("_words", F.array_distinct(F.split("_lower", _NO_WORD)))
-    ranked = F.array(
-        *[
-            F.struct(_keyword_hits(words).alias("hits"), F.lit(-i).alias("place"), F.lit(lab).alias("label"))
-            for i, (lab, words) in enumerate(keywords.items())
-        ]
-    )
-    staged = staged.withColumn("_ranked", F.sort_array(ranked, asc=False)).withColumn(
-        "_n", F.regexp_count("_lower", F.lit(_TOKEN))
-    )
-    best = F.get("_ranked", F.lit(0))
-    second = F.coalesce(F.get("_ranked", F.lit(1))["hits"], F.lit(0))
+    staged = _find_keywords(df.withColumn("_lower", F.lower(ref(text))), keywords)
+    labels = F.transform("_numbers", lambda k: F.floor(k / F.lit(_LABEL)).cast("int"))
+    names = F.array(*[F.lit(lab) for lab in keywords]).cast("array<string>")
+    count = lambda i: F.size(F.filter("_labels", lambda x: x == i)).alias("hits")
+    ranked = F.transform(F.array_distinct("_labels"), lambda i: F.struct(count(i), (-i).alias("place"), F.get(names, i).alias("label")))
+    staged = staged.withColumn("_labels", labels).withColumn("_ranked", F.sort_array(ranked, asc=False))
+    staged = staged.withColumn("_n", F.regexp_count("_lower", F.lit(_TOKEN)))
+    best, second = (F.get("_ranked", F.lit(i)) for i in (0, 1))
+    best_hits, second = F.coalesce(best["hits"], F.lit(0)), F.coalesce(second["hits"], F.lit(0))
     per = F.greatest(F.col("_n"), F.lit(1)).cast("double")
-    label = F.when(best["hits"] == 0, F.lit(default)).otherwise(best["label"])
-    score, margin = best["hits"] / per, best["hits"] / per - second / per
+    label = F.when(best_hits == 0, F.lit(default)).otherwise(best["label"])
+    score, margin = best_hits / per, best_hits / per - second / per
     for name, phrases in reversed(overrides.items()):
         hit = any_of(F.col("_lower"), phrases)
         label = F.when(hit, F.lit(name)).otherwise(label)

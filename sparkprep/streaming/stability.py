@@ -21,7 +21,7 @@ class Baseline:
 
 
 def baseline(df: DataFrame, cols: list[str], n: int = 10) -> Baseline:
-    edge = {c: e for c, e in bins.edges(df, cols, n).items() if len(e) > 1}
+    edge = {c: e for c, e in bins.edges(df, cols, n)[0].items() if len(e) > 1}
     found = bins.melt(df, edge, {}, closed="left").groupBy("feature", "bin").count().collect()  # n rows per feature
     return Baseline(edge, {(r["feature"], r["bin"]): r["count"] for r in found})
 

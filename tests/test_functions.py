@@ -31,12 +31,48 @@ SHAPES = {
 
 @pytest.mark.parametrize("shape", SHAPES)
 def test_narrowed_quantiles_are_exact(spark, monkeypatch, shape):
-    monkeypatch.setattr(quantiles, "SAMPLE_ROWS", 200)
-    monkeypatch.setattr(quantiles, "GATHER_ROWS", 20)
+    """A coarse sketch, and intervals of one or 20 rows at most: several rounds are needed."""
+    monkeypatch.setattr(quantiles, "SKETCH", 40)
+    monkeypatch.setattr(quantiles, "_SLACK", 0.05)
+    monkeypatch.setattr(quantiles, "GRID", 16)
     values = SHAPES[shape]
-    got = quantiles.fit(frame(spark, values), ["x"], PROBS, exact_rows=0)["x"]
     want = np.quantile([v for v in values if v is not None], PROBS)
-    np.testing.assert_allclose(got, want, rtol=1e-12)
+    for rows in (1, 20):
+        got = quantiles.fit(frame(spark, values), ["x"], PROBS, exact_rows=rows)["x"]
+        np.testing.assert_allclose(got, want, rtol=1e-12)
+
+
+def test_quantiles_outside_their_brackets_are_repaired(spark, monkeypatch):
+    """Brackets that miss the ranks cost a read, not the result."""
+    monkeypatch.setattr(quantiles, "_around", lambda p: [0.4, 0.6])
+    for rows in (1, 50_000):
+        got = quantiles.fit(frame(spark, SHAPES["hot_low"]), ["x"], PROBS, exact_rows=rows)["x"]
+        np.testing.assert_allclose(got, np.quantile(SHAPES["hot_low"], PROBS), rtol=1e-12)
+
+
+def reads(spark, work):
+    """What work() returns, and how often Spark scanned a table for it: stages that read input, each once."""
+    sc, group = spark.sparkContext, f"g{random.random()}"
+    sc.setJobGroup(group, group)
+    try:
+        out = work()
+    finally:
+        sc._jsc.clearJobGroup()
+    return out, len(sc.statusTracker().getJobIdsForGroup(group))
+
+
+def test_quantiles_take_two_reads_and_three_beyond_the_bound(spark):
+    df = spark.range(0, 300_000, 1, 8).select(
+        F.rand(3).alias("x"), (F.col("id") % 50).cast("double").alias("few"), F.when(F.col("id") % 3 > 0, F.randn(5)).alias("gaps")
+    )
+    cols, probs = ["x", "few", "gaps"], [0.01, 0.25, 0.5, 0.77, 0.99]
+    table = df.toPandas()
+    want = {c: np.quantile(table[c].dropna(), probs) for c in cols}
+    for rows, most in ((50_000, 4), (20, 6)):  # a read is a job for the tasks that scan and one for their results
+        got, jobs = reads(spark, lambda rows=rows: quantiles.fit(df, cols, probs, exact_rows=rows, also={"n": F.count(F.lit(1))}))
+        assert jobs <= most and got.pop("n") == 300_000
+        for c in cols:
+            np.testing.assert_allclose(got[c], want[c], rtol=1e-12)
 
 
 def test_quantiles_of_nothing(spark):
@@ -58,7 +94,7 @@ def test_approx_quantiles_are_close(spark):
 @pytest.mark.parametrize("values", [list(map(float, [1, 1, 1, 2, 3, 4, 5, 5, 5, 9])), [0.0] * 8 + [1.0, 2.0], list(map(float, range(23)))])
 def test_right_closed_bins_equal_qcut(spark, values):
     df = frame(spark, values)
-    edge = bins.edges(df, ["x"], 5)["x"]
+    edge = bins.edges(df, ["x"], 5)[0]["x"]
     got = {r["x"]: r["b"] for r in df.select("x", bins.index(F.col("x"), edge).alias("b")).collect()}
     want = pd.qcut(pd.Series(values), 5, labels=False, duplicates="drop")
     assert got == dict(zip(values, want))
@@ -87,10 +123,10 @@ def test_clamped_bins(spark):
     assert sorted(r["b"] for r in df.collect()) == [0, 0, 1]
 
 
-@pytest.mark.parametrize("per, tree", [(10**9, 200), (40, 200), (7, 200), (7, 3)])
-def test_running_sum(spark, monkeypatch, per, tree):
-    monkeypatch.setattr(order, "_TREE", tree)
-    monkeypatch.setattr(order, "ROWS_PER_BUCKET", per)
+@pytest.mark.parametrize("per, fan", [(10**9, 1000), (40, 1000), (7, 1000), (7, 3)])
+def test_running_sum(spark, monkeypatch, per, fan):
+    monkeypatch.setattr(order, "FAN", fan)
+    monkeypatch.setattr(order, "ROWS_PER_RANGE", per)
     rng = random.Random(3)
     rows = [(rng.choice("abc"), i, rng.randint(0, 9)) for i in range(500)]
     df = spark.createDataFrame(rows, "g string, k int, v int").repartition(6)
@@ -104,9 +140,30 @@ def test_running_sum(spark, monkeypatch, per, tree):
         assert grouped[k] == per_group[g]
 
 
+def test_ten_thousand_ranges(spark):
+    """Earlier ranges are summed up by a tree of several levels; no level sees more than FAN of them."""
+    totals = spark.range(10_000).select(F.col("id").alias("_range"), F.when(F.col("id") % 7 == 0, F.col("id")).alias("v"))
+    sums = {r["_range"]: r["v"] for r in order._earlier(totals, ["v"], 10_000).collect()}
+    last = {r["_range"]: r["v"] for r in order._earlier(totals, ["v"], 10_000, last=True).collect()}
+    total, seen = 0, None
+    for i in range(10_000):
+        assert (sums[i] or 0) == total and last[i] == seen
+        if i % 7 == 0:
+            total, seen = total + i, i
+
+
+def test_rows_in_five_hundred_ranges(spark, monkeypatch):
+    monkeypatch.setattr(order, "ROWS_PER_RANGE", 40)
+    monkeypatch.setattr(order, "FAN", 8)
+    df = spark.range(0, 20_000, 1, 4).select(F.col("id").alias("k"), (F.col("id") % 10).alias("v"))
+    got = order.running(df, ["k"], {"s": F.col("v")}, stored=True)
+    wrong = got.where(F.col("s") != F.floor(F.col("k") / 10) * 45 + (F.col("k") % 10) * (F.col("k") % 10 + 1) / 2)
+    assert got.count() == 20_000 and wrong.count() == 0
+
+
 @pytest.mark.parametrize("per", [10**9, 60])
 def test_rank_of_text(spark, monkeypatch, per):
-    monkeypatch.setattr(order, "ROWS_PER_BUCKET", per)
+    monkeypatch.setattr(order, "ROWS_PER_RANGE", per)
     words = [f"w{i:04d}é" if i % 2 else f"W{i}" for i in range(700)]
     df = spark.createDataFrame([(w,) for w in words], "w string").repartition(4)
     got = {r["w"]: r["p"] for r in order.rank(df, ["w"], "p").collect()}
@@ -116,7 +173,7 @@ def test_rank_of_text(spark, monkeypatch, per):
 @pytest.mark.parametrize("per", [10**9, 50, 9])
 @pytest.mark.parametrize("by", [[], ["p"]])
 def test_forward_fill(spark, monkeypatch, per, by):
-    monkeypatch.setattr(order, "ROWS_PER_BUCKET", per)
+    monkeypatch.setattr(order, "ROWS_PER_RANGE", per)
     rng = random.Random(5)
     # one partition value holds a third of the rows, and one stretch is empty for long
     rows = [(0 if i % 3 == 0 else rng.randint(1, 5), i, None if 100 < i < 300 or rng.random() < 0.6 else float(i)) for i in range(600)]
@@ -144,6 +201,32 @@ def test_lookup_small_and_large(spark, monkeypatch, limit):
     assert got == [(i, k, None if k is None else len(k)) for k, i in rows]
 
 
+def test_values_that_turn_hot_after_the_fit(spark, monkeypatch):
+    """A later batch with one value in a third of its rows: known, rare in the fit, or unknown to it."""
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 3)
+    old = spark.range(20_000).select(F.concat(F.lit("v"), F.col("id") % 5_000).alias("k"))
+    table = counts.value_counts(old, ["k"]).withColumn("code", F.length("value"))
+    found = lookup.freeze(table, {"k": 5_000})["k"]
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        for hot in ("v17", "new"):
+            batch = spark.range(0, 30_000, 1, 6).select(
+                "id", F.when(F.col("id") % 3 == 0, F.lit(hot)).otherwise(F.concat(F.lit("v"), F.col("id") % 5_000)).alias("k")
+            )
+            out = lookup.join(batch, F.col("k"), found, "x_").withColumn("task", F.spark_partition_id())
+            rows = out.toPandas()
+            assert len(rows) == 30_000
+            want = [None if k == "new" else len(k) for k in rows["k"]]
+            assert [None if c != c else c for c in rows["x_code"]] == want
+            per_task = rows.groupby("task").size()
+            assert per_task.max() <= 2 * per_task.median()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+
+
 def test_top_and_mode_break_ties_by_value(spark):
     df = spark.createDataFrame([("b", 2), ("a", 1), ("a", 2), ("b", 1), ("c", 9), (None, 3), (None, 3), (None, 3)], "t string, n int")
     top = [(r["value"], r["n"]) for r in counts.top(counts.value_counts(df, ["t"]), 2).orderBy("rank").collect()]

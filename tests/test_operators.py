@@ -2,6 +2,9 @@
 
 import math
 
+import random
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -275,6 +278,34 @@ def test_keyword_labels(spark):
     }
 
 
+def _plain_keyword_label(low, keywords):
+    """(label, hits per word, lead): keyword by keyword and word by word."""
+    words = {text.singular(w) for w in re.findall(r"\w+", low)}
+    found = lambda k: k in low or (bool(re.findall(r"\w+", k)) and all(text.singular(w) in words for w in re.findall(r"\w+", k)))
+    hits = [sum(found(k.lower()) for k in some) for some in keywords.values()]
+    best = max(range(len(hits)), key=lambda i: (hits[i], -i))
+    second, n = sorted(hits, reverse=True)[1], max(1, len(low.split()))
+    return list(keywords)[best] if hits[best] else "general_query", hits[best] / n, hits[best] / n - second / n
+
+
+@pytest.mark.parametrize("many", [20, 1000])
+def test_keywords_against_a_plain_loop(spark, many):
+    rng = random.Random(many)
+    parts = ["".join(rng.choice("abcdeis") for _ in range(rng.randint(1, 5))) for _ in range(400)] + ["été", "naïve", "data_set"]
+    draw = lambda: rng.choice(parts) + rng.choice(["", "", "s", "es"])
+    keywords = {f"l{i}": [" ".join(draw() for _ in range(rng.choice([1, 1, 1, 2, 3]))) for _ in range(many // 10)] for i in range(10)}
+    keywords["l0"] += ["it's", "a'b \\", "(x)", "c++"]
+    keywords["l1"].append(keywords["l2"][0])
+    texts = [" ".join(rng.choice([draw(), draw().upper() + ",", "it's", "(x)", "c++"]) for _ in range(rng.randint(0, 12))) for _ in range(150)]
+    texts += ["-", "x" * 5000 + " " + keywords["l3"][0] * 2]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r["id"]: r for r in text.keyword_label(df, "t", keywords, overrides={}).collect()}
+    for i, t in enumerate(texts):
+        label, score, margin = _plain_keyword_label(t.lower(), keywords)
+        assert got[i]["label"] == label
+        assert (got[i]["label_score"], got[i]["label_margin"]) == pytest.approx((score, margin))
+
+
 def test_weighted_labels(spark):
     patterns = {"use_existing": "current", "create_new": "new model", "educational": "method"}
     texts = ["build a table of deciles", "a new model", "what are different methods", "create a new table", "skip it"]

@@ -1,10 +1,14 @@
 """n-gram Jaccard join: a MinHash LSH forest with exact verification.
 
-Documents with the same set of word shingles form a class. A class has a min-hash signature, arranged in trees: in each
-tree it is a path, and classes that share a prefix of the path meet in a bucket. The prefix is shortened from the full
-path until the share of pairs at the threshold that meet in some tree reaches the target recall. In a bucket, classes
-whose signatures do not contradict the threshold are tied together; the tied groups are verified exactly, block against
-block, from the shingles themselves. Only links that are found are counted, per class; pairs are never written out.
+Documents with the same set of word shingles form a class, and a class has a min-hash signature. In each tree of the forest
+the signature is a path, and classes that share a prefix of it meet. The longest prefix is matched first; every pair that
+meets is verified exactly from the shingles, and the prefix is shortened by one as long as the links found so far are too
+few: a link of similarity s is found at a depth with a known chance p(s), so links stand for 1/p(s) links each, and the
+search ends when those found are the target share of those they stand for, or at the depth where p is that large even
+at the threshold. A pair is verified once: at the longest prefix it shares, in the first tree where it does.
+
+Large meetings are cut into tiles, block against block; a tile holds a bounded number of classes and bytes. Only links that
+are found are counted, per class; pairs are never written out.
 """
 
 from __future__ import annotations
@@ -18,8 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 from .graph import components
 from .shared import HashCache, free, mixed, python_columns, stored, word_hashes
 
-SHORT = 8  # runs up to so many rows are compared at once
-TAGS = 64  # one byte of each of so many min-hashes, to compare signatures within a bucket
+TAGS = 64  # one byte of each of so many min-hashes, to compare signatures of classes that meet
+BLOCK_BYTES = 32 << 20  # bytes of shingles in a block of a tile, but for a single class above
 
 
 def shingles(text: str | None, words: int, cache: HashCache) -> np.ndarray:
@@ -35,29 +39,52 @@ def shingles(text: str | None, words: int, cache: HashCache) -> np.ndarray:
 
 
 class Forest:
-    """Trees of min-hash paths. depth is the prefix that gives the recall at the threshold."""
+    """Trees of min-hash paths. depths are the prefixes to match, longest first; the last gives the recall at the threshold."""
 
     def __init__(self, threshold: float, recall: float, trees: int, longest: int, seed: int):
         self.trees = trees
-        self.depth = longest
-        while self.depth > 1 and 1 - (1 - threshold**self.depth) ** trees < recall:
-            self.depth -= 1
+        shortest = longest
+        while shortest > 1 and self.chance(threshold, shortest) < recall:
+            shortest -= 1
+        self.depths = list(range(longest, shortest - 1, -1))
         rng = np.random.default_rng(seed)
-        size = max(TAGS, trees * self.depth)
+        size = max(TAGS, trees * longest)
         self.factor = rng.integers(1, 2**63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.offset = rng.integers(0, 2**63, size, dtype=np.uint64)
 
-    def signature(self, s: np.ndarray) -> tuple[np.ndarray, bytes]:
-        """(a bucket for each tree, the tags)."""
+    def chance(self, similarity: float | np.ndarray, depth: int) -> float | np.ndarray:
+        """That two classes of a similarity share a prefix of a depth in some tree."""
+        return 1 - (1 - similarity**depth) ** self.trees
+
+    def signature(self, s: np.ndarray) -> tuple[bytes, bytes]:
+        """(for each depth, as in depths, and each tree a number that names the prefix; the tags)."""
         low = np.full(len(self.factor), 2**32 - 1, np.uint32)
         for at in range(0, len(s), 256):  # blocks that stay in the cache
             h = (s[at : at + 256, None] * self.factor[None, :] + self.offset[None, :]) >> np.uint64(32)
             np.minimum(low, h.astype(np.uint32).min(0), out=low)
-        path = low[: self.trees * self.depth].reshape(self.trees, self.depth).astype(np.uint64)
-        key = np.arange(1, self.trees + 1, dtype=np.uint64)
-        for k in range(self.depth):
+        longest = self.depths[0]
+        path = low[: self.trees * longest].reshape(self.trees, longest).astype(np.uint64)
+        key, keys = np.arange(1, self.trees + 1, dtype=np.uint64), {}
+        for k in range(longest):
             key = mixed(key * np.uint64(0x100000001B3) + path[:, k])
-        return key.view(np.int64), mixed(low[:TAGS].astype(np.uint64)).astype(np.uint8).tobytes()
+            keys[k + 1] = key.view(np.int64)
+        tags = mixed(low[:TAGS].astype(np.uint64)).astype(np.uint8)
+        return b"".join(keys[d].tobytes() for d in self.depths), tags.tobytes()
+
+    def pairs(self, keys: np.ndarray, tags: np.ndarray, left: np.ndarray, right: np.ndarray, level: int, tree: int, lowest: float) -> np.ndarray:
+        """Which rows on the left and right are to be verified here: this is the longest prefix they share and the first
+        tree where they do, and their signatures do not contradict the threshold. keys is (row, depth, tree)."""
+        out = np.zeros((len(left), len(right)), bool)
+        for at in range(0, len(left), 64):
+            mine = left[at : at + 64]
+            here = (tags[mine][:, None, :] == tags[right][None, :, :]).mean(2) >= lowest
+            here &= keys[mine, level, tree][:, None] == keys[right, level, tree][None, :]
+            if tree:
+                here &= ~(keys[mine, level, :tree][:, None, :] == keys[right, level, :tree][None, :, :]).any(2)
+            if level:
+                here &= ~(keys[mine, level - 1][:, None, :] == keys[right, level - 1][None, :, :]).any(2)
+            out[at : at + 64] = here & (mine[:, None] != right[None, :])
+        return out
 
 
 def _spans(b: pa.RecordBatch, columns: list[str]) -> Iterator[tuple[tuple, int, int]]:
@@ -108,13 +135,14 @@ def _stars(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tupl
 def _tiles(rows: DataFrame, group: list[str], node: str, size: int) -> DataFrame:
     """Each row once for every tile it belongs to: the groups are cut into blocks, a tile is a pair of blocks.
 
-    rows has the column many, the rows of its group. tile_a and tile_b name the tile, side says which of its blocks.
+    rows has the columns many and heavy, the rows and bytes of its group. tile_a and tile_b name the tile, side says which
+    of its blocks.
     """
-    blocks = F.ceil(F.col("many") / size).cast("int")
+    blocks = F.ceil(F.greatest(F.col("many") / size, F.col("heavy") / BLOCK_BYTES)).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64(node, F.lit(17)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.select(
-        *[c for c in rows.columns if c not in ("blocks", "block", "other", "many")],
+        *[c for c in rows.columns if c not in ("blocks", "block", "other", "many", "heavy")],
         F.least("block", "other").alias("tile_a"), F.greatest("block", "other").alias("tile_b"), (F.col("block") > F.col("other")).cast("int").alias("side"),
     )
 
@@ -150,6 +178,18 @@ def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, width:
     return out
 
 
+def _pairwise(sets: list[np.ndarray], mask: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the masked pairs: one by one where they are few, else by matrix products."""
+    lines, columns = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
+    both = np.zeros(mask.shape, np.int64)
+    if mask.sum() <= 2 * (len(lines) + len(columns)):
+        for i, j in zip(*np.nonzero(mask)):
+            both[i, j] = len(np.intersect1d(sets[left[i]], sets[right[j]], assume_unique=True))
+    else:
+        both[np.ix_(lines, columns)] = _common(sets, left[lines], right[columns])
+    return both
+
+
 def marked(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -158,7 +198,7 @@ def marked(
     threshold: float = 0.8,
     recall: float = 0.9999,
     trees: int = 24,
-    longest: int = 8,
+    longest: int = 7,
     block: int = 512,
     seed: int = 6,
 ) -> DataFrame:
@@ -177,97 +217,104 @@ def marked(
         cache = HashCache()
 
         def batch(b):
-            name_a, name_b, keys, tags = [], [], [], []
+            name_a, name_b, keys, tags, size = [], [], [], [], []
             for t in b.column("text").to_pylist():
                 s = shingles(t, words, cache)
                 k = len(s)
-                key, tag = forest.signature(s) if k else (np.empty(0, np.int64), b"")
+                key, tag = forest.signature(s) if k else (b"", b"")
                 name_a.append(int(np.bitwise_xor.reduce(mixed(s + np.uint64(1))).view(np.int64)) if k else 0)
                 name_b.append(int((mixed(s).sum(dtype=np.uint64) + np.uint64(k)).view(np.int64)) if k else 0)
-                keys.append(key.tobytes()), tags.append(tag)
-            return {"name_a": name_a, "name_b": name_b, "keys": keys, "tags": tags}
+                keys.append(key), tags.append(tag), size.append(8 * k)
+            return {"name_a": name_a, "name_b": name_b, "keys": keys, "tags": tags, "bytes": size}
 
         return batch
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     hashed = slim.select("id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), "text")
-    signs = stored(python_columns(hashed, signed, ["id", "text_hash"], "name_a long, name_b long, keys binary, tags binary"), "signatures")
+    signs = stored(python_columns(hashed, signed, ["id", "text_hash"], "name_a long, name_b long, keys binary, tags binary, bytes long"), "signatures")
     some = F.length("tags") > 0
     # one row per class; a class is known by two 64-bit sums over its shingles, its first row is (id, text_hash)
     spot = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")
     classes = signs.where(some).groupBy("name_a", "name_b").agg(
-        F.min(spot).alias("spot"), F.count(F.lit(1)).alias("rows"), F.first("keys").alias("keys"), F.first("tags").alias("tags")
+        F.min(spot).alias("spot"), F.count(F.lit(1)).alias("rows"), F.first("keys").alias("keys"), F.first("tags").alias("tags"), F.first("bytes").alias("bytes")
     )
     classes = classes.withColumn("node", F.xxhash64("name_a", "name_b"))
-    classes = stored(classes.select("node", "name_a", "name_b", F.col("spot.id").alias("first_id"), F.col("spot.text_hash").alias("first_hash"), "rows", "keys", "tags"), "classes")
+    classes = stored(classes.select("node", "name_a", "name_b", F.col("spot.id").alias("first_id"), F.col("spot.text_hash").alias("first_hash"), "rows", "keys", "tags", "bytes"), "classes")
+
+    lowest = threshold - 5 * np.sqrt(threshold * (1 - threshold) / TAGS)
+    found, known = None, None
+    for level in range(len(forest.depths)):
+        meetings = _met(classes, forest, level, block, lowest)
+        nodes = meetings.select("node").distinct()
+        fresh = nodes if known is None else nodes.join(known.select("node"), "node", "left_anti")
+        own = _shingled(hashed, classes.join(fresh, "node"), words)
+        known = own if known is None else known.unionByName(own)
+        here = _verified(meetings.join(known, "node"), forest, level, threshold, lowest)
+        found = here if found is None else found.unionByName(here)
+        got = found.agg(F.sum("pairs").alias("found"), F.sum(F.element_at("stands", level + 1)).alias("stands")).first()
+        if got["found"] and got["found"] >= recall * got["stands"]:
+            break
+    groups = components(found.where("a <> b").select("a", "b"))
+    counts = found.where("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    named = classes.select("node", "name_a", "name_b", "first_id", "rows").join(groups, "node", "left").join(counts, "node", "left")
+    named = stored(named.withColumn("label", F.coalesce("label", "node")), "named")
+    heads = named.groupBy("label").agg(F.min("first_id").alias("group_id"))
+    named = named.join(heads, "label").select(
+        "name_a", "name_b", "label", F.col("first_id").alias("class_id"), "group_id", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("links")
+    )
+    out = signs.select("id", "text_hash", "name_a", "name_b", some.alias("some")).join(named, ["name_a", "name_b"], "left")
+    one = lambda c: F.when(F.col("some"), F.col(c)).otherwise(F.col("id")).alias(c)
+    return out.select("id", "text_hash", "label", one("class_id"), one("group_id"), F.when(F.col("some"), F.col("links")).otherwise(F.lit(0)).alias("links"), "some")
+
+
+def _met(classes: DataFrame, forest: Forest, level: int, block: int, lowest: float) -> DataFrame:
+    """(prefix, tree, tile_a, tile_b, side, node) of the classes that have a pair to verify in a tile of a prefix.
+
+    The trees of a depth are sorted by their prefixes: a run of equal ones is a meeting.
+    """
+    depths, trees = len(forest.depths), forest.trees
 
-    # classes that share a bucket and may be similar are tied
     def paths():
         def batch(b):
-            keys = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(k, np.int64) for k in b.column("keys").to_pylist())])
-            return np.repeat(np.arange(len(b)), forest.trees), {"bucket": keys}
+            own = b.column("keys").to_pylist()
+            here = [np.frombuffer(k, np.int64).reshape(depths, trees)[level] for k in own]
+            prefix = np.concatenate([np.empty(0, np.int64), *here])
+            return np.repeat(np.arange(len(b)), trees), {"prefix": prefix, "tree": np.tile(np.arange(trees, dtype=np.int32), len(b))}
 
         return batch
 
-    spread = python_columns(classes, paths, ["node"], "bucket long")
-    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    members = stored(spread.join(shared, "bucket"), "buckets")
-    tagged = members.join(classes.select("node", "tags"), "node")
-    lowest = threshold - 5 * np.sqrt(threshold * (1 - threshold) / TAGS)
+    spread = python_columns(classes.select("node", "bytes", "keys"), paths, ["node", "bytes"], "prefix long, tree int")
+    shared = spread.groupBy("prefix", "tree").agg(F.count(F.lit(1)).alias("many"), F.sum("bytes").alias("heavy")).where("many > 1")
+    members = stored(spread.drop("bytes").join(shared, ["prefix", "tree"]), "members")
+    tiles = _tiles(members.join(classes.select("node", "keys", "tags"), "node"), ["prefix", "tree"], "node", block)
+    tiles = tiles.repartition("prefix", "tree", "tile_a", "tile_b").sortWithinPartitions("prefix", "tree", "tile_a", "tile_b", "node")
 
-    def tied(batches):
-        def pairs(t: pa.Table) -> pa.RecordBatch | None:
-            """Ties in whole runs: of short runs all pairs at once, of long ones ties to the smallest."""
-            node = t.column("node").to_numpy()
-            tags = np.frombuffer(b"".join(t.column("tags").to_pylist()), np.uint8).reshape(-1, TAGS)
-            where = [t.column(c).to_numpy() for c in ("bucket", "tile_a", "tile_b")]
-            start = np.flatnonzero(np.r_[True, np.any([np.diff(w) != 0 for w in where], 0)])
-            size = np.diff(np.r_[start, len(node)])
-            short = np.repeat((size <= SHORT) & (where[1][start] == where[2][start]), size)
-            left_over = np.repeat(start + size, size) - np.arange(len(node))  # rows of the run from here on
-            a, b = [], []
-            for d in range(1, SHORT):
-                i = np.flatnonzero(short & (left_over > d))
-                i = i[(tags[i] == tags[i + d]).mean(1) >= lowest]
-                a.append(node[i]), b.append(node[i + d])
-            for at, many in zip(start, size):
-                if short[at]:
-                    continue
-                own, label = tags[at : at + many], node[at : at + many]
-                left, right = _tile_sides(t.slice(at, many))
-                alike = np.zeros((len(left), len(right)), bool)
-                for k in range(0, len(left), 64):
-                    alike[k : k + 64] = (own[left[k : k + 64]][:, None, :] == own[right][None, :, :]).mean(2) >= lowest
-                found = _stars(alike, label[left], label[right])
-                a.append(np.array([x for x, _ in found], np.int64)), b.append(np.array([y for _, y in found], np.int64))
-            a, b = np.concatenate(a), np.concatenate(b)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        held = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
-            last = [t.column(c)[-1].as_py() for c in ("bucket", "tile_a", "tile_b")] if len(t) else None
-            if last is None:
-                continue
-            same = np.all([t.column(c).to_numpy() == v for c, v in zip(("bucket", "tile_a", "tile_b"), last)], 0)
-            cut = len(t) - int(np.argmin(same[::-1])) if not same.all() else 0  # the last run may go on in the next batch
-            if cut:
-                yield pairs(t.slice(0, cut))
-            held = t.slice(cut)
-        if held is not None and len(held):
-            yield pairs(held)
-
-    tiles = _tiles(tagged, ["bucket"], "node", block)
-    tiles = tiles.repartition("bucket", "tile_a", "tile_b").sortWithinPartitions("bucket", "tile_a", "tile_b", "node")
-    ties = components(tiles.mapInArrow(tied, "a long, b long"))
-
-    # the shingles of tied classes, once more from the text of their first row
-    ties = stored(ties, "ties")
-    ties = ties.join(ties.groupBy("label").agg(F.count(F.lit(1)).alias("many")), "label")
-    chosen = stored(ties.join(classes.select("node", "first_id", "first_hash", "rows"), "node"), "chosen")
+    def met(batches):
+        for (prefix, tree, tile_a, tile_b), t in _runs(batches, ["prefix", "tree", "tile_a", "tile_b"]):
+            keys, tags = _signatures(t, depths, trees)
+            left, right = _tile_sides(t)
+            if len(left) and len(right):
+                mask = forest.pairs(keys, tags, left, right, level, tree, lowest)
+                hit = np.unique(np.r_[left[mask.any(1)], right[mask.any(0)]])
+                if len(hit):
+                    t, n = t.take(pa.array(hit)), len(hit)
+                    names = ["prefix", "tree", "tile_a", "tile_b", "side", "node"]
+                    yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks() for c in names], names=names)
+
+    return stored(tiles.mapInArrow(met, "prefix long, tree int, tile_a int, tile_b int, side int, node long"), "meetings")
+
+
+def _signatures(t: pa.Table, depths: int, trees: int) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.int64).reshape(-1, depths, trees)
+    return keys, np.frombuffer(b"".join(t.column("tags").to_pylist()), np.uint8).reshape(-1, TAGS)
+
+
+def _shingled(hashed: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
+    """(node, rows, keys, tags, shingles) of the chosen classes, once more from the text of their first row."""
+    chosen = stored(chosen, "chosen")
     # always by a shuffle: the chosen rows grow with the documents
     texts = hashed.join(chosen.hint("merge"), hashed["id"].eqNullSafe(chosen["first_id"]) & (hashed["text_hash"] == chosen["first_hash"]))
+    texts = texts.select("node", "rows", "keys", "tags", "text")
 
     def sets():
         cache, seen = HashCache(), set()
@@ -278,51 +325,53 @@ def marked(
                 if node not in seen:  # rows that share id and text count once
                     seen.add(node)
                     at.append(i)
-            texts = b.column("text").take(pa.array(at, pa.int64())).to_pylist()
-            return at, {"shingles": [shingles(t, words, cache).tobytes() for t in texts]}
+            return at, {"shingles": [shingles(t, words, cache).tobytes() for t in b.column("text").take(pa.array(at, pa.int64())).to_pylist()]}
 
         return batch
 
-    full = python_columns(texts, sets, ["node", "label", "many", "rows"], "shingles binary")
-    full = _tiles(full, ["label"], "node", block)
-    full = full.repartition("label", "tile_a", "tile_b").sortWithinPartitions("label", "tile_a", "tile_b")
+    return stored(python_columns(texts, sets, ["node", "rows", "keys", "tags"], "shingles binary"), "shingles")
+
 
-    def verified(batches):
-        for _, t in _runs(batches, ["label", "tile_a", "tile_b"]):
+def _verified(meetings: DataFrame, forest: Forest, level: int, threshold: float, lowest: float) -> DataFrame:
+    """(a, b, links, pairs, tested, stands): ties of what is linked, links per class (a = b), and, on one row a tile, how many
+    pairs are linked and were tested, and for each depth how many links they stand for."""
+    depths, trees = len(forest.depths), forest.trees
+    names = ["prefix", "tree", "tile_a", "tile_b"]
+
+    def verify(batches):
+        for (_, tree, tile_a, tile_b), t in _runs(batches, names):
+            _, once = np.unique(t.column("node").to_numpy(), return_index=True)  # a skewed join may still bring a row twice
+            t = t.take(pa.array(once))
             node, rows = t.column("node").to_numpy(), t.column("rows").to_numpy()
-            _, once = np.unique(node, return_index=True)  # a skewed join may still bring a row twice
-            t, node, rows = t.take(pa.array(once)), node[once], rows[once]
             own = [np.frombuffer(s, np.uint64) for s in t.column("shingles").to_pylist()]
             left, right = _tile_sides(t)
             if not len(left) or not len(right):
                 continue
+            mask = forest.pairs(*_signatures(t, depths, trees), left, right, level, tree, lowest)
             size = np.array([len(s) for s in own])
-            both = _common(own, left, right)
-            linked = both >= threshold * (size[left][:, None] + size[right][None, :] - both) - 1e-9
-            linked &= node[left][:, None] != node[right][None, :]
+            both = _pairwise(own, mask, left, right)
+            whole = size[left][:, None] + size[right][None, :] - both
+            linked = mask & (both >= threshold * whole - 1e-9)
             links = np.zeros(len(node), np.int64)
             links[left] += linked @ rows[right]
-            if t.column("tile_a")[0].as_py() != t.column("tile_b")[0].as_py():
+            twice = 2 if tile_a == tile_b else 1  # a block against itself has every pair twice
+            if twice == 1:
                 links[right] += linked.T @ rows[left]
+            similar = both[linked] / whole[linked]
+            stands = [float((1 / forest.chance(similar, d)).sum() / twice) for d in forest.depths]
             edges = _stars(linked, node[left], node[right])
             hit = np.flatnonzero(links)
-            a = [*(e[0] for e in edges), *node[hit].tolist()]
-            b = [*(e[1] for e in edges), *node[hit].tolist()]
-            n = [0] * len(edges) + links[hit].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, n)], names=["a", "b", "links"])
-
-    found = stored(full.mapInArrow(verified, "a long, b long, links long"), "links")
-    groups = components(found.where("a <> b").select("a", "b"))
-    counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    named = classes.select("node", "name_a", "name_b", "first_id", "rows").join(groups, "node", "left").join(counts, "node", "left")
-    named = stored(named.withColumn("label", F.coalesce("label", "node")), "named")
-    heads = named.groupBy("label").agg(F.min("first_id").alias("group_id"))
-    named = named.join(heads, "label").select(
-        "name_a", "name_b", "label", F.col("first_id").alias("class_id"), "group_id", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("links")
-    )
-    out = signs.select("id", "text_hash", "name_a", "name_b", some.alias("some")).join(named, ["name_a", "name_b"], "left")
-    one = lambda c: F.when(F.col("some"), F.col(c)).otherwise(F.col("id")).alias(c)
-    return out.select("id", "text_hash", "label", one("class_id"), one("group_id"), F.when(F.col("some"), F.col("links")).otherwise(F.lit(0)).alias("links"), "some")
+            a = [int(node[0]), *(e[0] for e in edges), *node[hit].tolist()]
+            b = [int(node[0]), *(e[1] for e in edges), *node[hit].tolist()]
+            n = [0] * (1 + len(edges)) + links[hit].tolist()
+            rest = len(a) - 1
+            columns = [a, b, n, [int(linked.sum()) // twice] + [0] * rest, [int(mask.sum()) // twice] + [0] * rest]
+            out = [pa.array(x, pa.int64()) for x in columns]
+            out.append(pa.array([stands] + [[0.0] * depths] * rest, pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays(out, names=["a", "b", "links", "pairs", "tested", "stands"])
+
+    tiles = meetings.repartition(*names).sortWithinPartitions(*names)
+    return stored(tiles.mapInArrow(verify, "a long, b long, links long, pairs long, tested long, stands array<double>"), "links")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:

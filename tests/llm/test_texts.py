@@ -255,6 +255,53 @@ def test_contexts_reach_any_number_of_hops(spark):
     assert all(spans[i].startswith("phone:") for i in range(len(rows)))
 
 
+def test_chain_verifies_pairs_that_met(spark, monkeypatch):
+    """A chain of near copies: each text drops two words of the one before, so only close ones are alike."""
+    tested = []
+    whole = jaccard._verified
+
+    def counted(*args):
+        out = whole(*args)
+        tested.append(out.agg(F.sum("tested")).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    cache, found = jaccard.HashCache(), []
+    for n in (150, 300):
+        tested.clear()
+        words = [f"w{i}" for i in range(60 + 2 * n)]
+        texts = [" ".join(words[2 * i : 2 * i + 60]) for i in range(n)]
+        got = {r["doc_id"]: r for r in jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+        sets = [set(jaccard.shingles(t, 5, cache).tolist()) for t in texts]
+        near = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+        for i in range(n):
+            assert got[i]["links"] == sum(near(i, j) for j in range(max(0, i - 9), min(n, i + 10)) if j != i)
+            assert got[i]["group_id"] == 0
+        found.append(sum(tested))
+    assert found[1] <= 2.2 * found[0] and found[1] < 300 * 40
+
+
+def test_forest_stops_at_the_depth_the_links_need(spark):
+    """Copies with one word changed of 400 are found at the longest prefix; borderline pairs need shorter ones."""
+    rng = random.Random(3)
+    base = [" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 999)) for _ in range(400)) for _ in range(40)]
+    forest = jaccard.Forest(0.8, 0.9999, 24, 7, 6)
+    assert forest.depths == [7, 6, 5] and forest.chance(0.8, 5) >= 0.9999 > forest.chance(0.8, 6)
+    levels = []
+    whole = jaccard._met
+    try:
+        jaccard._met = lambda classes, forest, level, *rest: (levels.append(level), whole(classes, forest, level, *rest))[1]
+        close = base + [t.replace(t.split()[200], "zz", 1) for t in base]
+        got = jaccard.join(spark.createDataFrame(list(enumerate(close)), "doc_id long, text string")).collect()
+        assert levels == [0] and all(r["links"] == 1 for r in got)
+        levels.clear()
+        far = base + [" ".join(t.split()[:325]) for t in base]
+        got = jaccard.join(spark.createDataFrame(list(enumerate(far)), "doc_id long, text string")).collect()
+        assert levels == [0, 1, 2] and all(r["links"] == 1 for r in got)
+    finally:
+        jaccard._met = whole
+
+
 def _long_text(n):
     """About 2 MB with n identifiers, and what the fixed patterns find in it."""
     one = lambda i: [f"mail user{i}@host{i % 97}.example.com now", f"the host 10.{i % 250}.{i % 199}.{i % 77} is up", f"call +1 (375) 555-{1000 + i % 9000} today", f"ref 555 {1000000 + i} then"][i % 4]

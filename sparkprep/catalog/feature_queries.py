@@ -75,10 +75,18 @@ def _labelled(spark, folder):
     )
 
 
-@query("iv_filter", f"SELECT value, squared, target FROM ({_LABELLED})")
+_SCORED = ["value", "squared", "user_id"]
+
+
+@query(
+    "iv_filter",
+    f"""WITH t AS ({_LABELLED}) SELECT feature, {r("coalesce(iv, 0)", "score")}, coalesce(iv, 0) >= 0.1 AS kept FROM
+    (SELECT unnest([{", ".join(f"'{c}'" for c in _SCORED)}]) AS feature) LEFT JOIN ({_iv(_SCORED, "t")}) USING (feature)""",
+)
 def iv_filter(spark, folder):
-    """The value separates the classes, the user number does not."""
-    return features.filter_iv(_labelled(spark, folder), "target", 0.1)
+    """Which features stay follows from their information value."""
+    df = _labelled(spark, folder)
+    return _decided(features.iv(df, "target", _SCORED), "iv", features.filter_iv(df, "target", 0.1))
 
 
 _SAME = {"l_orderkey": "l_orderkey", "l_discount": "l_discount", "same": "7", "empty": "CAST(NULL AS {s})"}
@@ -322,17 +330,54 @@ def importance_filter_min(spark, folder):
     return _decided(scores, "score", features.filter_scores(df, "target", scores, min_score=0.1))
 
 
-@query(
-    "lasso_select",
-    f"""WITH t AS ({source("items", ["quantity", "price"])}), f AS (SELECT avg(quantity) AS m, avg(price) AS y FROM t),
-    z AS (SELECT coalesce(quantity, m) AS x, price AS y FROM t, f WHERE price IS NOT NULL),
-    g AS (SELECT covar_pop(x, y) / stddev_samp(x) AS c, stddev_pop(y) * 0.1 AS w, count(*) * 1.0 / (count(*) - 1) AS k FROM z)
-    SELECT 'quantity' AS feature, {r("greatest(abs(c) - w, 0) * k", "score", 0)} FROM g""",
-)
+# the discount lowers what is paid, the others have no part in it
+_LASSO = {
+    "discount": "CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_discount END", "quantity": "l_quantity", "tax": "l_tax", "line": "CAST(l_linenumber AS DOUBLE)",
+    "part": "CAST(l_partkey % 97 AS DOUBLE)", "supplier": "CAST(l_suppkey % 13 AS DOUBLE)",
+}
+_PAID = "l_extendedprice * (1 - l_discount)"
+_STRENGTHS = (0.0003, 0.003, 0.03, 0.3)
+
+
+def _lasso_sql() -> str:
+    """Fold sums, coordinate descent as a recursion over all folds and strengths, errors of the folds, and the choice."""
+    names = list(_LASSO)
+    pairs = [(a, b) for i, a in enumerate([*names, "y"]) for b in [*names, "y"][i:]]
+    at = lambda a, b: f"s_{a}_{b}" if (a, b) in pairs else f"s_{b}_{a}"
+    cells = ["n", *(f"s_{a}" for a in [*names, "y"]), *(at(a, b) for a, b in pairs)]
+    cov = lambda a, b: f"({at(a, b)} / n - s_{a} * s_{b} / n / n)"
+    new = {}
+    for a in names:
+        rest = " - ".join([f"c_{a}", *(f"g_{a}_{b} * {new[b] if b in new else 'b_' + b}" for b in names if b != a)])
+        new[a] = f"(sign({rest}) * greatest(abs({rest}) - w, 0) / g_{a}_{a})"
+    line = {"1": "(s_y - " + " - ".join(f"b_{a} * s_{a}" for a in names) + ") / n"}
+    residual = "e.s_y_y + e.n * i.b0 * i.b0 - 2 * i.b0 * e.s_y" + "".join(
+        f" + 2 * i.b0 * i.b_{a} * e.s_{a} - 2 * i.b_{a} * e.{at(a, 'y')}" + "".join(f" + i.b_{a} * i.b_{b} * e.{at(a, b)}" for b in names) for a in names
+    )
+    return f"""WITH RECURSIVE t AS (SELECT l_orderkey % 5 AS f, {", ".join(f"{e} AS {c}" for c, e in _LASSO.items())}, {_PAID} AS y FROM lineitem),
+    m AS (SELECT {", ".join(f"avg({c}) AS {c}" for c in names)} FROM t),
+    d AS (SELECT f, y, {", ".join(f"coalesce(t.{c}, m.{c}) AS {c}" for c in names)} FROM t, m),
+    z AS (SELECT f, y, {", ".join(f"({c} - (SELECT avg({c}) FROM d)) / (SELECT stddev_samp({c}) FROM d) AS {c}" for c in names)} FROM d),
+    own AS (SELECT f, count(*) * 1.0 AS n, {", ".join(f"sum({c}) AS s_{c}" for c in [*names, "y"])}, {", ".join(f"sum({a} * {b}) AS {at(a, b)}" for a, b in pairs)} FROM z GROUP BY f),
+    whole AS (SELECT {", ".join(f"sum({c}) AS {c}" for c in cells)} FROM own),
+    train AS (SELECT own.f, {", ".join(f"whole.{c} - own.{c} AS {c}" for c in cells)} FROM own, whole UNION ALL SELECT -1, * FROM whole),
+    p AS (SELECT train.*, (SELECT stddev_pop(y) FROM t) * s AS w, {", ".join(f"{cov(a, 'y')} AS c_{a}" for a in names)},
+      {", ".join(f"{cov(a, b)} AS g_{a}_{b}" for a in names for b in names)} FROM train, (VALUES {", ".join(f"({s})" for s in _STRENGTHS)}) v(s)),
+    steps AS (SELECT 0 AS k, *, {", ".join(f"CAST(0 AS DOUBLE) AS b_{a}" for a in names)} FROM p
+      UNION ALL SELECT k + 1, {", ".join(f"steps.{c}" for c in ["f", *cells, "w", *(f"c_{a}" for a in names), *(f"g_{a}_{b}" for a in names for b in names)])},
+      {", ".join(new.values())} FROM steps WHERE k < 40),
+    i AS (SELECT f, w, {line["1"]} AS b0, {", ".join(f"b_{a}" for a in names)} FROM steps WHERE k = 40),
+    e AS (SELECT i.w, avg(({residual}) / e.n) AS mse FROM i JOIN own e USING (f) GROUP BY 1),
+    pick AS (SELECT w FROM e ORDER BY mse, w DESC LIMIT 1)
+    SELECT feature, {r("score", "score")} FROM (SELECT unnest([{", ".join(f"'{a}'" for a in names)}]) AS feature, unnest([{", ".join(f"abs(b_{a})" for a in names)}]) AS score
+    FROM i JOIN pick USING (w) WHERE f = -1)"""
+
+
+@query("lasso_select", _lasso_sql())
 def lasso_select(spark, folder):
-    """One standardized feature at one strength: its coefficient is the covariance, shrunk by the strength."""
-    df = load(spark, folder, "items", ["quantity", "price"]).filter("price IS NOT NULL")
-    return rounded(features.lasso(df, "price", ["quantity"], strengths=[0.1]), 0)
+    """Six features, most of them noise, four strengths; the folds pick the strength."""
+    df = table(spark, folder, "lineitem").selectExpr("l_orderkey", *[f"{e} AS {c}" for c, e in _LASSO.items()], f"{_PAID} AS paid")
+    return rounded(features.lasso(df, "paid", list(_LASSO), strengths=list(_STRENGTHS), fold="l_orderkey"))
 
 
 @query(

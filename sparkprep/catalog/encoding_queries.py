@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import encode
 from .registry import ORACLES, with_limits, cte, load, query, r, rounded, source, table
 
@@ -55,22 +57,26 @@ def onehot_encode(spark, folder):
     return encode.onehot(load(spark, folder, "sales", _SALE), ["priority"])
 
 
+_TOP = f"""{cte("goods", ["p_partkey", "p_brand"])}, best AS (SELECT p_brand AS v FROM t WHERE p_brand IS NOT NULL
+    GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10)"""
+
+
 @query(
     "onehot_top10",
-    f"""PIVOT ({cte("goods", ["p_partkey", "p_brand"])}, best AS (SELECT p_brand AS v FROM t WHERE p_brand IS NOT NULL
-    GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10)
-    SELECT p_partkey, 'p_brand_' || coalesce(v, 'Other') AS one FROM t LEFT JOIN best ON p_brand = v)
-    ON one USING CAST(count(*) AS INTEGER) GROUP BY p_partkey""",
+    f"""{_TOP}, named AS (SELECT v, row_number() OVER (ORDER BY v) AS k FROM best)
+    SELECT p_partkey, {", ".join(f"CASE WHEN k = {i} THEN 1 ELSE 0 END AS brand_{i}" for i in range(1, 11))}, CASE WHEN k IS NULL THEN 1 ELSE 0 END AS other
+    FROM t LEFT JOIN named ON p_brand = v""",
 )
 def onehot_top10(spark, folder):
-    """Column names depend on the ten most frequent brands."""
-    return encode.onehot(load(spark, folder, "goods", ["p_partkey", "p_brand"]), ["p_brand"])
+    """The ten most frequent brands in the order of their names, and the rest; names follow the data, so columns are numbered."""
+    wide = encode.onehot(load(spark, folder, "goods", ["p_partkey", "p_brand"]), ["p_brand"])
+    marks = sorted(c for c in wide.columns if c not in ("p_partkey", "p_brand_Other"))
+    return wide.select("p_partkey", *[F.col(f"`{c}`").alias(f"brand_{i}") for i, c in enumerate(marks, 1)], F.col("p_brand_Other").alias("other"))
 
 
 @query(
     "onehot_top10_long",
-    f"""{cte("goods", ["p_partkey", "p_brand"])}, best AS (SELECT p_brand AS v FROM t WHERE p_brand IS NOT NULL
-    GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10)
+    f"""{_TOP}
     SELECT p_partkey, 'p_brand_' || coalesce(v, 'Other') AS one FROM t LEFT JOIN best ON p_brand = v""",
 )
 def onehot_top10_long(spark, folder):

@@ -451,11 +451,19 @@ def query_scores_count(spark, folder):
     return features.query_count(_r_scores(spark, folder), gt=0.1)
 
 
+_LEFT = ["quantity", "price", "discount"]  # revenue follows the price
+
+
 @query(
     "selection_ledger",
-    f"""{cte("items", _WITH_TARGET)} SELECT CAST(p AS INTEGER) AS position, step, CAST(b AS INTEGER) AS "before",
-    CAST(a AS INTEGER) AS "after", CAST(b - a AS INTEGER) AS removed, {r("(5 - a) * 100.0 / 5", "total_reduction_pct")}
-    FROM (VALUES (1, 'correlation', 5, 4), (3, 'vif', 4, 4)) v(p, step, b, a) WHERE (SELECT count(*) FROM t) > 0""",
+    f"""{cte("items", _WITH_TARGET)}, u AS (SELECT {", ".join(f"coalesce({c}, (SELECT avg({c}) FROM t)) AS {c}" for c in _LEFT)} FROM t),
+    k AS (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS d FROM (SELECT corr(quantity, price) AS a, corr(quantity, discount) AS b, corr(price, discount) AS c FROM u)),
+    gone AS (SELECT (SELECT count(DISTINCT b) FROM ({_pairs(_FEATURES)}) WHERE r >= 0.8) AS near,
+      (SELECT count(*) FROM (SELECT unnest([(1 - c * c) / d, (1 - b * b) / d, (1 - a * a) / d]) AS vif FROM k) WHERE vif > 5) AS inflated),
+    steps AS (SELECT 1 AS p, 'correlation' AS step, {len(_WITH_TARGET)} AS b, {len(_WITH_TARGET)} - near AS a FROM gone
+      UNION ALL SELECT 3, 'vif', {len(_WITH_TARGET)} - near, {len(_WITH_TARGET)} - near - inflated FROM gone)
+    SELECT CAST(p AS INTEGER) AS position, step, CAST(b AS INTEGER) AS "before", CAST(a AS INTEGER) AS "after", CAST(b - a AS INTEGER) AS removed,
+    {r(f"({len(_WITH_TARGET)} - a) * 100.0 / {len(_WITH_TARGET)}", "total_reduction_pct")} FROM steps""",
 )
 def selection_ledger(spark, folder):
     """A look at the scores with threshold 0 is not a step."""

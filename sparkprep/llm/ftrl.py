@@ -59,9 +59,16 @@ def walk(z: np.ndarray, n: np.ndarray, rows, r: Rates) -> None:
 
 
 def sharded(rows: DataFrame, key: str, shards: int) -> DataFrame:
-    """The rows in the shared folder, one file per shard, in the order of a hash of the key column."""
+    """The rows in the shared folder, one file per shard, in the order of a hash of the key column.
+
+    By a hash of their numbers several shards could land in one task and others stay empty, so each is dealt by a key that
+    the hash sends to a task of its own.
+    """
+    spot = F.pmod(F.hash("id"), F.lit(shards))
+    found = rows.sparkSession.range(0, 64 * shards, 1, 1).groupBy(spot.alias("at")).agg(F.min("id").alias("key")).orderBy("at").collect()
+    keys = F.array(*[F.lit(r["key"]).cast("long") for r in found])
     keyed = rows.withColumn("order", F.xxhash64(key)).withColumn("shard", F.pmod(F.col("order"), F.lit(shards)).cast("int"))
-    return stored(keyed.repartition(shards, "shard").sortWithinPartitions("shard", "order"), "shards")
+    return stored(keyed.repartition(shards, F.get(keys, F.col("shard"))).sortWithinPartitions("shard", "order"), "shards")
 
 
 def fit(rows: DataFrame, classes: int, dims: int, r: Rates, epochs: int) -> np.ndarray:

@@ -109,12 +109,14 @@ def train(
 
     Document weights come from all those texts; the weights of the model from about per_lang texts with a letter of each
     language, a fifth of which fits the temperature instead (documented bounds). More than max_langs languages are an
-    error. Repeated rows are used as they are. Without any text no language is known. scale multiplies the inputs.
+    error. Rows equal in id, text and language are one example, so that a row that fills a third of the table cannot fill the
+    sample. Without any text no language is known. scale multiplies the inputs.
     """
     own = docs.where(learning(id_col, lang_col)).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     )
-    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_langs + 1).collect()}
+    named = own.select("lang", "id", F.xxhash64("text").alias("text_hash")).distinct()
+    counts = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_langs + 1).collect()}
     if len(counts) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
     langs = sorted(counts)
@@ -127,7 +129,9 @@ def train(
     for k, name in enumerate(langs):
         y = F.when(F.col("lang") == name, k).otherwise(y)
         rate = F.when(F.col("lang") == name, F.lit(min(1.0, per_lang / counts[name]))).otherwise(rate)
-    sample = own.where(unit_hash(F.col("id"), F.xxhash64("text"), seed) < rate)
+    own = own.withColumn("text_hash", F.xxhash64("text"))
+    # copies of a row are drawn together; each task keeps one of them before any text travels
+    sample = own.where(unit_hash(F.col("id"), F.col("text_hash"), seed) < rate).dropDuplicates(["lang", "id", "text_hash"])
     sample = sample.select("text", y.alias("y"), F.xxhash64("id", "text").alias("row"))
 
     def rows():

@@ -92,6 +92,28 @@ def test_temperature():
     assert abs(language.temperature(logits * 5, y) - 5) < 0.7
 
 
+def test_language_sample_takes_a_repeated_row_once(spark, monkeypatch):
+    """One row fills most of the table: it is one example, and the others are still learned from."""
+    seen = []
+    keep = language.sharded
+    monkeypatch.setattr(language, "sharded", lambda rows, *rest: (seen.append(rows.count()), keep(rows, *rest))[1])
+    rows = [(i, f"the cat sat on mat number {i} of the house" if i % 2 else f"die katze sass auf der matte {i} im haus", "en" if i % 2 else "de") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    hot = spark.range(100_000).select(F.lit(1001).cast("long").alias("doc_id"), F.lit("the same line again and again").alias("text"), F.lit("en").alias("lang"))
+    model = language.train(docs.unionByName(hot))
+    assert seen[0] <= 61
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 57
+
+
+def test_shards_are_dealt_one_by_one(spark):
+    from sparkprep.llm.ftrl import sharded
+
+    rows = sharded(spark.range(1000).withColumnRenamed("id", "row"), "row", 4)
+    files = {r["f"]: r["s"] for r in rows.groupBy(F.input_file_name().alias("f")).agg(F.collect_set("shard").alias("s")).collect()}
+    assert sorted(map(tuple, files.values())) == [(0,), (1,), (2,), (3,)]
+
+
 def _brute_links(texts):
     cache = jaccard.HashCache()
     sets = {k: set(jaccard.shingles(t, 5, cache).tolist()) for k, t in texts.items()}

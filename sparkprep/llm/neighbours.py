@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import stored, unit_hash
@@ -92,22 +93,25 @@ def fit(rows: DataFrame, asked: DataFrame, k: int, tables: int, sample: int, rec
     np.put_along_axis(place, order, np.arange(order.shape[2])[None, None, :], 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top: list[list[tuple[float, int, int]]] = [[] for _ in ids]
         for b in batches:
             own, v = b.column("vec_id").to_numpy(), matrix(b)
-            code, rough, out = turn.buckets(v), q @ v.T, []
+            code, rough = turn.buckets(v), q @ v.T
             for i in range(len(ids)):
                 at, s = nearest(q[i], v, own, ids[i], k, rough[i])
                 first = place[i][np.arange(tables)[None, :], code[at]].min(1)
-                out += list(zip([int(ids[i])] * len(at), own[at].tolist(), s.tolist(), first.tolist()))
-            cols = list(zip(*out)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64())],
-                names=["query_id", "vec_id", "score", "probe"],
-            )
-
-    true = rows.mapInArrow(run, "query_id long, vec_id long, score double, probe long")
+                top[i] = sorted([*top[i], *zip((-s).tolist(), own[at].tolist(), first.tolist())])[:k]
+        out = [(int(i), TaskContext.get().partitionId(), vec, -s, probe) for i, held in zip(ids, top) for s, vec, probe in held]
+        cols = list(zip(*out)) or [[]] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["query_id", "task", "vec_id", "score", "probe"])
+
+    # one list a query and task, merged in two steps, so that no group holds the lists of all tasks
+    true = rows.mapInArrow(run, "query_id long, task long, vec_id long, score double, probe long")
     item = F.struct((-F.col("score")).alias("s"), "vec_id", "probe")
-    true = true.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(item)), 1, k).alias("top")).select(F.explode("top").alias("t")).select("t.probe").collect()
+    lists = lambda made: F.slice(F.array_sort(made), 1, k).alias("top")
+    true = true.groupBy("query_id", (F.col("task") % 64).alias("part")).agg(lists(F.collect_list(item)))
+    true = true.groupBy("query_id").agg(lists(F.flatten(F.collect_list("top")))).select(F.explode("top").alias("t")).select("t.probe").collect()
     need = np.sort([r["probe"] for r in true]) if true else np.array([2 * turn.size - 1])
     return turn, int(need[min(len(need) - 1, int(np.ceil(recall * len(need))))]) + 1
 
@@ -162,7 +166,7 @@ def search(
     names = pa.schema([("query_id", pa.int64()), ("tile", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
-        here, ids, v = None, [], []
+        here, ids, v, task = None, [], [], TaskContext.get().partitionId()
         top: dict[int, list] = {}
 
         def flush():
@@ -170,7 +174,7 @@ def search(
             top.clear()
             query, i, s = zip(*out) if out else ([], [], [])
             return pa.RecordBatch.from_arrays(
-                [pa.array(query, pa.int64()), pa.array([0] * len(query), pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], schema=names
+                [pa.array(query, pa.int64()), pa.array([task] * len(query), pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], schema=names
             )
 
         for b in batches:
@@ -201,7 +205,8 @@ def search(
         yield flush()
 
     schema = "query_id long, tile long, vec_id long, score double"
-    return merged(both.mapInArrow(run, schema), k, 1)
+    # a list of a query comes from one task; they are merged in a tree over the tasks
+    return merged(both.mapInArrow(run, schema), k, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _floors(rows: DataFrame, turn: Rotations, probes: int, k: int, first_rows: int, seed: int):

@@ -119,6 +119,9 @@ def write(
 ) -> None:
     """Archives of all rows below the path: gzip files of at most file_records records.
 
+    A record's block is at most `segment` bytes, whatever the payload, so a file unpacks to at most file_records times that
+    and a header each: some 66 MB with the defaults, which is what a reading task holds.
+
     Of rows with equal payloads of at least `least` bytes those with the smallest id are responses (an id that is repeated
     with the same payload gives as many responses), the others revisits of that id. A null html is an empty payload, a
     null url leaves the field out; a null id comes after all others.

@@ -12,7 +12,7 @@ import pytest
 from oracle import compare, connect
 from pyspark.sql import functions as F
 
-from sparkprep.llm import exact_search, mixing, neighbours, packing, queries, warc
+from sparkprep.llm import exact_search, mixing, neighbours, packing, queries, vectors, warc
 from sparkprep.llm.shared import folder
 
 SF = "/root/testdata/sf0.01"
@@ -289,3 +289,14 @@ def test_mixing_deals_out_a_large_group_of_equal_rows(spark):
         assert mixing.mix(docs, weights=(1.0,), share=2.0).where("doc_id = -1").select(F.spark_partition_id()).distinct().count() > 1
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", conf)
+
+
+def test_lists_of_many_tasks_are_merged(spark):
+    """Lists of a thousand tasks for each query: what comes out is the best of all, each vector once."""
+    rng = np.random.default_rng(2)
+    rows = [(q, t, int(v), float(s)) for q in (1, 2) for t in range(1000) for v, s in zip(rng.integers(0, 400, 4), rng.integers(0, 50, 4))]
+    parts = spark.createDataFrame(rows, "query_id long, tile long, vec_id long, score double").repartition(7)
+    got = vectors.merged(parts, 20, 1000).collect()
+    for q in (1, 2):
+        want = sorted({(-s, v) for own, _, v, s in rows if own == q})[:20]
+        assert [(-r["score"], r["vec_id"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want

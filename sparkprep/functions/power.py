@@ -1,8 +1,9 @@
 """Power transforms and the search for their exponent.
 
-The likelihood of an exponent needs only the variance of the transformed column and a sum of logarithms, so
-a whole grid of exponents for all columns is one aggregate; three grids, each around the best point of the
-one before, and a parabola through the last three points.
+The likelihood of an exponent needs only the variance of the transformed column and a sum of logarithms, its first two
+derivatives the covariances with the transform's derivatives. One read gives them for every column at one exponent each.
+The likelihood has one peak, so the sign of its slope tells on which side of the exponent the peak lies, and a Newton
+step goes there; a step that leaves the bracket, or has no peak ahead, is halved instead.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from . import agg
 from .columns import num
 
 LOW, HIGH = -5.0, 5.0
+NEAR = 1e-3  # so near to a hole of the closed forms they lose digits
+CLOSE = 2e-3  # a Newton step so short leaves an error of its square
+MOST = 20
 
 
 def box_cox(x: Column, lam: float) -> Column:
@@ -28,48 +32,74 @@ def yeo_johnson(x: Column, lam: float) -> Column:
     return F.when(x >= 0, up).otherwise(down)
 
 
+def _slopes(x: Column, lam: float, family: str) -> tuple[Column, Column, Column]:
+    """The transformed value and its first two derivatives by the exponent, which must not be 0 (nor 2 for Yeo-Johnson)."""
+
+    def parts(u: Column, p: float) -> tuple[Column, Column, Column]:
+        grown = F.exp(F.lit(p) * u)
+        t = F.expm1(F.lit(p) * u) / F.lit(p)
+        first = (u * grown - t) / F.lit(p)
+        return t, first, (u * u * grown - F.lit(2.0) * first) / F.lit(p)
+
+    if family == "box_cox":
+        return parts(F.ln(x), lam)
+    up, down = parts(F.log1p(x), lam), parts(F.log1p(-x), 2.0 - lam)
+    return tuple(F.when(x >= 0, a).otherwise(b) for a, b in zip(up, (-down[0], down[1], -down[2])))
+
+
+def _off(lam: float, family: str) -> float:
+    """The exponent, moved off the places where the closed forms divide by zero."""
+    for hole in (0.0, 2.0) if family != "box_cox" else (0.0,):
+        if abs(lam - hole) < NEAR:
+            return hole + (NEAR if lam >= hole else -NEAR)
+    return lam
+
+
 def fit(df: DataFrame, cols: list[str], family: str) -> dict[str, float | None]:
-    """Exponent with the highest likelihood per column; None when the column is constant or empty."""
+    """Exponent with the highest likelihood per column between LOW and HIGH; None when the column is constant or empty."""
     if not cols:
         return {}
-    make = box_cox if family == "box_cox" else yeo_johnson
-    jac = {}
-    for c in cols:
-        x = num(c)
-        term = F.ln(x) if family == "box_cox" else F.signum(x) * F.log1p(F.abs(x))
-        jac[c, "n"], jac[c, "s"] = F.count(x), F.sum(term)
-    sums = agg.fit(df, jac)
-    grids = {c: [LOW + 0.5 * i for i in range(21)] for c in cols}
+    at, low, high = dict.fromkeys(cols, 1.0), dict.fromkeys(cols, LOW), dict.fromkeys(cols, HIGH)
     best: dict[str, float | None] = dict.fromkeys(cols)
-    for step in (0.5, 0.05, 0.005):
-        live = [c for c in cols if sums[c, "n"] and sums[c, "s"] is not None and grids.get(c)]
+    sums: dict = {}
+    live = list(cols)
+    for _ in range(MOST):
+        exprs = {}
+        for c in live:
+            x = num(c)
+            t, first, second = _slopes(x, at[c], family)
+            exprs[c, "var"], exprs[c, "cov"] = F.var_pop(t), F.covar_pop(t, first)
+            exprs[c, "var1"], exprs[c, "cov2"] = F.var_pop(first), F.covar_pop(t, second)
+            if c not in sums:
+                exprs[c, "n"], exprs[c, "s"] = F.count(x), F.sum(F.ln(x) if family == "box_cox" else F.signum(x) * F.log1p(F.abs(x)))
+        got = agg.fit(df, exprs)
+        for c in list(live):
+            if c not in sums:
+                sums[c] = got[c, "n"], got[c, "s"]
+                if not sums[c][0] or sums[c][1] is None or not got[c, "var"] or not math.isfinite(got[c, "var"]):
+                    live.remove(c)
+                    continue
+            here, (n, total) = at[c], sums[c]
+            var, *rest = (got[c, k] for k in ("var", "cov", "var1", "cov2"))
+            usable = all(v is not None and math.isfinite(v) for v in (var, *rest)) and var > 0
+            slope, new = 1.0 - here, None  # too far out for doubles: the peak lies nearer to the start
+            if usable:
+                cov, var1, cov2 = rest
+                slope = total - n * cov / var
+                bend = -n * ((var1 + cov2) / var - 2 * (cov / var) ** 2)
+                if (here >= HIGH and slope > 0) or (here <= LOW and slope < 0):
+                    best[c] = here
+                    live.remove(c)
+                    continue
+                if bend < 0:
+                    new = min(max(here - slope / bend, LOW), HIGH)
+            low[c], high[c] = (here, high[c]) if slope > 0 else (low[c], here)
+            if new is None or not low[c] <= new <= high[c]:
+                new = (low[c] + high[c]) / 2
+            best[c] = new
+            if (usable and abs(new - here) <= CLOSE) or high[c] - low[c] <= CLOSE:
+                live.remove(c)
+            at[c] = _off(new, family)
         if not live:
             break
-        got = agg.fit(df, {(c, lam): F.var_pop(make(num(c), lam)) for c in live for lam in grids[c]})
-        for c in live:
-            score = {
-                lam: (lam - 1) * sums[c, "s"] - sums[c, "n"] / 2 * math.log(got[c, lam])
-                for lam in grids[c]
-                if got[c, lam] is not None and math.isfinite(got[c, lam]) and got[c, lam] > 0
-            }
-            if not score:
-                grids[c] = []
-                continue
-            top = max(score, key=score.get)
-            best[c] = top
-            if step > 0.005:
-                fine = step / 10
-                grids[c] = [top + fine * i for i in range(-10, 11)]
-            else:
-                best[c] = _vertex(score, top, step)
     return best
-
-
-def _vertex(score: dict[float, float], top: float, step: float) -> float:
-    points = sorted(score)
-    i = points.index(top)
-    if i in (0, len(points) - 1):
-        return top
-    a, b, c = (score[points[j]] for j in (i - 1, i, i + 1))
-    bend = a - 2 * b + c
-    return top if bend >= 0 else top + step * (a - c) / (2 * bend)

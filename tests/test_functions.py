@@ -257,6 +257,37 @@ def test_f_tail():
     assert tail.f_upper(0.0, 3, 7) == 1.0
 
 
+def _likelihood(x, lam, family):
+    if family == "box_cox":
+        t, jac = (np.log(x) if abs(lam) < 1e-9 else np.expm1(lam * np.log(x)) / lam), np.log(x)
+    else:
+        up = lambda u, p: u if abs(p) < 1e-9 else np.expm1(p * u) / p
+        t, jac = np.where(x >= 0, up(np.log1p(np.abs(x)), lam), -up(np.log1p(np.abs(x)), 2 - lam)), np.sign(x) * np.log1p(np.abs(x))
+    return (lam - 1) * jac.sum() - len(x) / 2 * np.log(t.var())
+
+
+def test_power_fit_against_a_fine_grid(spark, monkeypatch):
+    """Many columns of different shapes: six reads, and no better exponent on a fine grid."""
+    rng = np.random.default_rng(7)
+    table = pd.DataFrame({f"p{i}": np.exp(rng.normal(0, 0.2 + 0.1 * i, 800)) for i in range(8)})
+    for i in range(8):
+        table[f"q{i}"] = rng.gamma(0.5 + i, 1.0 + i, 800)
+        table[f"r{i}"] = rng.normal(i - 4, 1.0 + i / 2, 800) ** 3
+    df = spark.createDataFrame(table).repartition(4).cache()
+    rounds = []
+    whole = power._slopes
+    for family, cols in (("box_cox", [c for c in table if c[0] != "r"]), ("yeo_johnson", list(table))):
+        rounds.clear()
+        monkeypatch.setattr(power, "_slopes", lambda x, lam, f: (rounds.append(1), whole(x, lam, f))[1])
+        got = power.fit(df, cols, family)
+        assert len(rounds) <= 6 * len(cols)
+        for c in cols:
+            x = table[c].to_numpy()
+            grid = np.arange(-5, 5.0001, 0.005)
+            best = grid[np.argmax([_likelihood(x, g, family) for g in grid])]
+            assert got[c] == pytest.approx(best, abs=0.006), (family, c)
+
+
 def test_power_fit_finds_the_exponent(spark):
     rng = random.Random(2)
     normal = [rng.gauss(6, 1) for _ in range(4000)]

@@ -60,10 +60,10 @@ def csi_windows(spark, folder):
 
 @query("stream_csi", _CSI_SQL)
 def stream_csi(spark, folder):
-    """Counts kept as state per day, scored from what the stream wrote."""
+    """The index of every day as the stream wrote it, from counts kept as state."""
     _, base = _baseline(spark, folder)
     exprs = INPUTS["clicks"][1]
     stream = _stream(spark, folder).selectExpr(*[f"{exprs[c]} AS {c}" for c in ("ts", "value", "user_id")])
     root = scratch(spark, "stream")
     stability.csi_stream(stream, base, "ts", f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    return rounded(stability.score(stability.latest(spark, f"{root}/out"), base))
+    return rounded(stability.latest(spark, f"{root}/out", dict(stream.dtypes)["ts"]))

@@ -1,5 +1,9 @@
 """Plans: fit on one table, apply to another, store and read back, batch and stream."""
 
+import datetime
+import glob
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from sparkprep.plans.ledger import Ledger
 from sparkprep.plans.plan import Plan, apply_phase, fit_phase
 from sparkprep.plans.prep import Prep, fast
 from sparkprep.sources import files, stages
+from sparkprep.streaming import stability
 
 CHOSEN = {
     "sentinels": {"x": "null"},
@@ -106,6 +111,31 @@ def test_stream_equals_batch(spark):
     assert same(stream, plan_queries.apply_plan(spark, folder))
 
 
+def test_stability_on_a_stream_with_late_rows(spark, tmp_path):
+    """Batches change the index of open windows; what comes after the watermark does not, and files follow the windows."""
+    day = lambda d, h=1: datetime.datetime(2024, 1, d, h)
+    early = spark.createDataFrame([(day(1), float(i % 10), float(i)) for i in range(100)], "ts timestamp, a double, b double")
+    base = stability.baseline(early, ["a", "b"], 5)
+    batches = [
+        [(day(2), 1.0, 5.0), (day(2, 5), 8.0, None), (day(3), 2.0, 7.0)],
+        [(day(2, 9), 3.0, 60.0), (day(9), 4.0, 70.0)],  # day 2 is still open, then day 9 moves the watermark past it
+        [(day(9, 2), 5.0, 1.0), (day(10), 0.0, 3.0)],
+        [(day(2, 3), 9.0, 99.0), (day(10, 2), 6.0, 2.0)],  # the first row is too late
+    ]
+    for i, rows in enumerate(batches):
+        part = str(tmp_path / f"in/b{i}")
+        spark.createDataFrame(rows, early.schema).coalesce(1).write.parquet(part)
+        time.sleep(1.1)  # files are taken in the order of their times
+    stream = spark.readStream.schema(early.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    stability.csi_stream(stream, base, "ts", out, str(tmp_path / "checkpoint"), late="1 day").awaitTermination()
+    got = {(r["window_start"].day, r["feature"]): r["csi"] for r in stability.latest(spark, out).collect()}
+    on_time = [r for rows in batches for r in rows if r[0] != day(2, 3)]
+    want = {(r["window_start"].day, r["feature"]): r["csi"] for r in stability.csi_windows(spark.createDataFrame(on_time, early.schema), base, "ts").collect()}
+    assert got == pytest.approx(want) and len(got) == 8
+    assert len(glob.glob(f"{out}/window_start=*/feature=*/*.parquet")) == 8
+
+
 def test_files_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "quoted", comma', 2.5), (2, None, float("nan"))], "i int, t string, d double")
     for fmt in ("csv", "tsv", "json", "parquet", "orc"):

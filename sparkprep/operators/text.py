@@ -1,7 +1,7 @@
 """Labelling a text column: keywords, embedding prototypes, and the two in a row.
 
-Keyword tables and prototypes are small definitions given by the caller. They enter the query as literals, so
-every operator here is one projection over the texts: no join, no shuffle. Keywords are an index from word forms to
+Keyword tables and prototypes are definitions given by the caller. Keywords enter the query as literals, prototypes as
+broadcast matrices, so every operator here is one pass over the rows: no shuffle. Keywords are an index from word forms to
 keywords and one expression for all phrases, so a text costs about the same for ten keywords and for thousands.
 """
 
@@ -12,7 +12,8 @@ import re
 import zlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import any_of, ref
 
@@ -35,7 +36,8 @@ MARGIN_RANGE = (0.03, 0.2)
 
 _NO_WORD = r"[^\p{L}\p{N}_]+"
 _TOKEN = r"[^\s\p{Z}]+"
-MAX_PROTOTYPES = 10_000
+PROTOTYPE_BYTES = 1 << 30  # all prototypes together, on the driver
+TILE_BYTES = 64 << 20  # prototypes sent at once
 
 
 # Plural endings, what stands for them in the singular, and the shortest word they are cut from. The first
@@ -283,16 +285,44 @@ def weighted_label(
 
 
 def prototypes(df: DataFrame, vec: str, label: str) -> dict[str, list[float]]:
-    """{label: mean vector}. Averaged per label on the cluster; the labels themselves must be few."""
+    """{label: mean vector}. Averaged per label on the cluster; all of them must fit ``PROTOTYPE_BYTES``."""
     known = df.filter(ref(vec).isNotNull() & ref(label).isNotNull())
-    if known.select(ref(label)).distinct().limit(MAX_PROTOTYPES + 1).count() > MAX_PROTOTYPES:
-        raise ValueError(f"more than {MAX_PROTOTYPES} labels: these are not prototypes")
     size = known.agg(F.max(F.size(ref(vec)))).first()[0] or 0
+    most = PROTOTYPE_BYTES // max(8, 8 * size)
+    if known.select(ref(label)).distinct().limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} labels: these are not prototypes")
     means = [F.avg(F.get(ref(vec), F.lit(i)).cast("double")).alias(f"d{i}") for i in range(size)]
     rows = known.groupBy(ref(label).cast("string").alias("label")).agg(*means).orderBy("label").collect()
     return {r["label"]: [r[f"d{i}"] for i in range(size)] for r in rows}
 
 
+def _nearest_two():
+    """A function that travels with the job: executors need no copy of this package."""
+
+    def nearest(matrix: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the best line, its product, the second product) of every row of x; equal products go to the first line.
+
+        A matrix product finds the candidates; those that could be first or second are computed again one by one, in the same
+        order of terms, so that equal lines have equal products.
+        """
+        place, top, second = np.zeros(len(x), np.int64), np.zeros(len(x)), np.full(len(x), -np.inf)
+        for at in range(0, len(x), 1024):
+            part = x[at : at + 1024]
+            rough = part @ matrix.T
+            edge = rough.max(1) if len(matrix) < 2 else np.partition(rough, -2, axis=1)[:, -2]
+            line, spot = np.nonzero(rough >= edge[:, None] - 1e-9 * np.maximum(1.0, np.abs(edge))[:, None])
+            exact = (part[line] * matrix[spot]).sum(1)
+            order = np.lexsort((spot, -exact, line))
+            line, spot, exact = line[order], spot[order], exact[order]
+            first = np.flatnonzero(np.r_[True, np.diff(line) != 0])
+            place[at + line[first]], top[at + line[first]] = spot[first], exact[first]
+            if len(matrix) > 1:
+                second[at + line[first]] = exact[first + 1]
+        return place, top, second
+
+    return nearest
+
+
 def prototype_label(
     df: DataFrame,
     vec: str,
@@ -302,46 +332,64 @@ def prototype_label(
 ) -> DataFrame:
     """Adds best_label, best_score, second_score, score_margin, accepted, by cosine similarity.
 
-    Accepted when the best similarity and its lead are both above their thresholds. Ties go to the label
-    named first.
+    Accepted when the best similarity and its lead are both above their thresholds. Ties go to the label named first. A
+    vector of length 0 has similarity 0 with everything; one of another number of components, or with a null, has none:
+    its label and scores are null. Prototypes are sent as matrices of at most ``TILE_BYTES``; each adds to the best two so far.
     """
-
-    def unit(v: list[float]) -> list[float]:
-        norm = math.sqrt(sum(x * x for x in v))
-        return [x / norm for x in v] if norm else list(v)
-
-    table = F.array(
-        *[
-            F.struct(F.lit(-i).alias("place"), F.lit(lab).alias("label"), F.lit(unit(v)).alias("v"))
-            for i, (lab, v) in enumerate(prototypes.items())
-        ]
-    )
+    names = list(prototypes)
+    lines = np.array([prototypes[n] for n in names], float).reshape(len(names), -1)
+    norm = np.sqrt((lines * lines).sum(1))
+    lines = lines / np.where(norm > 0, norm, 1.0)[:, None]
+    context, nearest = df.sparkSession.sparkContext, _nearest_two()
+    step = max(1, TILE_BYTES // max(8, 8 * lines.shape[1]))
+    tiles = [(at, context.broadcast(lines[at : at + step])) for at in range(0, len(names), step)]
+    held = T.StructType.fromDDL("_place bigint, _top double, _second double")
     x = F.transform(ref(vec), lambda e: e.cast("double"))
-
-    def dot(a: Column, b: Column) -> Column:
-        return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-
-    staged = df.withColumn("_x", x).withColumn("_norm", F.sqrt(dot(F.col("_x"), F.col("_x"))))
-    scored = F.transform(
-        table,
-        lambda p: F.struct(
-            F.when(F.col("_norm") > 0, dot(F.col("_x"), p["v"]) / F.col("_norm")).otherwise(F.lit(0.0)).alias("score"),
-            p["place"].alias("place"),
-            p["label"].alias("label"),
-        ),
-    )
-    staged = staged.withColumn("_ranked", F.sort_array(scored, asc=False))
-    best, second = F.get("_ranked", F.lit(0)), F.get("_ranked", F.lit(1))
-    runner_up = F.coalesce(second["score"], F.lit(0.0))
-    lead = best["score"] - runner_up
-    known = ref(vec).isNotNull()
-    return staged.select(
+    fits = ref(vec).isNotNull() & (F.size(ref(vec)) == lines.shape[1]) & F.forall(ref(vec), lambda e: e.isNotNull())
+    out = df.withColumn("_x", F.when(fits, x)).withColumns({f.name: F.lit(None).cast(f.dataType) for f in held})
+
+    def compare(start: int, sent):
+        def run(batches):
+            import pyarrow as pa
+
+            matrix = sent.value
+            for b in batches:
+                column = b.column("_x")
+                here = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+                rows = column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(len(here), -1) if len(here) else np.zeros((0, matrix.shape[1]))
+                size = np.sqrt((rows * rows).sum(1))
+                found = nearest(matrix, rows / np.where(size > 0, size, 1.0)[:, None])
+                place, top, second = (b.column(c).to_numpy(zero_copy_only=False).copy() for c in ("_place", "_top", "_second"))
+                known = ~np.isnan(top[here])  # from the tiles before
+                old_top, old_second = np.where(known, top[here], -np.inf), np.where(known, second[here], -np.inf)
+                ahead = found[1] > old_top
+                place = place.astype(float)
+                place[here] = np.where(ahead, found[0] + start, place[here])
+                top[here] = np.maximum(found[1], old_top)
+                second[here] = np.where(ahead, np.maximum(old_top, found[2]), np.maximum(old_second, found[1]))
+                gone = np.ones(len(b), bool)
+                gone[here] = False
+                new = [pa.array(np.where(gone, 0, place).astype(np.int64), mask=gone), pa.array(top, mask=gone), pa.array(second, mask=gone)]
+                yield pa.RecordBatch.from_arrays([*b.columns[: -len(new)], *new], names=b.schema.names)
+
+        return run
+
+    for start, sent in tiles:
+        out = out.mapInArrow(compare(start, sent), out.schema)
+    label = F.get(F.array(*[F.lit(n) for n in names]), F.col("_place").cast("int")) if len(names) <= 100 else None
+    if label is None:  # many names travel as a table of the size of the prototypes' names, not in the query
+        table = df.sparkSession.createDataFrame(list(enumerate(names)), "_at bigint, _label string")
+        out = out.join(F.broadcast(table), F.col("_place") == F.col("_at"), "left")
+        label = F.col("_label")
+    runner_up = F.when(F.col("_second") == F.lit(-math.inf), F.lit(0.0)).otherwise(F.col("_second"))
+    lead = F.col("_top") - runner_up
+    return out.select(
         *[ref(c) for c in df.columns],
-        F.when(known, best["label"]).alias("best_label"),
-        F.when(known, best["score"]).alias("best_score"),
-        F.when(known, runner_up).alias("second_score"),
-        F.when(known, lead).alias("score_margin"),
-        F.coalesce(known & (best["score"] > threshold) & (lead > margin), F.lit(False)).alias("accepted"),
+        label.alias("best_label"),
+        F.col("_top").alias("best_score"),
+        runner_up.alias("second_score"),
+        lead.alias("score_margin"),
+        F.coalesce((F.col("_top") > threshold) & (lead > margin), F.lit(False)).alias("accepted"),
     )
 
 

@@ -325,6 +325,26 @@ def test_prototypes_and_thresholds(spark):
     assert text.thresholds("critical_routing", (0.5, -1.0)) == (0.7, 0.03)
 
 
+def test_many_prototypes(spark, monkeypatch):
+    """A hundred thousand prototypes in several tiles; equal ones go to the label named first."""
+    rng = np.random.default_rng(11)
+    lines = rng.normal(size=(100_000, 8))
+    lines[70_000] = lines[5]
+    lines[99_999] = 3 * lines[6]
+    x = np.concatenate([lines[[5, 6, 50_000]], rng.normal(size=(40, 8)), np.zeros((1, 8))])
+    monkeypatch.setattr(text, "TILE_BYTES", 8 * 8 * 30_000)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0]), (902, [None] * 8)]
+    df = spark.createDataFrame(rows, "id int, v array<double>").repartition(3)
+    got = {r["id"]: r for r in text.prototype_label(df, "v", {f"p{i}": v.tolist() for i, v in enumerate(lines)}).collect()}
+    unit = lines / np.linalg.norm(lines, axis=1)[:, None]
+    for i, v in enumerate(x[:-1]):
+        s = np.sort(unit @ v / np.linalg.norm(v))[::-1]
+        assert (got[i]["best_score"], got[i]["second_score"]) == pytest.approx((s[0], s[1]))
+    assert [got[i]["best_label"] for i in (0, 1, 2)] == ["p5", "p6", "p50000"]
+    assert got[len(x) - 1]["best_label"] == "p0" and got[len(x) - 1]["best_score"] == 0
+    assert all(got[i]["best_label"] is None and not got[i]["accepted"] for i in (900, 901, 902))
+
+
 def test_importances_sum_to_one(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 3))

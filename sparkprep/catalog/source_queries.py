@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import features
 from ..plans.ledger import Ledger
 from ..session import checkpoint_dir
 from ..sources import files, stages
@@ -41,14 +42,15 @@ def read_json(spark, folder):
     return _round_trip(spark, folder, "json")
 
 
-_DOCS = "SELECT doc_id, lang, text FROM documents WHERE lang IN ('de', 'fr')"
+# what has no place in the encoding is written as a question mark
+_DOCS = "SELECT doc_id, lang, regexp_replace(text, '[^\\x{00}-\\x{FF}]', '?', 'g') AS text FROM documents"
 
 
 @query("read_csv_latin1", _DOCS)
 def read_csv_latin1(spark, folder):
     """Texts with line breaks and quotes, stored in another encoding, which is found by looking."""
     path = scratch(spark, "latin1")
-    df = table(spark, folder, "documents").select("doc_id", "lang", "text").filter("lang IN ('de', 'fr')")
+    df = table(spark, folder, "documents").select("doc_id", "lang", "text")
     df.write.option("header", True).option("escape", '"').option("encoding", "iso-8859-1").csv(path)
     return files.read(spark, path, "csv", schema=df.schema, encoding="auto", multiline=True)
 
@@ -94,11 +96,15 @@ def load_stage(spark, folder):
     return stages.load(spark, root, "r1", "processed")
 
 
-@query("select_features", source("items", ["price", "discount", "target"]))
+_SELECTED = ["quantity", "price", "discount", "target"]  # revenue follows the price
+
+
+@query("select_features", source("items", _SELECTED))
 def select_features(spark, folder):
-    df = load(spark, folder, "items")
+    """The columns that a correlation filter leaves, taken from the table by the ledger."""
+    df = load(spark, folder, "items", ["quantity", "price", "discount", "revenue", "target"])
     ledger = Ledger(df.columns)
-    ledger.add("iv", {"threshold": 0.02}, ["price", "discount", "target"])
+    ledger.add("correlation", {"threshold": 0.8}, features.filter_corr(df, "target", 0.8).columns)
     return ledger.select(df)
 
 

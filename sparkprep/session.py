@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -25,16 +23,15 @@ def get_session(app: str = "sparkprep", master: str | None = None, **conf: str)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a private one only in local mode where none is set."""
+    """The shared folder of the cluster: spark.checkpoint.dir, or where that is unset a folder in the warehouse, which the
+    tables of a cluster share as well."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        configured = tempfile.mkdtemp(prefix="sparkprep-")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/sparkprep-shared"
     sc.setCheckpointDir(configured)
     return configured
 

@@ -178,17 +178,23 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     return python_columns(slim, make, ["id"], "n_tokens long, packed binary").withColumnRenamed("id", id_col)
 
 
-def decode(coded: DataFrame, packed_col: str = "packed", vocabulary: str | None = None, added: str = "decoded", listed: str | None = None) -> DataFrame:
+def decode(
+    coded: DataFrame, packed_col: str = "packed", vocabulary: str | None = None, added: str = "decoded", listed: str | None = None, digest: bool = False
+) -> DataFrame:
     """Adds (or replaces) the text of packed ids: their vocabulary strings, a space between two, as the file names no decoder.
 
-    listed names a further column for the ids themselves in decimal, a space between two. Null ids give null, no ids the
-    empty text; ids outside the vocabulary are left out of the text.
+    listed names a further column for the ids themselves in decimal, a space between two. With digest both are the SHA-256
+    of the text in place of it, so that only one text at a time is held. Null ids give null, no ids the empty text; ids
+    outside the vocabulary are left out of the text.
     """
     sent = _sent(coded, vocabulary)
     new = [added] + [listed] * bool(listed)
 
     def make():
+        import hashlib
+
         strings = Vocabulary(sent.value).strings
+        final = (lambda t: hashlib.sha256(t.encode()).hexdigest()) if digest else (lambda t: t)
         texts, digits = np.array([*strings, ""], object), np.array([*map(str, range(len(strings)))], object)
 
         def batch(b: pa.RecordBatch) -> dict:
@@ -200,9 +206,9 @@ def decode(coded: DataFrame, packed_col: str = "packed", vocabulary: str | None
                     continue
                 ids = np.frombuffer(raw.as_py(), "<u4")
                 inside = ids if not len(ids) or ids.max() < len(strings) else ids[ids < len(strings)]
-                out[added].append(" ".join(texts[inside].tolist()))
+                out[added].append(final(" ".join(texts[inside].tolist())))
                 if listed:
-                    out[listed].append(" ".join(digits[ids].tolist() if len(inside) == len(ids) else map(str, ids.tolist())))
+                    out[listed].append(final(" ".join(digits[ids].tolist() if len(inside) == len(ids) else map(str, ids.tolist()))))
             return out
 
         return batch
@@ -214,5 +220,5 @@ def decode(coded: DataFrame, packed_col: str = "packed", vocabulary: str | None
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): digests of the ids in decimal and of the decoded text, of every row."""
     coded = encode(docs, id_col, text_col, vocabulary)
-    text = decode(coded, "packed", vocabulary, "decoded_text", "listed_ids")
-    return text.select(F.col(id_col), "n_tokens", F.sha2("listed_ids", 256).alias("ids_sha256"), F.sha2("decoded_text", 256).alias("decoded_sha256"))
+    text = decode(coded, "packed", vocabulary, "decoded_digest", "listed_digest", digest=True)
+    return text.select(F.col(id_col), "n_tokens", F.col("listed_digest").alias("ids_sha256"), F.col("decoded_digest").alias("decoded_sha256"))

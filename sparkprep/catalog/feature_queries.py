@@ -394,6 +394,22 @@ def pca(spark, folder):
     return rounded(got.withColumn("loading", F.abs("loading")))
 
 
+@query(
+    "pca_variance",
+    f"""{cte("items", ["price", "revenue"])}, m AS (SELECT avg(price) AS a, avg(revenue) AS b FROM t),
+    c AS (SELECT abs(corr(coalesce(price, a), coalesce(revenue, b))) AS r FROM t, m)
+    SELECT share, component, {r("CASE component WHEN 1 THEN (1 + r) / 2 ELSE (1 - r) / 2 END", "explained")}
+    FROM c, (VALUES (1), (2)) k(component), (VALUES (0.6), (0.999)) s(share) WHERE component = 1 OR (1 + r) / 2 < share""",
+)
+def pca_variance(spark, folder):
+    """As many components as a share of the variance takes; a small share takes one, a large one both."""
+    df, out = load(spark, folder, "items", ["price", "revenue"]), None
+    for share in (0.6, 0.999):
+        one = features.pca(df, ["price", "revenue"], variance=share).select(F.lit(share).alias("share"), "component", "explained").distinct()
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, only=["explained"])
+
+
 _CLASSES = """SELECT CASE WHEN value > 20 THEN 1.0 ELSE 0.0 END AS big, CAST(user_id % 2 AS DOUBLE) AS side,
     CAST(event_id % 3 AS DOUBLE) AS third, CASE WHEN value > 20 THEN 1 ELSE 0 END AS target FROM events"""
 _RANKED = " UNION ALL ".join(

@@ -319,7 +319,10 @@ def apply_plan(spark, folder):
     a(step, phase, strategy, k, o) WHERE (SELECT count(*) FROM m) > 0""",
 )
 def plan_summary(spark, folder):
-    return _train_plan(_even(spark, folder)[1]).summary(spark)
+    """Of a plan that was stored and read back."""
+    path = scratch(spark, "plan")
+    _train_plan(_even(spark, folder)[1]).save(spark, path)
+    return Plan.read(spark, path).summary(spark)
 
 
 @query(

@@ -175,6 +175,11 @@ def corr_matrix(df: DataFrame, cols: list[str] | None = None, complete: bool = F
         m = _vector_corr(df.select(*[num(c).alias(f"_x{i}") for i, c in enumerate(cols)]).dropna(), len(cols))
         rows = [(cols[i], cols[j], None if math.isnan(m[i, j]) else abs(float(m[i, j]))) for i, j in pairs]
         return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
+    if len(pairs) <= agg.CHUNK:  # few pairs are one plain aggregate
+        clean = [F.nanvl(num(c), F.lit(None).cast("double")) for c in cols]
+        got = agg.fit(df, {(i, j): agg.corr(clean[i], clean[j]) for i, j in pairs})
+        rows = [(cols[i], cols[j], None if got[i, j] is None or math.isnan(got[i, j]) else min(1.0, abs(got[i, j]))) for i, j in pairs]
+        return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
     m = _pairwise_corr(*_cross(df, {c: num(c) for c in cols}))
     rows = [(cols[i], cols[j], None if math.isnan(m[i, j]) else min(1.0, abs(float(m[i, j])))) for i, j in pairs]
     return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
@@ -203,6 +208,22 @@ def _cross(df: DataFrame, values: dict[str, Column], center: bool = True) -> tup
     return g[m, m], g[x, m], g[s, m], g[x, x]
 
 
+def _few_products(df: DataFrame, cols: list[str], center: bool) -> np.ndarray:
+    """The sums of products of ``_cross`` as one plain aggregate, after the means."""
+    x = [F.nanvl(num(c), F.lit(None).cast("double")) for c in cols]
+    means = agg.fit(df, {i: F.avg(v) for i, v in enumerate(x)}) if center else {}
+    moved = [v - F.lit(means.get(i) or 0.0) for i, v in enumerate(x)]
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    got = agg.fit(df, {(i, j): F.sum(moved[i] * moved[j]) for i, j in pairs} | {"n": F.count(F.lit(1))})
+    m = np.zeros((len(cols), len(cols)))
+    for i, j in pairs:
+        m[i, j] = m[j, i] = got[i, j] or 0.0
+    # what rounding leaves of a constant after centering is no variation
+    still = [i for i in range(len(cols)) if center and m[i, i] <= 1e-20 * got["n"] * (means[i] or 0.0) ** 2]
+    m[still, :] = m[:, still] = 0.0
+    return m
+
+
 def _pairwise_corr(n: np.ndarray, x: np.ndarray, xx: np.ndarray, xy: np.ndarray) -> np.ndarray:
     """Correlations over the rows with both values; NaN where a side does not vary there."""
     left = n * xx - x * x
@@ -273,8 +294,9 @@ def vif(df: DataFrame, cols: list[str] | None = None, center: bool = True) -> Da
     """
     cols = numeric(df) if cols is None else cols
     k = len(cols)
-    n, x, xx, xy = _cross(df, {c: num(c) for c in cols}, center)
-    m = np.array(xy)  # a gap is the mean, or zero where nothing is centered: it adds nothing to a product
+    # a gap is the mean, or zero where nothing is centered: it adds nothing to a product
+    few = k * (k + 1) // 2 <= agg.CHUNK
+    m = _few_products(df, cols, center) if few else np.array(_cross(df, {c: num(c) for c in cols}, center)[3])
     with np.errstate(divide="ignore", invalid="ignore"):
         d = np.sqrt(np.diag(m))
         m = m / np.outer(d, d)

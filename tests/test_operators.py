@@ -355,6 +355,32 @@ def test_importances_sum_to_one(spark):
     assert kept == "b"
 
 
+def test_lasso_reads_the_data_once(spark):
+    """The cross products of all folds are one pass; the folds pick a strength between the ends of the list."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(400, 8))
+    y = x[:, 0] * 0.5 + rng.normal(size=400)
+    cols = [f"x{i}" for i in range(8)]
+    rows = [(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, f"id long, {', '.join(c + ' double' for c in cols)}, y double").repartition(4)
+    seen = []
+    for strengths in ([0.0001, 0.05, 2.0], [0.05]):
+        spark.sparkContext.setJobGroup(f"lasso{len(strengths)}", "lasso")
+        got = {r["feature"]: r["score"] for r in features.lasso(df, "y", cols, strengths=strengths, fold="id").collect()}
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"lasso{len(strengths)}")
+        spark.sparkContext._jsc.clearJobGroup()
+        assert len(jobs) <= 8  # the head of the table, one pass with its sums, and the result
+        seen.append(got)
+    assert seen[0] == pytest.approx(seen[1])
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    b, c, g = np.zeros(8), z.T @ (y - y.mean()) / 400, z.T @ z / 400
+    for _ in range(500):
+        for j in range(8):
+            rest = c[j] - g[j] @ b + g[j, j] * b[j]
+            b[j] = np.sign(rest) * max(abs(rest) - 0.05 * y.std(), 0) / g[j, j]
+    assert [seen[0][k] for k in cols] == pytest.approx(np.abs(b), abs=1e-9)
+
+
 def test_lasso_and_pca(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(300, 3))

@@ -104,9 +104,9 @@ def _likeliest(x: str, power: str, log: str) -> str:
 
 
 def _fitted(spark, folder, how, family: str):
-    """The fitted exponent, to two decimals, applied."""
+    """The fitted exponent, to two decimals, applied; where there is none the operator's own choice."""
     lam = power.fit(load(spark, folder, "clicks", _COLS), ["value"], family)["value"]
-    return _run(spark, folder, how, lam=round(lam, 2))
+    return _run(spark, folder, how, lam=None if lam is None else round(lam, 2))
 
 
 @query("tx_box_cox_fit", _likeliest("value", "value", "ln(value)"))

@@ -22,7 +22,10 @@ MOST = 20
 
 
 def box_cox(x: Column, lam: float) -> Column:
-    return F.ln(x) if abs(lam) < 1e-12 else F.expm1(F.lit(lam) * F.ln(x)) / F.lit(lam)
+    if abs(lam) < 1e-12:
+        return F.ln(x)
+    out = F.expm1(F.lit(lam) * F.ln(x)) / F.lit(lam)  # ln of 0 is null here
+    return F.when(x == 0, F.lit(-1 / lam)).otherwise(out) if lam > 0 else out
 
 
 def yeo_johnson(x: Column, lam: float) -> Column:
@@ -56,7 +59,8 @@ def _off(lam: float, family: str) -> float:
 
 
 def fit(df: DataFrame, cols: list[str], family: str) -> dict[str, float | None]:
-    """Exponent with the highest likelihood per column between LOW and HIGH; None when the column is constant or empty."""
+    """Exponent with the highest likelihood per column between LOW and HIGH; None when the column is constant or empty,
+    and for Box-Cox when a value is not positive, which leaves no likelihood."""
     if not cols:
         return {}
     at, low, high = dict.fromkeys(cols, 1.0), dict.fromkeys(cols, LOW), dict.fromkeys(cols, HIGH)
@@ -72,11 +76,13 @@ def fit(df: DataFrame, cols: list[str], family: str) -> dict[str, float | None]:
             exprs[c, "var1"], exprs[c, "cov2"] = F.var_pop(first), F.covar_pop(t, second)
             if c not in sums:
                 exprs[c, "n"], exprs[c, "s"] = F.count(x), F.sum(F.ln(x) if family == "box_cox" else F.signum(x) * F.log1p(F.abs(x)))
+                exprs[c, "min"] = F.min(x)
         got = agg.fit(df, exprs)
         for c in list(live):
             if c not in sums:
                 sums[c] = got[c, "n"], got[c, "s"]
-                if not sums[c][0] or sums[c][1] is None or not got[c, "var"] or not math.isfinite(got[c, "var"]):
+                beyond = family == "box_cox" and got[c, "min"] is not None and got[c, "min"] <= 0
+                if beyond or not sums[c][0] or sums[c][1] is None or not got[c, "var"] or not math.isfinite(got[c, "var"]):
                     live.remove(c)
                     continue
             here, (n, total) = at[c], sums[c]

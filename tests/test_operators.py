@@ -145,6 +145,18 @@ def test_transforms(spark):
     assert get(transform.box_cox(df, ["x"])) == get(transform.log1p(df, ["x"]))
 
 
+def test_given_box_cox_exponent_takes_zeros(spark):
+    df = spark.createDataFrame([(v,) for v in (0.0, 1.0, 8.0, None)], "x double")
+    get = lambda d: [r["x"] for r in d.collect()]
+    got = get(transform.box_cox(df, ["x"], lam=0.3))
+    assert got[:3] == pytest.approx([(v**0.3 - 1) / 0.3 for v in (0.0, 1.0, 8.0)]) and got[3] is None
+    shifted = get(transform.log1p(df, ["x"]))
+    assert get(transform.box_cox(df, ["x"], lam=-0.3)) == get(transform.box_cox(df, ["x"], lam=0.0)) == shifted
+    assert get(transform.box_cox(df, ["x"])) == shifted
+    below = spark.createDataFrame([(-1.0,), (2.0,)], "x double")
+    assert get(transform.box_cox(below, ["x"], lam=0.3)) == get(transform.log1p(below, ["x"]))
+
+
 def test_quantile_position_of_flat_stretches(spark):
     values = [0.0] * 50 + [float(i) for i in range(1, 52)]
     df = spark.createDataFrame([(v,) for v in values], "x double")

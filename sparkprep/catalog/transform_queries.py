@@ -21,10 +21,11 @@ def _run(spark, folder, fn, cols=("value",), **options):
     return rounded(fn(load(spark, folder, "clicks", _COLS), list(cols), **options), only=list(cols))
 
 
-# user numbers start at 0, values are positive: the logarithm shifts the first and not the second
+# user numbers start at 0 and are shifted; the SQL takes the plain logarithm of the values, also of the zeros that larger tables have
 @query("tx_log", _sql("ln(value)", f"ln(1 + user_id - {_MIN['user_id']} + 1)"))
 def tx_log(spark, folder):
-    return _run(spark, folder, transform.log, ("value", "user_id"))
+    plain = transform.log(load(spark, folder, "clicks", _COLS), ["value"], shift=False)
+    return rounded(transform.log(plain, ["user_id"]), only=["value", "user_id"])
 
 
 @query("tx_log1p", _sql(f"ln(1 + value - {_MIN['value']} + 1)"))

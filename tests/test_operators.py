@@ -145,6 +145,15 @@ def test_transforms(spark):
     assert get(transform.box_cox(df, ["x"])) == get(transform.log1p(df, ["x"]))
 
 
+def test_plain_and_shifted_logarithm(spark):
+    df = spark.createDataFrame([(v,) for v in (0.0, 1.0, 3.0, None)], "x double")
+    get = lambda d: [r["x"] for r in d.collect()]
+    assert get(transform.log(df, ["x"], shift=False)) == [-math.inf, 0.0, pytest.approx(math.log(3)), None]
+    assert get(transform.log(df, ["x"])) == get(transform.log1p(df, ["x"]))
+    positive = df.filter("x > 0")
+    assert get(transform.log(positive, ["x"])) == get(transform.log(positive, ["x"], shift=False))
+
+
 def test_given_box_cox_exponent_takes_zeros(spark):
     df = spark.createDataFrame([(v,) for v in (0.0, 1.0, 8.0, None)], "x double")
     get = lambda d: [r["x"] for r in d.collect()]

@@ -25,12 +25,17 @@ def query(name: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame, digits: int = 6, only: list[str] | None = None) -> DataFrame:
-    """Double columns rounded for comparison; adding zero removes the sign of a negative zero."""
+    """Double columns rounded for comparison; adding zero removes the sign of a negative zero.
+
+    The double times a power of ten is rounded, half away from zero, as SQL's round does; Spark's own rounds the decimal
+    digits of the double, which differs where a share ends on a half of the last digit.
+    """
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if f.dataType.simpleString() == "double" and (only is None or f.name in only):
-            c = (F.round(c, digits) + F.lit(0.0)).alias(f.name)
+            near = F.round(c * F.lit(10.0**digits)) / F.lit(10.0**digits)
+            c = (F.when(F.abs(near) < F.lit(float("inf")), near).otherwise(c) + F.lit(0.0)).alias(f.name)
         out.append(c)
     return df.select(*out)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from ..functions import agg
 from ..functions.columns import categorical, numeric, ref
 from ..operators import features, model as models, profile, recommend
-from ..session import durable
+from ..session import written
 from .ledger import Ledger
 from .plan import Plan, all_sentinels, apply_phase, fit_phase
 from .step import PHASES
@@ -65,7 +65,7 @@ class Prep:
             plan.steps += steps
             df = apply_phase(df, phase, steps)
             if self.write_between:
-                df = durable(df)
+                df = written(df)
         return plan, df
 
     def fit(self, df: DataFrame) -> Plan:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -45,6 +47,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same in columns, for a table whose later jobs each read a few of them; types parquet has not are kept in rows."""
+    if any(t in df.schema.simpleString() for t in ("void", "interval")):
+        return durable(df)
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def limit(spark: SparkSession, name: str, default: int) -> int:
     """A bound as the session sets it (``spark.conf.set("sparkprep.rowsPerRange", ...)``), else its default.
 

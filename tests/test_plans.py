@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from sparkprep import session
 from sparkprep.catalog import plan_queries, stream_queries
 from sparkprep.functions import lookup
 from sparkprep.plans.ledger import Ledger
@@ -168,3 +169,12 @@ def test_stages(spark, tmp_path):
     assert stages.save(df, str(tmp_path), "r", "raw").count() == stages.load(spark, str(tmp_path), "r", "raw").count() == 3
     with pytest.raises(ValueError):
         stages.save(df, str(tmp_path), "r", "other")
+
+
+def test_phases_read_their_columns_alone(spark):
+    """The table between phases is stored in columns, types that parquet has not in rows."""
+    df = spark.createDataFrame([(float(i), f"t{i % 3}", i % 2) for i in range(40)], "x double, t string, y int")
+    _, out = Prep("y").fit_transform(df)
+    assert out.inputFiles() and all(f.endswith(".parquet") for f in out.inputFiles())
+    odd = session.written(df.withColumn("none", F.lit(None)))
+    assert odd.columns == ["x", "t", "y", "none"] and odd.count() == 40

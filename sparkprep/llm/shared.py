@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, limit
 
 ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
 WORD = re.compile(r"\w+")
@@ -103,6 +103,15 @@ def labelled_sample(labels: DataFrame, id_col: str, label_col: str, learn: Colum
     return own.where(unit_hash(F.col("id"), seed) < rate), counts
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches between Spark and Python hold sparkprep.batchBytes bytes (4 MB) at most, but for a single row.
+
+    A task holds several copies of a batch on either side. Spark's own bounds, 10,000 rows and 64 MB, are far beyond what
+    whole texts need, and what a worker has once taken it keeps for the tasks after.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", limit(spark, "batchBytes", 4 << 20))
+
+
 def python_columns(df: DataFrame, make: Callable[[], Callable], keep: list[str], added: str) -> DataFrame:
     """The kept columns, untouched, and new ones computed batch by batch in Python.
 
@@ -123,4 +132,5 @@ def python_columns(df: DataFrame, make: Callable[[], Callable], keep: list[str],
                 old = [c.take(at) for c in old]
             yield pa.RecordBatch.from_arrays(old + [pa.array(out[n], ARROW[t]) for n, t in new], names=schema.names)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

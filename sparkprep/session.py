@@ -61,6 +61,7 @@ def limit(spark: SparkSession, name: str, default: int) -> int:
 
     sparkprep.exactRows: up to so many rows quantiles keep all distinct values in one buffer; beyond they are narrowed.
     sparkprep.rowsPerRange: rows of one range of a global order. sparkprep.broadcastRows, sparkprep.broadcastBytes: largest
-    mapping that is broadcast. The results are the same for any value.
+    mapping that is broadcast. sparkprep.batchBytes: bytes of an Arrow batch that sparkprep.llm hands to Python. The results
+    are the same for any value.
     """
     return int(spark.conf.get(f"sparkprep.{name}", None) or default)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sparkprep.llm import jaccard, language, mixing, pii, quality, queries, toxicity
 from sparkprep.llm.ftrl import Rates, walk, weights
 from sparkprep.llm.graph import components
-from sparkprep.llm.shared import table
+from sparkprep.llm.shared import python_columns, table
 
 SF, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 ODD = [(None, None, "en", "s", 1), (1, "", "en", None, 0), (1, "!!! 123", None, "s", 7), (2, "the cat sat on the mat " * 4000, "en", "s", 9), (2, "the cat sat on the mat " * 4000, "en", "s", 9)]
@@ -408,3 +408,10 @@ def test_pipeline_on_empty_and_odd_documents(spark, odd):
             assert rows.columns == docs.columns
         assert corpus_pipeline.STAGES[-1][1](spark, rows, SF).count() >= 0
     assert mixing.mix(odd).count() >= 0
+
+
+def test_texts_reach_python_in_batches_of_bounded_bytes(spark):
+    docs = spark.range(4_000, numPartitions=1).select("id", F.expr("repeat(concat(id, ' long text '), 600)").alias("text"))
+    sizes = lambda: lambda b: {"size": [b.nbytes] * len(b)}
+    got = python_columns(docs, sizes, ["id"], "size long").agg(F.max("size").alias("size"), F.count("id").alias("n")).first()
+    assert got["n"] == 4_000 and got["size"] <= 5 << 20  # 30 MB of texts

@@ -8,6 +8,7 @@ so that it packs as tightly as the whole, but for its last bins.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -22,6 +23,15 @@ BLANK = re.compile(r"[ \t\n\r]+")
 # the tokenizer's own word rule, spelled for lower-cased Latin-1 text
 LATIN_WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^ \t-\r\x85\xa0a-z0-9ªµºß-öø-ÿ²³¹¼-¾]+")
 
+# and as the file states it
+WORD_RULE = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 
 def vocabulary_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
@@ -29,44 +39,95 @@ def vocabulary_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Places(dict):
+    """Word to its place in a list that grows; words met for the first time are noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = at = len(self)
+        self.new.append(word)
+        return at
+
+
 class Encoder:
     """Token ids of whole texts as little-endian 32-bit bytes, the same as from the tokenizer over the whole text.
 
     The tokenizer lower-cases, drops white space and encodes each word on its own, so the ids of words are remembered, up
-    to a number of words. Latin-1 text is cut into words here; any other text, and text that may hold a special token,
-    is cut at white space only.
+    to a number of words and of signs. Latin-1 text is cut into words here; any other text, and text that may hold a special
+    token, is cut at white space only. A text is a list of places of its words; the ids are gathered from there.
     """
 
     def __init__(self, model: str, limit: int = 500_000, longest: int = 40):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.limit, self.longest, self.known = Tokenizer.from_str(model), limit, longest, {}
-
-    def _words(self, text: str) -> list[str]:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.limit, self.signs = Tokenizer.from_str(model), limit, limit * longest
+        self.plain, self.ends = None, None
+        of = self.tokenizer.model
+        suffix = getattr(of, "end_of_word_suffix", None)
+        rule = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else None
+        if suffix and rule == WORD_RULE and not self.tokenizer.post_processor:
+            # words cut here need only their bytes' signs: many go in one text, and each ends in an id with the suffix
+            self.plain = Tokenizer(of)
+            byte = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), byte])
+            vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.chunks, self.held = Places(), Places(), 0  # chunks: cut at white space only
+        self.ids = {id(k): (np.empty(0, "<u4"), np.zeros(1, np.int64)) for k in (self.words, self.chunks)}
+
+    def _cut(self, text: str) -> tuple[Places, list[str]]:
         if "<|" not in text:
             try:
                 text.encode("latin-1")
-                return LATIN_WORD.findall(text.lower())
+                return self.words, LATIN_WORD.findall(text.lower())
             except UnicodeEncodeError:
                 pass
-        return [r for r in BLANK.split(text) if r]
+        return self.chunks, [r for r in BLANK.split(text) if r]
+
+    def _each(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after another, and how many each has."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        return np.array([i for ids in got for i in ids], "<u4"), np.array([len(ids) for ids in got], np.int64)
+
+    def _together(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.plain.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        last = np.flatnonzero(self.ends[ids]) if len(ids) and ids.max() < len(self.ends) else []
+        if len(last) != len(new) or last[-1] != len(ids) - 1:
+            return self._each(new)
+        return ids, np.diff(last, prepend=-1)
+
+    def _learn(self, places: Places) -> None:
+        new, places.new = places.new, []
+        self.held += sum(map(len, new))
+        learn = self._together if self.plain and places is self.words else self._each
+        got = [learn(new[at : at + 1_000]) for at in range(0, len(new), 1_000)]
+        ids, ends = self.ids[id(places)]
+        many = np.concatenate([np.empty(0, np.int64), *(m for _, m in got)])
+        self.ids[id(places)] = np.concatenate([ids, *(own for own, _ in got)]), np.concatenate([ends, ends[-1] + np.cumsum(many)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self._words(t) if t else [] for t in texts]
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        new = list({w for words in cut for w in words if w not in known})
-        own = {}
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                own[w] = np.array(e.ids, "<u4").tobytes()
-        known.update((w, ids) for w, ids in own.items() if len(w) <= self.longest)
-        long = {w: ids for w, ids in own.items() if len(w) > self.longest}
-        get = (lambda w: known[w] if w in known else long[w]) if long else known.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+        if len(self.words) + len(self.chunks) > self.limit or self.held > self.signs:
+            self._forget()
+        cut = []
+        for t in texts:
+            places, words = self._cut(t) if t else (self.words, [])
+            cut.append((places, np.fromiter(map(places.__getitem__, words), np.int64, len(words))))
+        self._learn(self.words), self._learn(self.chunks)
+        out = []
+        for places, at in cut:
+            ids, ends = self.ids[id(places)]
+            start, many = ends[at], ends[at + 1] - ends[at]
+            before = np.cumsum(many) - many
+            out.append(ids[np.repeat(start - before, many) + np.arange(many.sum())].tobytes())
+        return out
 
 
 def pieces(

@@ -126,6 +126,17 @@ def test_encoder_equals_the_tokenizer():
     assert encoder.encode(texts) == want and encoder.encode(texts) == want
 
 
+def test_encoder_learns_many_words_in_one_call():
+    with open(packing.vocabulary_file(), encoding="utf-8") as f:
+        encoder = packing.Encoder(f.read())
+    words = ["".join(map(chr, x)) for x in np.random.default_rng(3).integers(224, 246, (4_000, 6))] + ["it's", "_\x1c_", "99", "'", "x" * 300]
+    calls = []
+    inner, encoder.plain = encoder.plain, type("Counted", (), {"encode_batch_fast": lambda self, t, **k: (calls.append(len(t)), inner.encode_batch_fast(t, **k))[1]})()
+    got = encoder.encode(words)
+    want = [np.array(encoder.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    assert got == want and sum(calls) <= 5
+
+
 def test_packing_odd_rows(spark):
     docs = spark.createDataFrame([(None, None, 1), (2, "", 1), (2, "", 1), (3, "word " * 9000, 1)], "doc_id long, text string, length int")
     got = packing.pack(packing.pieces(docs)).toPandas()
